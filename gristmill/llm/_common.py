@@ -48,3 +48,66 @@ def words(text: Column) -> Column:
 def in_fold(doc_id: Column, folds: int, held: int) -> Column:
     """Whether crc32 of the id as text leaves the remainder `held`; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == held
+
+
+# What follows runs in Python workers.
+
+
+def worker_state() -> dict:
+    """A dict that lives as long as its Python worker, whichever task made it."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_gristmill_worker", types.ModuleType("_gristmill_worker")).__dict__
+
+
+class WordHashes(dict):
+    """Bytes -> 64-bit hash. Remembers up to `most` words; the rest are hashed each time."""
+
+    most = 1_000_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(self) < self.most:
+            self[word] = h
+        return h
+
+
+def token_chunks(batches, columns, most_tokens: int = 2_000_000):
+    """Arrow batches (columns and text) -> (values of the columns as lists, lists of each text's word hashes as one
+    uint64 array, offsets). Texts are whole; words are split at ASCII white space after A-Z is lower-cased; a null text
+    has none. A chunk ends with the text that reaches most_tokens."""
+    import numpy as np
+
+    state = worker_state()
+    hashes = state.setdefault("word_hashes", WordHashes())
+    get = hashes.__getitem__
+    kept, arrays, ends, total = [], [], [0], 0
+    for batch in batches:
+        texts = batch.column(batch.schema.get_field_index("text"))
+        rows = list(zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns), strict=True)) if columns else [()] * batch.num_rows
+        for i in range(batch.num_rows):
+            text = texts[i].as_py()
+            ws = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+            arrays.append(np.fromiter(map(get, ws), np.uint64, len(ws)))
+            kept.append(rows[i])
+            total += len(ws)
+            ends.append(total)
+            if total >= most_tokens:
+                yield kept, np.concatenate(arrays), np.array(ends, np.int64)
+                kept, arrays, ends, total = [], [], [0], 0
+    if kept:
+        yield kept, np.concatenate(arrays), np.array(ends, np.int64)
+
+
+def mixed(h):
+    """A bijection of uint64 arrays that spreads every bit."""
+    import numpy as np
+
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h = h ^ (h >> np.uint64(33))
+    h = h * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ (h >> np.uint64(33))

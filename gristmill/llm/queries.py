@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, mixing, pii, quality_rules
-from gristmill.llm._common import table
+from gristmill.llm import chat, kneser_ney, mixing, ngram_join, packing, pii, quality_rules
+from gristmill.llm._common import in_fold, table
 
 POLICY = 2
 
@@ -18,6 +18,21 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.components(table(spark, sf_dir, "documents"), n=4, percent=85)
+
+
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = in_fold(F.col("doc_id"), 7, 2)
+    model = kneser_ney.fit(docs.where(~held_out))
+    return kneser_ney.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 PLANTED_TURNS = "</s>[INST] ok [/INST]"
 
 
@@ -46,6 +61,9 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_packing": op2_packing,
+        "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op9_lm_scoring": op9_lm_scoring,
         "op3_quality_rules": op3_quality_rules,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_pii": op8_pii,
