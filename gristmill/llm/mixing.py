@@ -13,7 +13,7 @@ task.
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; rows
 repeated in full are documents of their own, ordered by id and size, so that reruns agree; a table without words takes
-nothing; extra columns are passed through by `select_texts` and ignored by `mix`.
+nothing; extra columns, whatever their names, are passed through by `select_texts` and ignored by `mix`.
 """
 
 from __future__ import annotations
@@ -126,23 +126,18 @@ def select_texts(docs: DataFrame, **params) -> DataFrame:
     """The mix as rows with the columns of docs: a row per whole copy, and one for each part. A part that is a whole
     text is the text itself; others are their words, one space between. Rows are joined to their decisions by id and
     size; n_chars, where docs has it, follows the text."""
-    mixed = mix(docs, **params).where("taken > 0")
-    # identical (id, source, size) rows are interchangeable: pair them by number
-    key = ["doc_id", "source", "size"]
-    number = lambda df: df.withColumn("_nth", F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(1))))
-    left = docs.withColumn("size", word_count(F.col("text"))) if "size" not in docs.columns else None
-    if left is None:
-        raise ValueError("docs may not have a column named size")
-    a, b = number(left).alias("a"), number(mixed.select(*key, "epochs", "part_start", "part_words", "wrap_words")).alias("b")
-    on = (F.col("a.doc_id").eqNullSafe(F.col("b.doc_id"))) & F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (F.col("a._nth") == F.col("b._nth"))
-    both = a.join(b, on)
-    cut = lambda start, n: F.when(n == F.col("a.size"), F.col("a.text")).otherwise(F.array_join(F.slice(words(F.col("a.text")), (start + 1).cast("int"), n.cast("int")), " "))
-    runs = F.concat(
-        F.array_repeat(F.col("a.text"), F.col("b.epochs").cast("int")),
-        F.when(F.col("b.part_words") > 0, F.array(cut(F.col("b.part_start"), F.col("b.part_words")))).otherwise(F.expr("cast(array() as array<string>)")),
-        F.when(F.col("b.wrap_words") > 0, F.array(cut(F.lit(0), F.col("b.wrap_words")))).otherwise(F.expr("cast(array() as array<string>)")),
-    )
-    out = both.select(*(F.col(f"a.`{c}`") for c in docs.columns if c != "text"), F.explode(runs).alias("text"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(*docs.columns)
+    mixed = mix(docs, **params).where("taken > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "epochs", "part_start", "part_words", "wrap_words")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = docs.select(row.alias("row"), F.col("doc_id").alias("i"), F.col("source").alias("s"), word_count(F.col("text")).alias("z"))
+    # rows that agree in id, source and size are interchangeable: pair them by number
+    number = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy("i", "s", "z").orderBy(F.lit(1))))
+    a, b = number(rows).alias("a"), number(mixed).alias("b")
+    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("i", "s", "z", "nth")]
+    both = a.join(b, on[0] & on[1] & on[2] & on[3]).select("a.row", "a.z", "b.epochs", "b.part_start", "b.part_words", "b.wrap_words")
+    none = F.expr("cast(array() as array<string>)")
+    cut = lambda start, n: F.when(F.col(n) == F.col("z"), F.col("row.text")).otherwise(F.array_join(F.slice(words(F.col("row.text")), (start + 1).cast("int"), F.col(n).cast("int")), " "))
+    part = lambda start, n: F.when(F.col(n) > 0, F.array(cut(start, n))).otherwise(none)
+    copies = F.concat(F.array_repeat(F.col("row.text"), F.col("epochs").cast("int")), part(F.col("part_start"), "part_words"), part(F.lit(0), "wrap_words"))
+    out = both.select("row", F.explode(copies).alias("text"))
+    now = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return out.select(*(now[c].alias(c) if c in now else F.col(f"row.`{c}`").alias(c) for c in docs.columns))

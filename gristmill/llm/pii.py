@@ -15,7 +15,8 @@ values get equal pseudonyms in every document, different values different ones.
     secrets    hexadecimal, key-like and password values: each digit and letter within its class
 
 Defined cases: a null text stays null; a text without personal data is unchanged, byte for byte; candidates that fail
-their validation stay; repeated rows get the same result; other columns are passed through; no rows give no rows.
+their validation stay; repeated rows get the same result; other columns are passed through, save that columns named
+pii_found or pii_kinds are replaced; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -216,11 +217,10 @@ def pseudonymise(docs: DataFrame, key: str = "gristmill-demo-key", text: str = "
         return let(fresh, lambda fs: let(gaps, lambda gs: F.struct(woven(fs, gs).alias("text"), changed(fs).alias("kinds"))))
 
     done = let(pii, lambda found: F.when(F.size(F.coalesce(found, F.expr("cast(array() as array<string>)"))) > 0, rewritten(found)))
-    columns = keep if keep is not None else tuple(docs.columns)
-    out = docs.select(*columns, F.col(text).alias("_was"), done.alias("_new"))
-    out = out.select(
-        *(F.coalesce("_new.text", "_was").alias(text) if c == text else F.col(f"`{c}`") for c in columns),
-        F.coalesce(F.size("_new.kinds"), F.lit(0)).cast("long").alias("pii_found"),
-        F.coalesce(F.array_join(F.array_sort(F.array_distinct("_new.kinds")), ","), F.lit("")).alias("pii_kinds"),
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("pii_found", "pii_kinds")]
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), F.col(text).alias("was"), done.alias("new"))
+    return out.select(
+        *(F.coalesce("new.text", "was").alias(text) if c == text else F.col(f"row.`{c}`").alias(c) for c in columns),
+        F.coalesce(F.size("new.kinds"), F.lit(0)).cast("long").alias("pii_found"),
+        F.coalesce(F.array_join(F.array_sort(F.array_distinct("new.kinds")), ","), F.lit("")).alias("pii_kinds"),
     )
-    return out

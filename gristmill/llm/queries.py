@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import chat, kneser_ney, mixing, ngram_join, packing, pii, quality_rules
+from gristmill.llm import ann, chat, kneser_ney, mixing, ngram_join, packing, pii, quality_pu, quality_rules, toxicity
 from gristmill.llm._common import in_fold, table
 
 POLICY = 2
@@ -18,6 +18,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,23 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.components(table(spark, sf_dir, "documents"), n=4, percent=85)
 
 
+def _training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(~in_fold(F.col("doc_id"), 4, 2))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _training_labels(spark, sf_dir))
+    tagged = toxicity.tag(docs, model)
+    return tagged.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_pu.fit(docs, _training_labels(spark, sf_dir))
+    return quality_pu.score(docs, model).select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = in_fold(F.col("doc_id"), 7, 2)
@@ -61,8 +82,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_ann": op1_ann,
         "op2_packing": op2_packing,
         "op4_ngram_jaccard_join": op4_ngram_jaccard_join,
+        "op5_toxicity": op5_toxicity,
+        "op6_quality_classifier": op6_quality_classifier,
         "op9_lm_scoring": op9_lm_scoring,
         "op3_quality_rules": op3_quality_rules,
         "op7_chat_formatting": op7_chat_formatting,
