@@ -2,30 +2,125 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+TOLERANCE = 60.0  # fixed value: pixels at a long edge of 2000
+
+
+def hit(dw: Column, dh: Column, tolerance: Column | float = TOLERANCE) -> Column:
+    """Both size deltas below the tolerance; null deltas are misses."""
+    return F.coalesce((F.abs(dw) < tolerance) & (F.abs(dh) < tolerance), F.lit(False))
+
+
+def strict_hit(dx: Column, dy: Column, dw: Column, dh: Column, tolerance: Column | float = TOLERANCE) -> Column:
+    return hit(dw, dh, tolerance) & hit(dx, dy, tolerance)
+
+
+def tolerance(width: Column, height: Column) -> Column:
+    """TOLERANCE, scaled from a long edge of 2000."""
+    return TOLERANCE * F.greatest(width, height) / 2000
+
+
+def band(conf: Column, green: float = 0.5, yellow: float = 0.3) -> Column:
+    return F.when(conf >= green, "green").when(conf >= yellow, "yellow").otherwise("red")
+
+
+def symptom(size_hit: Column, position_hit: Column) -> Column:
+    return F.when(size_hit & position_hit, "ok").when(~size_hit & ~position_hit, "size+position").when(~size_hit, "size").otherwise("position at correct size")
 
 
 def grid_counts(rows: DataFrame, low: int, high: int, step: int, by: tuple[str, ...] = ()) -> DataFrame:
     """rows (conf, hit) -> per threshold t in hundredths: rows and hits at or above it. Each row is counted once, at the
     highest threshold it meets (a shuffle of one row per group and threshold); a running sum does the rest, instead of
     a join of all rows with the grid."""
-    level = F.least(F.floor((F.floor(F.col("conf") * 100 + 1e-9) - low) / step), F.lit((high - low) // step)).cast("int")
-    # the level is exact against t = k / 100 whatever the rounding of conf * 100
+    top = (high - low) // step
     t = lambda k: (F.lit(low) + k * step) / F.lit(100.0)
-    level = F.when(F.col("conf") < t(level), level - 1).when((F.col("conf") >= t(level + 1)) & (level + 1 <= (high - low) // step), level + 1).otherwise(level)
+    near = F.least(F.floor((F.col("conf") * 100 - low) / step), F.lit(top)).cast("int")
+    # exact against t = k / 100 whatever the rounding of conf * 100
+    level = F.when(F.col("conf") < t(near), near - 1).when((near < top) & (F.col("conf") >= t(near + 1)), near + 1).otherwise(near)
     counts = rows.select(*by, level.alias("k"), "hit").where("k >= 0").groupBy(*by, "k").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("h"))
-    marks = counts.select(*by).distinct() if by else counts.sparkSession.range(1).select()
-    marks = marks.select(*by, F.explode(F.sequence(F.lit(0), F.lit((high - low) // step))).alias("k"))
-    from pyspark.sql.window import Window
-
+    marks = (rows.select(*by).distinct() if by else rows.sparkSession.range(1).select()).select(*by, F.explode(F.sequence(F.lit(0), F.lit(top))).alias("k"))
     up = Window.partitionBy(*by).orderBy(F.col("k").desc())
     full = marks.join(counts, [*by, "k"], "left")
-    return full.select(*by, t(F.col("k")).alias("t"), F.coalesce(F.sum("n").over(up), F.lit(0)).alias("n"), F.coalesce(F.sum("h").over(up), F.lit(0)).alias("n_hits"))
+    return full.select(*by, "k", t(F.col("k")).alias("t"), F.coalesce(F.sum("n").over(up), F.lit(0)).alias("n"), F.coalesce(F.sum("h").over(up), F.lit(0)).alias("n_hits"))
 
 
 def sweep(rows: DataFrame, low: int = 25, high: int = 100, step: int = 5) -> DataFrame:
     """t, n, n_hits, precision, recall for thresholds that any row meets."""
     hits = rows.agg(F.sum(F.col("hit").cast("long")).alias("all_hits"))
-    out = grid_counts(rows, low, high, step).where("n > 0").crossJoin(F.broadcast(hits))
+    out = grid_counts(rows, low, high, step).where("n > 0").crossJoin(F.broadcast(hits))  # one row
     return out.select("t", "n", "n_hits", (F.col("n_hits") / F.col("n")).alias("precision"), (F.col("n_hits") / F.col("all_hits")).alias("recall"))
+
+
+def smallest_threshold(rows: DataFrame, precision: float, least: int = 5) -> DataFrame:
+    """The smallest t of .30 .. 1.00 whose rows are precise enough and many enough; no row if there is none."""
+    fit = grid_counts(rows, 30, 100, 1).where((F.col("n") >= least) & (F.col("n_hits") >= precision * F.col("n")))
+    return fit.orderBy("t").limit(1).select("t", "n", "n_hits")
+
+
+def best_recall(rows: DataFrame, precision: float, buckets: int = 1000) -> DataFrame:
+    """The score at which recall is largest among those precise enough, the highest on ties. Running sums over distinct
+    scores: within ranges of scores in parallel, plus the sums of the ranges above."""
+    per = rows.groupBy("conf").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("h")).withColumn("b", F.floor(F.col("conf") * buckets))
+    above = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)  # over at most buckets + 1 rows
+    sums = per.groupBy("b").agg(F.sum("n").alias("bn"), F.sum("h").alias("bh"))
+    sums = sums.select("b", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("bh").over(above), F.lit(0)).alias("h0"))
+    own = Window.partitionBy("b").orderBy(F.col("conf").desc())
+    run = per.join(F.broadcast(sums), "b").select("conf", (F.col("n0") + F.sum("n").over(own)).alias("n"), (F.col("h0") + F.sum("h").over(own)).alias("n_hits"))
+    return run.where(F.col("n_hits") >= precision * F.col("n")).orderBy(F.col("n_hits").desc(), F.col("conf").desc()).limit(1)
+
+
+def auc(rows: DataFrame, by: list[str], score: str, positive: str) -> DataFrame:
+    """P(score of a positive > score of a negative) + half the ties, from counts per distinct score; null if a class is
+    empty."""
+    per = rows.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("q"))
+    below = F.sum("q").over(Window.partitionBy(*by).orderBy(score)) - F.col("q")
+    won = per.withColumn("w", F.col("p") * (below + F.col("q") / 2))
+    return won.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("w").alias("w")).select(*by, "n_pos", "n_neg", F.try_divide(F.col("w"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
+
+
+def confusion(rows: DataFrame) -> DataFrame:
+    """Band by hit or miss, all six cells."""
+    cells = rows.groupBy(band(F.col("conf")).alias("band"), "hit").agg(F.count("*").alias("n"))
+    spark = rows.sparkSession
+    every = spark.createDataFrame([(b, h) for b in ("green", "yellow", "red") for h in (True, False)], "band string, hit boolean")
+    return every.join(cells, ["band", "hit"], "left").select("band", "hit", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def leave_one_out(rows: DataFrame, group: str, precision: float, least: int = 5) -> DataFrame:
+    """Per group: the threshold that smallest_threshold picks on all other groups, and how it does on this one. The
+    others' counts are the totals less the group's own, so no group is joined with another's rows."""
+    own = grid_counts(rows, 30, 100, 1, (group,))
+    total = own.groupBy("k").agg(F.sum("n").alias("tn"), F.sum("n_hits").alias("th"))
+    others = own.join(total, "k").withColumns({"on": F.col("tn") - F.col("n"), "oh": F.col("th") - F.col("n_hits")})
+    fits = (F.col("on") >= least) & (F.col("oh") >= precision * F.col("on"))
+    pick = others.groupBy(group).agg(F.min(F.when(fits, F.struct("t", "n", "n_hits"))).alias("x"))
+    size = rows.groupBy(group).agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("hits"))
+    return size.join(pick, group).select(group, F.col("x.t").alias("t"), "n", "hits", F.coalesce("x.n", F.lit(0)).alias("green"), F.coalesce("x.n_hits", F.lit(0)).alias("green_hits"))
+
+
+def split_eval(rows: DataFrame, tuning: Column, precision: float, least: int = 5) -> DataFrame:
+    """The threshold picked on the tuning rows, reported on both parts."""
+    parts = rows.withColumn("part", F.when(tuning, "tuning").otherwise("holdout"))
+    chosen = smallest_threshold(parts.where("part = 'tuning'"), precision, least).select(F.col("t").alias("chosen"))
+    green = F.col("conf") >= F.col("chosen")
+    return parts.crossJoin(F.broadcast(chosen)).groupBy("part", F.col("chosen").alias("t")).agg(
+        F.count("*").alias("n"), F.count_if(F.col("hit")).alias("hits"), F.count_if(green).alias("green"), F.count_if(green & F.col("hit")).alias("green_hits"))
+
+
+def bias(rows: DataFrame, deltas: list[str]) -> DataFrame:
+    """Per delta column: n, median, mean, min, max."""
+    long = rows.select(F.explode(F.array(*(F.struct(F.lit(d).alias("delta"), F.col(d).alias("v")) for d in deltas))).alias("x")).select("x.*")
+    return long.groupBy("delta").agg(F.count("v").alias("n"), F.median("v").alias("median"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+
+
+def baseline_gate(now: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
+    """now and baseline (key, hits): groups that ran, with whether they fall below their baseline."""
+    return now.join(baseline.select(key, F.col("hits").alias("expected")), key).select(key, "hits", "expected", (F.col("hits") < F.col("expected")).alias("worse"))
+
+
+def weakest_factor(names: list[str]) -> Column:
+    """The name of the smallest of the columns, the first named on ties."""
+    return F.array_min(F.array(*(F.struct(F.col(c).alias("v"), F.lit(i).alias("i"), F.lit(c).alias("name")) for i, c in enumerate(names))))["name"]

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from gristmill.plans import evaluation
+from gristmill.plans import evaluation, kernels, profiles, reviewing, statistics, streams
 
-QUERIES = dict(evaluation.QUERIES)
-ORACLE = dict(evaluation.ORACLE)
+_PARTS = (evaluation, statistics, reviewing, profiles, kernels, streams)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -18,5 +21,13 @@ def session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -
     )
 
 
+def scratch(spark: SparkSession, kind: str) -> str:
+    """A new folder below the one that all machines share; below a temporary one where none is set, as in tests."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None:
+        shared = tempfile.mkdtemp(prefix="gristmill-")
+    return f"{shared.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
