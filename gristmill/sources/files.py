@@ -13,11 +13,12 @@ RAWS = (".nef", ".cr2", ".cr3", ".arw", ".dng", ".raf", ".rw2", ".orf", ".pef",
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
-    """path, modificationTime, length of all files below a folder; contents are not read."""
+    """path, modificationTime, length of all files below a folder; contents are not read. Spark's readers skip files
+    whose names begin with a dot or an underscore, so the marker of an output folder must not."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "modificationTime", "length")
 
 
-def rolls(files: DataFrame, root: str, extensions: tuple[str, ...] = IMAGES + RAWS, marker: str = ".gristmill-output") -> DataFrame:
+def rolls(files: DataFrame, root: str, extensions: tuple[str, ...] = IMAGES + RAWS, marker: str = "gristmill-output") -> DataFrame:
     """Images directly in the root or one folder below it, with their roll; hidden files and output folders are left
     out; where a raw file has a twin, the twin goes; ids from 1 in order of path."""
     rel = F.substring_index(F.regexp_replace("path", "^file:/+", "/"), root.rstrip("/") + "/", -1)
