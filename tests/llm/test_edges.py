@@ -1,0 +1,118 @@
+"""Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
+
+import pytest
+from support import TINY  # noqa: F401
+from pyspark.sql import functions as F
+
+from gristmill.llm import ann, chat, kneser_ney, mixing, ngram_join, packing, pii, quality_pu, quality_rules, toxicity
+
+
+def by_id(df, column):
+    return sorted(((r["doc_id"], r[column]) for r in df.collect()), key=lambda x: [(v is None, v or 0) for v in x])
+
+
+def test_ann(spark, odd):
+    x = [1.0, 0.0]
+    rows = [(0, x), (1, x), (1, x), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [1.0, None]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [0.0, 1.0]), (9, [1.0, 0.0, 0.0]), (None, x), (50, [1e200, 1e200]), (100, [-1.0, 0.0])]
+    df = spark.createDataFrame([(*r, "mine") for r in rows], "vec_id long, embedding array<double>, f string")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, round(r.score, 9)))
+    assert got[0] == [(1, 1, 1.0), (2, 2, 1.0), (3, 50, round(0.5**0.5, 9)), (4, 8, 0.0), (5, 100, -1.0)]
+    assert set(got) == {0, 50, 100}
+    assert ann.search(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_packing(odd, no_docs):
+    got = packing.pack(odd, with_ids=True).toPandas()
+    assert len(got[got.doc_id == 6]) == 2 and got.doc_id.isna().sum() == 2
+    assert list(got[got.doc_id == 1].length) == [1] and bytes(got[got.doc_id == 1].ids.iloc[0]) == b"\0\0\0\0"
+    long = got[got.doc_id == 5].sort_values("piece")
+    assert (long.length[1:] == 2048).all() and list(long.start[1:]) == [long.length.iloc[0] + 2048 * k for k in range(len(long) - 1)]
+    assert packing.pack(no_docs).count() == 0
+
+
+def test_quality_rules(odd, no_docs):
+    book = quality_rules.apply_policy(quality_rules.ledger(odd), 2)
+    got = {r.doc_id: r for r in book.collect()}
+    assert book.count() == odd.count()
+    assert (got[1].n_words, got[2].n_words, got[3].n_words, got[8].n_words) == (0, 0, 0, 4) and got[1].base_failed and not got[1].kept
+    assert got[5].n_words == 30_000 and got[5].n_repeat_words == 0 and got[5].kept
+    assert quality_rules.ledger(no_docs).count() == 0 and quality_rules.ablations(quality_rules.ledger(no_docs)).agg(F.sum("n_failed")).first()[0] == 0
+
+
+def test_ngram_join(odd, no_docs):
+    got = by_id(ngram_join.components(odd, 4, 85), "component_id")
+    assert got == [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (6, 6), (7, 6), (8, 8), (9, 9), (None, 6), (None, None)]
+    assert ngram_join.components(no_docs).count() == 0
+
+
+def test_toxicity(spark, odd, no_docs):
+    labels = spark.createDataFrame([(6, 1), (6, 0), (7, None), (None, 1), (5, 0), (99, 1)], "doc_id long, toxic int")
+    model = toxicity.fit(odd, labels)
+    got = toxicity.tag(odd, model)
+    assert got.count() == odd.count() and got.where("score is null or score < 0 or score > 1").count() == 0
+    none = toxicity.fit(no_docs, labels)
+    assert toxicity.tag(odd, none).where("score > 0.01").count() == 0 and toxicity.tag(no_docs, none).count() == 0
+
+
+def test_quality_classifier(spark, odd, no_docs):
+    labels = spark.createDataFrame([(6, 1), (5, 0), (7, None), (None, 1), (9, 1)], "doc_id long, quality int")
+    got = quality_pu.score(odd, quality_pu.fit(odd, labels))
+    assert got.count() == odd.count() and got.where("score is null or score < 0 or score > 1").count() == 0
+    assert quality_pu.fit(no_docs, labels) is None
+    assert [r.score for r in quality_pu.score(odd, None).collect()] == [0.5] * odd.count()
+
+
+def test_chat(spark):
+    schema = "conv_id long, turn long, role string, text string, turns string"
+    rows = [(1, 0, "user", "<s>hi</s> [INST] <\\s> \\"), (1, 1, "user", None), (1, 2, "assistant", "[TURN][/ROLE]"), (1, 2, "assistant", "b"), (2, None, None, ""), (None, 0, "a[/ROLE]", "x<"), (3, 0, "assistant", "s>"), (3, 0, "assistant", "s>")]
+    df = spark.createDataFrame([(*r, "mine") for r in rows], schema)
+    got = {r.conv_id: r for r in chat.read_back(chat.format_conversations(df)).collect()}
+    for conv in (1, 2, None, 3):
+        want = sorted(((t if t is not None else -1, r, x or "") for c, t, r, x, _ in df.collect() if c == conv), key=lambda t: (t[0], t[1] or "", t[2]))
+        assert [(t.role, t.text) for t in got[conv].turns] == [(r, x) for _, r, x in want]
+        assert got[conv].loss_text == "".join(x for _, r, x in want if r == "assistant")
+    assert got[1].formatted.count("[ROLE]") == 2
+    assert chat.format_conversations(df.where("false")).count() == 0
+
+
+def test_pii(odd, no_docs):
+    got = pii.pseudonymise(odd)
+    assert set(got.columns) == set(odd.columns) | {"pii_kinds"}
+    assert sorted(map(str, got.select("doc_id", "text", "size").collect())) == sorted(map(str, odd.select("doc_id", "text", "size").collect()))
+    assert got.where("pii_found <> 0 or pii_kinds <> ''").count() == 0 and pii.pseudonymise(no_docs).count() == 0
+
+
+def test_kneser_ney(odd, no_docs):
+    for training in (odd, no_docs):
+        got = kneser_ney.score(odd, kneser_ney.fit(training))
+        assert got.count() == odd.count() and got.where("score > 1e-9 or base_score > 0 or isnan(score)").count() == 0
+    assert {r.n_tokens for r in got.where("doc_id in (1, 2, 3)").collect()} == {1}
+    assert got.where("score <> 0 or base_score <> 0 or n_known <> 0").count() == 0
+    assert kneser_ney.score(no_docs, kneser_ney.fit(odd)).count() == 0
+
+
+def test_mixing(odd, no_docs):
+    first, again = (sorted(map(str, mixing.mix(odd).collect())) for _ in range(2))
+    assert first == again and len(first) == odd.count()
+    mixed = mixing.mix(odd)
+    assert mixed.where("taken > 3 * size or taken < 0").count() == 0
+    assert mixed.where("doc_id in (1, 2, 3) and (size <> 0 or taken <> 0)").count() == 0
+    per = {r.source: r for r in mixed.groupBy("source").agg(F.first("target").alias("t"), F.sum("taken").alias("n")).collect()}
+    assert set(per) == {"a", "b", "c", "", None} and all(abs(r.t - r.n) <= 8 for r in per.values())
+    rows = mixing.select_texts(odd)
+    assert rows.columns == odd.columns
+    assert rows.select(F.sum(mixing.word_count(F.col("text")))).first()[0] == mixed.agg(F.sum("taken")).first()[0]
+    assert mixing.mix(no_docs).count() == mixing.select_texts(no_docs).count() == 0
+
+
+def test_pipeline_stages(spark, odd, no_docs):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    for docs in (odd, no_docs):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, TINY)
+            assert name == "packing" or out.columns == docs.columns
+            out.count()
+    kept = corpus_pipeline.near_duplicates(spark, odd, TINY)
+    assert by_id(kept.fillna("", ["lang"]), "lang")[:8] == [(1, "en"), (2, "en"), (3, ""), (4, "en"), (5, "en"), (6, "en"), (8, "zz"), (9, "en")]
