@@ -53,3 +53,14 @@ def disabled(history: Column, operations: list[str]) -> Column:
     """enabled="1" becomes "0" in entries whose operation is listed."""
     names = "|".join(operations)
     return F.regexp_replace(history, rf'(operation="(?:{names})"[^>]*enabled=)"1"', '$1"0"')
+
+
+def last_steps(history: Column) -> Column:
+    """Of a history's entries (<rdf:li .../>), in order, the last one per operation and instance among those numbered
+    below history_end; as a map from "operation/instance" to the entry."""
+    end = F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(history, r'history_end="(\d+)"', 1), F.lit("")), F.lit("999999999")).cast("int"), F.lit(10**9))
+    entries = F.regexp_extract_all(history, F.lit(r"(<rdf:li\b[^>]*/>)"), F.lit(1))
+    valid = F.filter(entries, lambda e: (attribute(e, "num") != "") & (F.coalesce(F.try_to_number(F.nullif(attribute(e, "num"), F.lit("")), F.lit("999999999")).cast("int"), F.lit(10**9)) < end))
+    key = lambda e: F.concat_ws("/", attribute(e, "operation"), attribute(e, "multi_priority"))
+    later = F.filter(valid, lambda e, i: ~F.exists(F.slice(valid, i + 2, F.size(valid)), lambda o: key(o) == key(e)))
+    return F.map_from_arrays(F.transform(later, key), later)

@@ -124,3 +124,56 @@ def baseline_gate(now: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
 def weakest_factor(names: list[str]) -> Column:
     """The name of the smallest of the columns, the first named on ties."""
     return F.array_min(F.array(*(F.struct(F.col(c).alias("v"), F.lit(i).alias("i"), F.lit(c).alias("name")) for i, c in enumerate(names))))["name"]
+
+
+def nested_leave_one_out(rows: DataFrame, group: str, features: list[str], precision: float, least: int = 5, steps: int = 400) -> DataFrame:
+    """Per group left out: the rows of the others are scored by models that have not seen their group, the threshold is
+    picked on these scores, and a model of all the others scores the group itself. rows (group, features, hit) are
+    labelled references; each is repeated once per group, and one task holds one copy."""
+    import pandas as pd
+
+    from gristmill.functions.raster import fit_logistic
+
+    def scores(train: pd.DataFrame, test: pd.DataFrame):
+        import numpy as np
+
+        w, b, mean, scale = fit_logistic(train[features].to_numpy(float), train["hit"].to_numpy(float), steps=steps)
+        return 1 / (1 + np.exp(-((test[features].to_numpy(float) - mean) / scale @ w + b)))
+
+    def outer(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([group, *features])
+        own, others = pdf[pdf[group] == pdf["left_out"]], pdf[pdf[group] != pdf["left_out"]]
+        parts = [part.assign(score=scores(others[others[group] != g], part)) for g, part in others.groupby(group) if len(others[others[group] != g])]
+        inner = pd.concat(parts) if parts else others.assign(score=0.5)
+        t = None
+        for cut in sorted(inner["score"].round(4).unique()):
+            green = inner[inner["score"] >= cut]
+            if len(green) >= least and green["hit"].mean() >= precision:
+                t = float(cut)
+                break
+        own = own.assign(score=scores(others, own)) if len(others) else own.assign(score=0.5)
+        green = own[own["score"] >= t] if t is not None else own[:0]
+        return pd.DataFrame([{group: pdf["left_out"].iloc[0], "t": t, "n": len(own), "hits": int(own["hit"].sum()), "green": len(green), "green_hits": int(green["hit"].sum())}])
+
+    groups = rows.select(F.col(group).alias("left_out")).distinct()
+    kind = dict(rows.dtypes)[group]
+    repeated = rows.select(group, *features, "hit").crossJoin(F.broadcast(groups))  # groups times labelled references
+    return repeated.groupBy("left_out").applyInPandas(outer, f"{group} {kind}, t double, n long, hits long, green long, green_hits long")
+
+
+def learned_extent(rows: DataFrame, least: int = 3) -> DataFrame:
+    """rows (w_mm, h_mm) made by hand on reliable scales: upper medians of the long and the short side of frames of the
+    usual shape, 2 decimals; no row with fewer than `least`."""
+    long, short = F.greatest("w_mm", "h_mm"), F.least("w_mm", "h_mm")
+    shape = long / F.greatest(short, F.lit(1e-6))
+    fit = rows.select(long.alias("l"), short.alias("s")).where((shape > 0.6) & (shape < 2.0) & (F.col("l") > 30))
+    ranks = fit.select(F.row_number().over(Window.orderBy("l")).alias("i"), F.row_number().over(Window.orderBy("s")).alias("j"), "l", "s")
+    n = fit.agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    at = lambda k, c: F.max(F.when(F.col(k) == F.floor(F.col("n") / 2) + 1, F.bround(c, 2)))
+    return ranks.crossJoin(F.broadcast(n)).groupBy("n").agg(at("i", "l").alias("long_mm"), at("j", "s").alias("short_mm"))
+
+
+def scaled_reference(box: Column, width: Column, height: Column, edge: int = 2000) -> Column:
+    """A box struct in pixels, scaled so that the long edge is `edge`, half to even."""
+    k = edge / F.greatest(width, height).cast("double")
+    return F.struct(*(F.bround(box[c] * k).cast("int").alias(c) for c in ("x", "y", "width", "height")))

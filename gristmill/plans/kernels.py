@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.functions import raster
+from gristmill.functions import detect, raster
 from gristmill.plans.evaluation import scored
 from gristmill.session import table
 
@@ -71,5 +71,22 @@ def logistic_by_group(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("lang").applyInPandas(fit, "lang string, n long, w_a double, w_b double, bias double")
 
 
-QUERIES = {f.__name__: f for f in (raster_pitch, raster_measure, logistic_by_group)}
+def raster_detect(spark: SparkSession, d: str) -> DataFrame:
+    """A frame drawn in a dark holder per nation: the detectors' best box, one row per candidate kept."""
+    rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("image"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for k in pdf.image:
+                g = np.full((300, 420), 12, np.uint8)
+                g[40 + k : 250, 60 : 375 - k] = 170
+                for rank, c in enumerate(detect.candidates(g)):
+                    out.append((k, rank, *c["box"], c["confidence"], c["orientation"], len(c["methods"])))
+            yield pd.DataFrame(out, columns=["image", "rank", "x", "y", "width", "height", "confidence", "orientation", "n_methods"])
+
+    return rows.mapInPandas(run, "image long, rank int, x int, y int, width int, height int, confidence double, orientation string, n_methods int")
+
+
+QUERIES = {f.__name__: f for f in (raster_detect, raster_pitch, raster_measure, logistic_by_group)}
 ORACLE: dict[str, str] = {}

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gristmill.functions import geometry as ge
-from gristmill.functions import raster
+from gristmill.functions import detect, raster
 from gristmill.functions import text as tx
 from gristmill.operators import consensus as co
 from gristmill.operators import evaluate as ev
@@ -170,3 +170,32 @@ def test_rotation_and_fits():
 def test_measure_gives_reasons():
     assert raster.measure_image(np.zeros((100, 100), np.uint8)) == {"valid": False, "reason": "no strip"}
     assert raster.measure_image(np.full((200, 200), 120, np.uint8))["reason"] == "low contrast"
+
+
+def test_detectors_on_a_clear_frame():
+    g = np.full((300, 420), 12, np.uint8)
+    g[45:245, 60:360] = 170
+    for f in detect.DETECTORS.values():
+        assert any(max(abs(p - q) for p, q in zip(b, (60, 45, 300, 200), strict=True)) <= 3 for b in f(g)), f.__name__
+    best = detect.best_box(g)
+    assert max(abs(p - q) for p, q in zip(best["box"], (60, 45, 300, 200), strict=True)) <= 2 and len(best["methods"]) == 4
+    assert best["orientation"] == "Landscape" and best["geometry"] == 1.0
+    assert detect.best_box(np.zeros((200, 300), np.uint8))["confidence"] < 0.5 < best["confidence"]
+
+
+def test_regions():
+    m = np.zeros((8, 9), bool)
+    m[1:4, 1:3] = m[3, 1:6] = m[1:4, 5] = True
+    m[6:, 7:] = True
+    assert sorted(detect.regions(m)) == [(1, 1, 5, 3, 11), (7, 6, 2, 2, 4)]
+
+
+def test_last_steps(spark):
+    x = '<x history_end="3"><rdf:li num="0" operation="crop" multi_priority="0" p="a"/><rdf:li num="1" operation="crop" multi_priority="1"/><rdf:li num="2" operation="crop" multi_priority="0" p="b"/><rdf:li num="3" operation="crop" multi_priority="0" p="c"/>'
+    got = spark.createDataFrame([(x,), ("",)], "h string").select(tx.last_steps(F.col("h")).alias("m")).collect()
+    assert set(got[0].m) == {"crop/0", "crop/1"} and 'p="b"' in got[0].m["crop/0"] and got[1].m == {}
+
+
+def test_scaled_reference(spark):
+    df = spark.createDataFrame([((300, 600, 2400, 1201),)], "b struct<x:int,y:int,width:int,height:int>")
+    assert tuple(df.select(ev.scaled_reference(F.col("b"), F.lit(3000), F.lit(2000)).alias("r")).first().r) == (200, 400, 1600, 801)
