@@ -20,7 +20,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -51,12 +51,15 @@ def features(token: str) -> np.ndarray:
     return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIMS for x in names], np.int64)
 
 
-def explanations(toxic: list[set[str]], clean: list[set[str]], ratio: float = 25.0, least: int = 4) -> set[str]:
-    """Features kept by the greedy cover of toxic documents."""
+def explanations(toxic: list[set[str]], clean: Iterable[set[str]], ratio: float = 25.0, least: int = 4) -> set[str]:
+    """Features kept by the greedy cover of toxic documents. Clean documents pass by once and are not held."""
     t = Counter(x for d in toxic for x in d)
-    t = Counter({x: n for x, n in t.items() if n >= least})
-    c = Counter(x for d in clean for x in d if x in t)
-    pure = {x for x, n in t.items() if (n + 0.5) / (len(toxic) + 1) >= ratio * (c[x] + 0.5) / (len(clean) + 1)}
+    t = {x: n for x, n in t.items() if n >= least}
+    c, n_clean = Counter(), 0
+    for d in clean:
+        n_clean += 1
+        c.update(d & t.keys())
+    pure = {x for x, n in t.items() if (n + 0.5) / (len(toxic) + 1) >= ratio * (c[x] + 0.5) / (n_clean + 1)}
     holders: dict[str, list[int]] = {}
     for i, d in enumerate(toxic):
         for x in d & pure:
@@ -173,9 +176,10 @@ def _windows(tokens: list[list[str]], marks: list[np.ndarray], most: int, seed:
 
 
 def train(texts: list[str], labels: list[int], most_windows: int = 12_000, rounds: int = 60, rate: float = 0.3, decay: float = 1e-4, seed: int = 5) -> Field:
-    tokens = [WORD.findall(t) for t in texts]
-    sets = [{x for w in set(ws) for x in beginnings(w)} for ws in tokens]
-    kept = explanations([s for s, y in zip(sets, labels, strict=True) if y], [s for s, y in zip(sets, labels, strict=True) if not y])
+    one: dict[str, str] = {}  # equal words share one object
+    tokens = [[one.setdefault(w, w) for w in WORD.findall(t)] for t in texts]
+    of = lambda wanted: ({x for w in set(ws) for x in beginnings(w)} for ws, y in zip(tokens, labels, strict=True) if bool(y) == wanted)
+    kept = explanations(list(of(True)), of(False))
     hit = {}
     for ws in tokens:
         for w in ws:
@@ -185,7 +189,8 @@ def train(texts: list[str], labels: list[int], most_windows: int = 12_000, round
     words, y = _windows(tokens, marks, most_windows, seed)
     model = Field(np.zeros(DIMS), np.zeros((2, 2)), -3.0, (1.0, 0.0, 0.0))
     if words and y.any():
-        rows = [[features(w) for w in ws] for ws in words]
+        known = {w: features(w) for w in {w for ws in words for w in ws}}
+        rows = [[known[w] for w in ws] for ws in words]
         owner = np.repeat(np.arange(y.size), [len(f) for r in rows for f in r])
         ids = np.concatenate([f for r in rows for f in r])
         used, ids = np.unique(ids, return_inverse=True)
@@ -231,7 +236,7 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, floa
     return tuple(float(a) for a in w)
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 8_000, **params) -> Field:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 4_000, **params) -> Field:
     """labels: the training rows only. At most `most` documents come to the driver, copies of a text once."""
     found = sampled(docs, labels, label, most).dropDuplicates(["text"]).orderBy("doc_id").collect()
     return train([r["text"] or "" for r in found], [int(r["label"]) for r in found], **params)
