@@ -111,3 +111,122 @@ def mixed(h):
     h = h ^ (h >> np.uint64(33))
     h = h * np.uint64(0xC4CEB9FE1A85EC53)
     return h ^ (h >> np.uint64(33))
+
+
+# Arrays in the shared folder.
+
+
+def _local(path: str) -> str | None:
+    return path if path.startswith("/") else path[len("file:") :].replace("//", "/", 1) if path.startswith("file:/") else None
+
+
+def write_arrays(path: str, name: str, arrays: dict) -> None:
+    """Each of the NumPy arrays as a file name.key, moved into place when complete."""
+    import numpy as np
+    from pyarrow import fs
+
+    local = _local(path)
+    store, root = (fs.LocalFileSystem(), local) if local else fs.FileSystem.from_uri(path)
+    store.create_dir(root, recursive=True)
+    for key, values in arrays.items():
+        draft = f"{root}/_{uuid.uuid4().hex}"
+        with store.open_output_stream(draft) as f:
+            f.write(memoryview(np.ascontiguousarray(values)).cast("B") if len(values) else b"")
+        store.move(draft, f"{root}/{name}.{key}")
+
+
+def read_array(path: str, name: str, kind: str):
+    """The array in a file: mapped into memory where the folder is local or mounted, else read."""
+    import numpy as np
+
+    local = _local(path)
+    if local:
+        import os
+
+        return np.memmap(f"{local}/{name}", kind, "r") if os.path.getsize(f"{local}/{name}") else np.empty(0, kind)
+    from pyarrow import fs
+
+    store, root = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(f"{root}/{name}") as f:
+        return np.frombuffer(f.read(), kind)
+
+
+def in_range(hashes, ranges: int):
+    """The range of each hash; ranges follow the order of the hashes."""
+    import numpy as np
+
+    return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+class IdSet:
+    """A set of 64-bit ids of any size in the shared folder: sorted arrays by ranges of the ids' hashes, which workers
+    map into memory and search. It lets rows be chosen by id where they are read, without shuffling their texts."""
+
+    def __init__(self, ids: DataFrame):
+        """ids: one column of longs; nulls are told by `with_null`."""
+        column = ids.columns[0]
+        self.with_null = not ids.where(F.col(column).isNull()).isEmpty()
+        self.path, self.ranges = fresh_dir(ids.sparkSession, "ids"), int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        path, ranges = self.path, self.ranges
+
+        def dealt(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            for batch in batches:
+                x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(in_range(mixed(x.view(np.uint64)), ranges).astype(np.int32)), pa.array(x)], names=["pid", "id"])
+
+        def write(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            pids, parts = set(), []
+            for batch in batches:
+                if batch.num_rows:
+                    pids |= set(batch.column(0).unique().to_pylist())
+                    parts.append(batch.column(1).to_numpy())
+            if len(pids) > 1:
+                raise ValueError(f"ranges {sorted(pids)} in one partition")
+            if parts:
+                write_arrays(path, f"ids-{pids.pop()}", {"id": np.unique(np.concatenate(parts))})
+            yield pa.RecordBatch.from_arrays([pa.array([len(parts)], pa.int64())], names=["n"])
+
+        some = ids.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("id")).mapInArrow(dealt, "pid int, id long")
+        some.repartitionById(ranges, F.col("pid")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+
+def members(path: str, ranges: int, ids, with_null: bool):
+    """Which of an Arrow array of ids are in the set; for workers."""
+    import numpy as np
+
+    maps = worker_state().setdefault("id_sets", {})
+    valid = ids.is_valid().to_numpy(zero_copy_only=False)
+    x = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    pid = in_range(mixed(x.view(np.uint64)), ranges)
+    hit = np.zeros(len(x), bool)
+    for p in np.unique(pid):
+        if (path, p) not in maps:
+            try:
+                maps[path, p] = read_array(path, f"ids-{p}.id", "i8")
+            except FileNotFoundError:
+                maps[path, p] = np.empty(0, np.int64)
+        there, at = maps[path, p], np.flatnonzero(pid == p)
+        if len(there):
+            k = np.minimum(np.searchsorted(there, x[at]), len(there) - 1)
+            hit[at] = there[k] == x[at]
+    return np.where(valid, hit, with_null)
+
+
+def chosen(rows: DataFrame, ids: IdSet, inside: bool, column: str = "doc_id") -> DataFrame:
+    """The rows whose id is in the set, or is not; rows without an id count as outside."""
+    path, ranges = ids.path, ids.ranges
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = members(path, ranges, batch.column(batch.num_columns - 1), False)
+            yield batch.filter(pa.array(keep if inside else ~keep)).select(batch.schema.names[:-1])
+
+    return rows.select("*", F.col(column).cast("long").alias("_key_of_row")).mapInArrow(run, rows.schema)

@@ -33,47 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._common import fresh_dir, mixed, saved, token_chunks, worker_state
+from gristmill.llm._common import fresh_dir, in_range, mixed, read_array, saved, token_chunks, worker_state, write_arrays
 
 START, END = 0x9AE16A3B2F90404F, 0xC949D7C7509E6557  # hashes of no word but by chance
 STEP = 0x9E3779B97F4A7C15
 
 
-# Files.
-
-
-def _local(path: str) -> str | None:
-    return path if path.startswith("/") else path[len("file:") :].replace("//", "/", 1) if path.startswith("file:/") else None
-
-
-def write_arrays(path: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    import uuid
-
-    from pyarrow import fs
-
-    local = _local(path)
-    store, root = (fs.LocalFileSystem(), local) if local else fs.FileSystem.from_uri(path)
-    store.create_dir(root, recursive=True)
-    for key, values in arrays.items():
-        draft = f"{root}/_{uuid.uuid4().hex}"
-        with store.open_output_stream(draft) as f:
-            f.write(memoryview(np.ascontiguousarray(values)).cast("B") if len(values) else b"")
-        store.move(draft, f"{root}/{name}.{key}")
-
-
-def read_array(path: str, name: str, kind: str) -> np.ndarray:
-    local = _local(path)
-    if local:
-        import os
-
-        return np.memmap(f"{local}/{name}", kind, "r") if os.path.getsize(f"{local}/{name}") else np.empty(0, kind)
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(path)
-    with store.open_input_stream(f"{root}/{name}") as f:
-        return np.frombuffer(f.read(), kind)
-
-
 # Runs: histories, followers per history, followers, counts.
 
 
@@ -104,11 +69,6 @@ def counted(prev: np.ndarray, cur: np.ndarray, n: np.ndarray | None = None) -> t
     return prev[first], cur[first], sums
 
 
-def in_range(hashes: np.ndarray, ranges: int) -> np.ndarray:
-    """The range of each hash; ranges follow the order of the hashes."""
-    return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
-
-
 def pair_key(prev: np.ndarray, cur: np.ndarray) -> np.ndarray:
     return mixed(prev * np.uint64(STEP) + cur)
 

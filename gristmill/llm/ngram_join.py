@@ -16,7 +16,8 @@ compared, after bounds by size and by a 256-bit parity sketch (differing bits ne
 No pair within a component that is already whole is made, and no link between different components is missed.
 
 Scale: signatures (16 bytes; about 0.4 per shingle) are the one large exchange, sorted by signature and read as a
-stream, so a bucket of any size needs no memory. Texts are shuffled only for sets with a surviving candidate.
+stream, so a bucket of any size needs no memory. Texts are never shuffled: sets with a surviving candidate are spelt out
+where their text is read, chosen by a set of ids that workers map from the shared folder.
 
 Defined cases: A-Z is lower-cased; texts with fewer than n words have their whole sequence as one shingle; null and
 empty texts, or texts of white space, have no shingles and are linked with nothing; repeated rows are rows of one set;
@@ -27,6 +28,7 @@ Shingles and sets are identified by 64-bit hashes; for a billion sets, one chanc
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.llm._common import mixed, saved, token_chunks
+from gristmill.llm._common import IdSet, members, mixed, saved, token_chunks
 from gristmill.llm.components import connected_components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -59,9 +61,14 @@ def _too_weak(zeros: int, ones: int, spare: int, load: float) -> float:
     """Chance that empty segments (worth 1), and loose ones that a deletion empties (worth 2), are worth over spare."""
     if zeros + ones == 1:
         return 0.0  # the one segment holds the whole set
-    poisson = lambda mean: [math.exp(-mean) * mean**k / math.factorial(k) for k in range(min(spare, 150) + 1)]
-    single, double = poisson(zeros * math.exp(-load)), poisson(ones * (1 + load) * math.exp(-load))
-    return max(0.0, 1 - sum(p * q for i, p in enumerate(single) for j, q in enumerate(double) if i + 2 * j <= spare))
+    if zeros * math.exp(-load) + 2 * ones * (1 + load) * math.exp(-load) > spare + 1:
+        return 1.0
+    k = np.arange(spare + 1)
+    logs = np.r_[0.0, np.cumsum(np.log(np.arange(1, spare + 1)))]
+    poisson = lambda mean: np.exp(k * math.log(mean) - mean - logs) if mean > 0 else (k == 0).astype(float)
+    single, double = np.cumsum(poisson(zeros * math.exp(-load))), poisson(ones * (1 + load) * math.exp(-load))
+    pairs = np.arange(spare // 2 + 1)
+    return max(0.0, 1 - float((double[pairs] * single[spare - 2 * pairs]).sum()))
 
 
 def allocation(low: int, top: int, percent: int, weak: float = 1e-6) -> tuple[int, int, int, int]:
@@ -72,12 +79,14 @@ def allocation(low: int, top: int, percent: int, weak: float = 1e-6) -> tuple[in
     below `weak`: one deal in which either set of a linked pair is not too weak suffices."""
     need = most_different(2 * top, percent) + 1
     best = None
+    most = need // 2 + 40
     for ones in sorted({0, 1, 2, 3, need // 8, need // 4, (need + 1) // 2}):
-        for spare in range(0, need // 2 + 40):
+        chance = lambda spare, ones=ones: 1.0 if (segments := need + spare - ones) < max(1, ones) else _too_weak(segments - ones, ones, spare, low / segments)
+        # of large sets, the least E with which one deal suffices; of small ones, every E with its number of deals
+        tried = range(most) if need <= 60 else [min(most, bisect_left(range(most), True, key=lambda e, chance=chance: chance(e) < weak))]
+        for spare in tried:
             zeros = need + spare - 2 * ones
-            if zeros < 0 or zeros + ones == 0:
-                continue
-            if (p := _too_weak(zeros, ones, spare, low / (zeros + ones))) > 0.5:
+            if zeros < 0 or zeros + ones == 0 or (p := chance(spare)) > 0.5:
                 continue
             deals = max(1, math.ceil(math.log(weak) / math.log(p))) if p > 0 else 1
             load = top / (zeros + ones)
@@ -87,7 +96,8 @@ def allocation(low: int, top: int, percent: int, weak: float = 1e-6) -> tuple[in
                 best = (cost, zeros, ones, spare, deals)
             if p < weak:
                 break
-    return best[1:]
+    # where no E makes weak sets rare, they send what says "nothing here", which is correct at any rate
+    return best[1:] if best else (need, 0, 0, 1)
 
 
 def _bounds(tops: np.ndarray, band: int) -> tuple[int, int]:
@@ -238,16 +248,19 @@ def indexed(docs: DataFrame, n: int, percent: int, largest: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, set_id long")
 
 
-def spelt(docs: DataFrame, n: int) -> DataFrame:
-    """docs (text) -> (id, shingles)."""
+def spelt(docs: DataFrame, wanted: IdSet, n: int) -> DataFrame:
+    """docs (doc_id, text) -> (id, shingles) of the rows whose doc_id is wanted. Ids may repeat or be null: a text says
+    itself which set it spells."""
     schema = "id long, shingles array<long>"
+    path, ranges, with_null = wanted.path, wanted.ranges, wanted.with_null
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words, ends in token_chunks(batches, (), 500_000):
+        chosen = (b.filter(pa.array(members(path, ranges, b.column(0), with_null))) for b in batches)
+        for _, words, ends in token_chunks(chosen, (), 500_000):
             h, at = shingles(words, ends, n)
             yield _batch(schema, [_signed(set_ids(h, at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), _signed(h))])
 
-    return docs.select("text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
 
 def _may_link(percent: int, x: str, y: str) -> Column:
@@ -277,10 +290,8 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
         x, y = facts.alias("x"), facts.alias("y")
         likely = saved(pairs.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & _may_link(percent, "x", "y")).select("a", "b", (F.col("x.n") + F.col("y.n")).alias("both")))
         wanted = likely.select(F.col("a").alias("set_id")).unionByName(likely.select(F.col("b").alias("set_id"))).distinct()
-        carriers = sets.join(wanted, "set_id").select(F.col("first_doc").alias("carrier"))
-        # ids may repeat or be null: a text says itself which set it spells
-        texts = docs.select(F.col("doc_id").cast("long").alias("own"), "text").join(carriers, F.col("own").eqNullSafe(F.col("carrier")), "left_semi")
-        arrays = saved(spelt(texts, n).dropDuplicates(["id"]))
+        carriers = IdSet(sets.join(wanted, "set_id").select("first_doc"))
+        arrays = saved(spelt(docs, carriers, n).dropDuplicates(["id"]))
         left = likely.join(arrays.select(F.col("id").alias("a"), F.col("shingles").alias("p")), "a")
         return left.join(arrays.select(F.col("id").alias("b"), F.col("shingles").alias("q")), "b").withColumn("same", F.size(F.array_intersect("p", "q"))).where(f"100 * same >= {percent} * (both - same)").select("a", "b")
 
