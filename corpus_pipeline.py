@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from gristmill.llm import mixing, ngram_join, packing, pii, quality_rules
-from gristmill.llm._common import fresh_dir
+from gristmill.llm._common import IdSet, chosen, fresh_dir, saved
 from gristmill.llm.queries import POLICY
 
 
@@ -20,15 +20,19 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles at 0.8, the one with the smallest id stays. Documents
-    without words stay; of rows repeated in full, one; a row without an id goes if it is linked to one with an id."""
-    found = ngram_join.components(docs, n=5, percent=80)
-    leaders = found.groupBy("doc_id").agg(F.min("component_id").alias("leader"), F.max("n_shingles").alias("n"))
+    without words stay, as do rows without an id; of rows that repeat an id and its text, one. Rows are chosen by sets
+    of ids where they are read, so texts are not shuffled, but for those of ids that occur more than once."""
+    found = saved(ngram_join.components(docs, n=5, percent=80).where("doc_id is not null"))
+    leaders = found.groupBy("doc_id").agg(F.min("component_id").alias("leader"), F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
+    stay = chosen(docs, IdSet(leaders.where("leader <> doc_id").select("doc_id")), False)
+    repeated = leaders.where("leader = doc_id and rows > 1 and n > 0").select("doc_id")
+    if repeated.isEmpty():
+        return stay
+    twice = IdSet(repeated)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    rows = docs.select(row, F.col("doc_id").cast("long").alias("_id"), F.xxhash64("text").alias("_hash"))
-    both = rows.join(leaders.select(F.col("doc_id").alias("_id"), "leader", "n"), "_id", "left")
-    stay = both.where("leader is null or leader = _id")
-    copy = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
-    return stay.withColumn("_copy", copy).where("_copy = 1 or n is null or n = 0").select("_row.*")
+    copies = chosen(stay, twice, True).select(row, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
+    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
+    return chosen(stay, twice, False).unionByName(copies.withColumn("_nth", nth).where("_nth = 1").select("_row.*"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -126,14 +126,19 @@ def select_texts(docs: DataFrame, **params) -> DataFrame:
     """The mix as rows with the columns of docs: a row per whole copy, and one for each part. A part that is a whole
     text is the text itself; others are their words, one space between. Rows are joined to their decisions by id and
     size; n_chars, where docs has it, follows the text."""
-    mixed = mix(docs, **params).where("taken > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("z"), "epochs", "part_start", "part_words", "wrap_words")
+    mixed = mix(docs, **params).where("taken > 0")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
-    rows = docs.select(row.alias("row"), F.col("doc_id").alias("i"), F.col("source").alias("s"), word_count(F.col("text")).alias("z"))
+    # nulls as values of their own, so that both sides meet in the partitions by which they are numbered
+    keys = lambda size: (F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("no_i"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_s"), size.alias("z"))
+    names = ["i", "no_i", "s", "no_s", "z"]
+    rows = docs.select(*keys(word_count(F.col("text"))), row.alias("row"))
     # rows that agree in id, source and size are interchangeable: pair them by number
-    number = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy("i", "s", "z").orderBy(F.lit(1))))
-    a, b = number(rows).alias("a"), number(mixed).alias("b")
-    on = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("i", "s", "z", "nth")]
-    both = a.join(b, on[0] & on[1] & on[2] & on[3]).select("a.row", "a.z", "b.epochs", "b.part_start", "b.part_words", "b.wrap_words")
+    number = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1))))
+    a, b = number(rows).alias("a"), number(mixed.select(*keys(F.col("size")), "epochs", "part_start", "part_words", "wrap_words")).alias("b")
+    on = F.col("a.nth") - F.col("b.nth") == 0  # no key of the join, which would deal both sides out again
+    for c in names:
+        on &= F.col(f"a.{c}") == F.col(f"b.{c}")
+    both = a.join(b, on).select("a.row", "a.z", "b.epochs", "b.part_start", "b.part_words", "b.wrap_words")
     none = F.expr("cast(array() as array<string>)")
     cut = lambda start, n: F.when(F.col(n) == F.col("z"), F.col("row.text")).otherwise(F.array_join(F.slice(words(F.col("row.text")), (start + 1).cast("int"), F.col(n).cast("int")), " "))
     part = lambda start, n: F.when(F.col(n) > 0, F.array(cut(start, n))).otherwise(none)

@@ -51,12 +51,15 @@ def _prf(key: str, tweak: Column, r: int, value: Column) -> Column:
 
 def feistel(value: Column, a: Column, b: Column, key: str, tweak: Column) -> Column:
     """A keyed permutation of 0 .. a*b-1 (a and b up to 2^30): halves in Z_a and Z_b take turns at being added to."""
-    state = F.struct(F.floor(value / b).cast("long").alias("l"), F.pmod(value, b).cast("long").alias("r"))
-    for r in range(ROUNDS):
+
+    def turn(r: int):
         if r % 2 == 0:
-            state = let(state, lambda s, r=r: F.struct(F.pmod(s["l"] + F.pmod(_prf(key, tweak, r, s["r"]), a), a).alias("l"), s["r"].alias("r")))
-        else:
-            state = let(state, lambda s, r=r: F.struct(s["l"].alias("l"), F.pmod(s["r"] + F.pmod(_prf(key, tweak, r, s["l"]), b), b).alias("r")))
+            return lambda s: F.struct(F.pmod(s["l"] + F.pmod(_prf(key, tweak, r, s["r"]), a), a).alias("l"), s["r"].alias("r"))
+        return lambda s: F.struct(s["l"].alias("l"), F.pmod(s["r"] + F.pmod(_prf(key, tweak, r, s["l"]), b), b).alias("r"))
+
+    state = F.struct(F.call_function("div", value, b.cast("long")).alias("l"), F.pmod(value, b).cast("long").alias("r"))
+    for r in range(ROUNDS):
+        state = let(state, turn(r))
     return let(state, lambda s: s["l"] * b + s["r"])
 
 

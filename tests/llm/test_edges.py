@@ -8,7 +8,7 @@ from gristmill.llm import ann, chat, kneser_ney, mixing, ngram_join, packing, pi
 
 
 def by_id(df, column):
-    return sorted(((r["doc_id"], r[column]) for r in df.collect()), key=lambda x: [(v is None, v or 0) for v in x])
+    return sorted(((r["doc_id"], r[column]) for r in df.collect()), key=lambda x: [(v is None, 0 if v is None else v) for v in x])
 
 
 def test_ann(spark, odd):
