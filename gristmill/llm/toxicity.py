@@ -187,7 +187,8 @@ def train(texts: list[str], labels: list[int], most_windows: int = 12_000, round
                 hit[w] = not kept.isdisjoint(beginnings(w))
     marks = [np.array([bool(y) and hit[w] for w in ws], np.int8) for ws, y in zip(tokens, labels, strict=True)]
     words, y = _windows(tokens, marks, most_windows, seed)
-    model = Field(np.zeros(DIMS), np.zeros((2, 2)), -3.0, (1.0, 0.0, 0.0))
+    # without a marked token to learn from, no token is toxic
+    model = Field(np.zeros(DIMS), np.array([[0.0, -9.0], [0.0, -9.0]]), -9.0, (1.0, 0.0, 0.0))
     if words and y.any():
         known = {w: features(w) for w in {w for ws in words for w in ws}}
         rows = [[known[w] for w in ws] for ws in words]

@@ -68,10 +68,10 @@ def test_copies_explain_little():
 def test_spans(spark):
     texts = ["the day is fine and long", "you are a moron , go", "what a moron is that", "nice words here", "a moron and a clown", "clown of the town"] * 6
     labels = [0, 1, 1, 0, 1, 1] * 6
-    model = toxicity.train([f"{t} {i}" for i, t in enumerate(texts)], labels)
-    df = spark.createDataFrame([(1, "café \U0001f600 moron !"), (2, "fine day")], "doc_id long, text string")
+    model = toxicity.train([f"{t} {i}" for i, t in enumerate(texts + texts[::3] * 8)], labels + [0] * 96)
+    df = spark.createDataFrame([(1, "the \U0001f600fine moron is"), (2, "fine day")], "doc_id long, text string")
     one, two = toxicity.tag(df, model).orderBy("doc_id").collect()
-    assert [(s.start, s.end) for s in one.spans] == [(7, 12)] and two.spans == [] and one.score > two.score
+    assert [(s.start, s.end) for s in one.spans] == [(10, 15)] and two.spans == [] and one.score > two.score
 
 
 def test_prior_and_risk():
