@@ -64,7 +64,7 @@ def worker_state() -> dict:
 class WordHashes(dict):
     """Bytes -> 64-bit hash. Remembers up to `most` words; the rest are hashed each time."""
 
-    most = 1_000_000
+    most = 250_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -75,10 +75,10 @@ class WordHashes(dict):
         return h
 
 
-def token_chunks(batches, columns, most_tokens: int = 2_000_000):
+def token_chunks(batches, columns, most_tokens: int = 2_000_000, most_texts: int = 20_000):
     """Arrow batches (columns and text) -> (values of the columns as lists, lists of each text's word hashes as one
     uint64 array, offsets). Texts are whole; words are split at ASCII white space after A-Z is lower-cased; a null text
-    has none. A chunk ends with the text that reaches most_tokens."""
+    has none. A chunk ends with the text that reaches most_tokens, or with that number of texts."""
     import numpy as np
 
     state = worker_state()
@@ -95,7 +95,7 @@ def token_chunks(batches, columns, most_tokens: int = 2_000_000):
             kept.append(rows[i])
             total += len(ws)
             ends.append(total)
-            if total >= most_tokens:
+            if total >= most_tokens or len(kept) >= most_texts:
                 yield kept, np.concatenate(arrays), np.array(ends, np.int64)
                 kept, arrays, ends, total = [], [], [0], 0
     if kept:

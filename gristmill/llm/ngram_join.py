@@ -219,7 +219,7 @@ def described(docs: DataFrame, n: int) -> DataFrame:
     """docs (doc_id, text) -> each row's number of shingles, set id and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, words, ends in token_chunks(batches, ("doc_id",)):
+        for rows, words, ends in token_chunks(batches, ("doc_id",), 500_000):
             h, at = shingles(words, ends, n)
             k = sketches(h, at)
             yield _batch(BASE, [pa.array([r[0] for r in rows], pa.int64()), np.diff(at), _signed(set_ids(h, at)), *(_signed(np.ascontiguousarray(k[:, i])) for i in range(4))])
@@ -234,7 +234,7 @@ def indexed(docs: DataFrame, n: int, percent: int, largest: int) -> DataFrame:
     schemes = {b: allocation(*_bounds(tops, b), percent) for b in range(len(tops))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words, ends in token_chunks(batches, (), 500_000):
+        for _, words, ends in token_chunks(batches, (), 250_000):
             h, at = shingles(words, ends, n)
             ids = set_ids(h, at)
             _, one = np.unique(ids, return_index=True)  # copies within a chunk send their signatures once
