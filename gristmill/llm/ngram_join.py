@@ -11,8 +11,9 @@ Small sets are dealt into segments several times; the few for which such signatu
 may be the smaller partner.
 
 Equal sets share an id, so copies are joined once. The sets that share a signature are linked to the first of them and
-compared exactly; only where that leaves a bucket in more than one component are other pairs across components
-compared, after bounds by size and by a 256-bit parity sketch (differing bits never outnumber differing elements).
+compared exactly; where that leaves a bucket in more than one component, neighbours in seeded orders of the bucket are, and only
+what is still apart then is compared across components, after bounds by size and by a 1024-bit parity sketch (differing bits never outnumber
+differing elements).
 No pair within a component that is already whole is made, and no link between different components is missed.
 
 Scale: signatures (16 bytes; about 0.4 per shingle) are the one large exchange, sorted by signature and read as a
@@ -41,6 +42,9 @@ from gristmill.llm._common import IdSet, members, mixed, saved, token_chunks
 from gristmill.llm.components import connected_components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: 64-bit words of a parity sketch.
+WORDS = 16
+SKETCH = [f"k{i}" for i in range(WORDS)]
 
 
 def most_different(a_plus_b, percent: int):
@@ -144,12 +148,13 @@ def set_ids(h: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 
 def sketches(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Four words per set: bit i is the parity of the number of elements dealt to it."""
-    bit = (mixed(h + ODD) >> np.uint64(56)).astype(np.int64)
+    """WORDS words per set: bit i is the parity of the number of elements dealt to it."""
+    bit = (mixed(h + ODD) % np.uint64(64 * WORDS)).astype(np.int64)
     sizes = np.diff(at)
     owner = np.repeat(np.arange(len(sizes)), sizes)
-    parity = np.bincount(owner * 256 + bit, minlength=256 * len(sizes)).astype(np.uint8) & 1 if len(sizes) else np.empty(0, np.uint8)
-    return np.packbits(parity.reshape(-1, 256), axis=1, bitorder="little").view("<u8") if len(sizes) else np.empty((0, 4), np.uint64)
+    bits = 64 * WORDS
+    parity = np.bincount(owner * bits + bit, minlength=bits * len(sizes)).astype(np.uint8) & 1 if len(sizes) else np.empty(0, np.uint8)
+    return np.packbits(parity.reshape(-1, bits), axis=1, bitorder="little").view("<u8") if len(sizes) else np.empty((0, WORDS), np.uint64)
 
 
 def signatures(h: np.ndarray, at: np.ndarray, tops: np.ndarray, schemes: dict[int, tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -212,17 +217,17 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
 
-BASE = "doc_id long, n long, set_id long, k0 long, k1 long, k2 long, k3 long"
+BASE = "doc_id long, n long, set_id long, " + ", ".join(f"{k} long" for k in SKETCH)
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
     """docs (doc_id, text) -> each row's number of shingles, set id and sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, words, ends in token_chunks(batches, ("doc_id",), 500_000):
+        for rows, words, ends in token_chunks(batches, ("doc_id",), 500_000, 5_000):
             h, at = shingles(words, ends, n)
             k = sketches(h, at)
-            yield _batch(BASE, [pa.array([r[0] for r in rows], pa.int64()), np.diff(at), _signed(set_ids(h, at)), *(_signed(np.ascontiguousarray(k[:, i])) for i in range(4))])
+            yield _batch(BASE, [pa.array([r[0] for r in rows], pa.int64()), np.diff(at), _signed(set_ids(h, at)), *(_signed(np.ascontiguousarray(k[:, i])) for i in range(WORDS))])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BASE)
 
@@ -265,7 +270,7 @@ def spelt(docs: DataFrame, wanted: IdSet, n: int) -> DataFrame:
 
 def _may_link(percent: int, x: str, y: str) -> Column:
     """Bounds that every linked pair meets."""
-    differ = " + ".join(f"bit_count({x}.k{i} ^ {y}.k{i})" for i in range(4))
+    differ = " + ".join(f"bit_count({x}.{k} ^ {y}.{k})" for k in SKETCH)
     size = f"100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
     return F.expr(f"{size} and {differ} <= (({x}.n + {y}.n) * {100 - percent}) div {100 + percent}")
 
@@ -274,7 +279,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     """docs (doc_id, text) -> base rows (see described), sets (set_id, n, first_doc, sketch) and the sets' components
     (id, component), computed."""
     base = saved(described(docs, n))
-    sets = base.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), *(F.first(c).alias(c) for c in ("n", "k0", "k1", "k2", "k3")))
+    sets = base.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), *(F.first(c).alias(c) for c in ("n", *SKETCH)))
     sets = saved(sets)
     largest = sets.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
 
@@ -283,7 +288,7 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     starred = sigs.select("sig", "set_id", F.first("set_id").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("rep"), F.lag("set_id").over(bucket).alias("before"))
     buckets = saved(starred.where("set_id <> rep and set_id <> before").select("sig", "rep", F.col("set_id").alias("id")))
 
-    facts = sets.select(F.col("set_id").alias("id"), "n", "k0", "k1", "k2", "k3")
+    facts = sets.select(F.col("set_id").alias("id"), "n", *SKETCH)
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b), distinct, those that link; texts are read again for the sets that need it only."""
@@ -309,6 +314,17 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
     if not more.isEmpty():
         found = saved(found.unionByName(more))
         parts = saved(connected_components(found))
+    # chains through the buckets, in an order of their own each, join what the first sets did not
+    members = buckets.select("sig", "id").unionByName(buckets.select("sig", F.col("rep").alias("id")).distinct())
+    for deal in range(2):
+        order = Window.partitionBy("sig").orderBy(F.xxhash64(F.lit(deal), "id"))
+        now = members.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id"))
+        steps = now.select("id", "c", F.lag("id").over(order).alias("before"), F.lag("c").over(order).alias("bc")).where("c <> bc")
+        more = saved(verified(steps.select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).distinct()))
+        if more.isEmpty():
+            break
+        found = saved(found.unionByName(more))
+        parts = saved(connected_components(found))
     state = open_buckets(parts)
     # a set apart from its bucket's first set against the bucket's others; the first has been compared with all
     apart = state.where("c <> rc").select("sig", "id", "c").join(facts, "id").alias("x")
