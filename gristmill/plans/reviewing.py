@@ -112,7 +112,7 @@ def incremental_reuse(spark: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_leaders(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_orderkey < 2000").select("l_orderkey", F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
+    rows = table(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("x"), (F.col("l_discount") * 100).alias("y"))
     return se.leaders(rows, ["l_orderkey"], ["k"], ["x", "y"], 10.0)
 
 
