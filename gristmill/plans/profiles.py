@@ -58,7 +58,7 @@ def crop_orientation(spark: SparkSession, d: str) -> DataFrame:
 def crop_straightened(spark: SparkSession, d: str) -> DataFrame:
     """There and back; crops that reach the edge are moved inside, so the way back is not always the same."""
     deg = F.col("l_linenumber") * 1.5 - 4
-    rows = _crops(spark, d).where("crop is not null and l_orderkey % 10 = 0").withColumn("straight", ge.to_straight(F.col("crop"), F.lit(3000.0), F.lit(2000.0), deg))
+    rows = _crops(spark, d).where("crop is not null").withColumn("straight", ge.to_straight(F.col("crop"), F.lit(3000.0), F.lit(2000.0), deg))
     return rows.select("l_orderkey", "l_linenumber", "crop", "straight", ge.from_straight(F.col("straight"), F.lit(3000.0), F.lit(2000.0), deg).alias("back"))
 
 

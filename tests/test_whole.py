@@ -1,5 +1,6 @@
 """Registered queries read their whole tables."""
 
+import math
 import random
 
 import pytest
@@ -30,3 +31,24 @@ def test_greedy_leaders_of_every_order(spark, items):
                 leads.append([x, d * 100, 1])
         want += [(o, i, *m) for i, m in enumerate(leads)]
     assert sorted(map(tuple, catalogue.QUERIES["greedy_leaders"](spark, at).select("l_orderkey", "leader", "x", "y", "n").collect())) == sorted(want)
+
+
+def test_crop_straightened_of_every_order(spark, items):
+    at, _ = items
+    rows = {(r.l_orderkey, r.l_linenumber): r for r in catalogue.QUERIES["crop_straightened"](spark, at).collect()}
+    crops = {(r.l_orderkey, r.l_linenumber) for r in catalogue.QUERIES["crop_orientation"](spark, at).collect()}
+    assert rows.keys() == crops and {k[0] % 10 for k in crops} >= {0, 1, 7, 9}
+    for (_, k), r in rows.items():
+        a, (l, t, right, b) = math.radians(k * 1.5 - 4), r.crop  # noqa: E741
+        c, s = abs(math.cos(a)), abs(math.sin(a))
+        w, h = 3000 * c + 2000 * s, 3000 * s + 2000 * c
+
+        def moved(box, w0, h0, w1, h1, a):
+            x, y = ((box[0] + box[2]) / 2 - 0.5) * w0, ((box[1] + box[3]) / 2 - 0.5) * h0
+            bw, bh = min((box[2] - box[0]) * w0, w1), min((box[3] - box[1]) * h0, h1)
+            left = min(max(w1 / 2 + x * math.cos(a) - y * math.sin(a) - bw / 2, 0), w1 - bw)
+            top = min(max(h1 / 2 + x * math.sin(a) + y * math.cos(a) - bh / 2, 0), h1 - bh)
+            return [left / w1, top / h1, (left + bw) / w1, (top + bh) / h1]
+
+        assert r.straight == pytest.approx(moved((l, t, right, b), 3000, 2000, w, h, -a), abs=2e-5)
+        assert r.back == pytest.approx(moved(r.straight, w, h, 3000, 2000, a), abs=2e-5)
