@@ -163,14 +163,21 @@ def nested_leave_one_out(rows: DataFrame, group: str, features: list[str], preci
 
 def learned_extent(rows: DataFrame, least: int = 3) -> DataFrame:
     """rows (w_mm, h_mm) made by hand on reliable scales: upper medians of the long and the short side of frames of the
-    usual shape, 2 decimals; no row with fewer than `least`."""
+    usual shape, 2 decimals; no row with fewer than `least`. Counts per distinct value find the hundredth of a millimetre
+    that holds the middle, and only its values are ranked."""
     long, short = F.greatest("w_mm", "h_mm"), F.least("w_mm", "h_mm")
     shape = long / F.greatest(short, F.lit(1e-6))
     fit = rows.select(long.alias("l"), short.alias("s")).where((shape > 0.6) & (shape < 2.0) & (F.col("l") > 30))
-    ranks = fit.select(F.row_number().over(Window.orderBy("l")).alias("i"), F.row_number().over(Window.orderBy("s")).alias("j"), "l", "s")
-    n = fit.agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    at = lambda k, c: F.max(F.when(F.col(k) == F.floor(F.col("n") / 2) + 1, F.bround(c, 2)))
-    return ranks.crossJoin(F.broadcast(n)).groupBy("n").agg(at("i", "l").alias("long_mm"), at("j", "s").alias("short_mm"))
+    both = F.explode(F.array(F.struct(F.lit("l").alias("side"), F.col("l").alias("v")), F.struct(F.lit("s").alias("side"), F.col("s").alias("v"))))
+    per = fit.select(both.alias("x")).groupBy("x.side", "x.v").agg(F.count("*").alias("k")).withColumn("b", F.floor(F.col("v") * 100))
+    up = Window.partitionBy("side").orderBy("b")  # over at most one row per hundredth of a millimetre
+    sums = per.groupBy("side", "b").agg(F.sum("k").alias("bk")).withColumns({"upto": F.sum("bk").over(up), "n": F.sum("bk").over(Window.partitionBy("side"))})
+    place = F.floor(F.col("n") / 2) + 1
+    middle = sums.where((F.col("n") >= least) & (F.col("upto") >= place) & (F.col("upto") - F.col("bk") < place))
+    own = Window.partitionBy("side").orderBy("v")
+    run = per.join(F.broadcast(middle), ["side", "b"]).withColumn("run", F.col("upto") - F.col("bk") + F.sum("k").over(own))
+    at = lambda side: F.bround(F.min(F.when((F.col("side") == side) & (F.col("run") >= place), F.col("v"))), 2)
+    return run.groupBy("n").agg(at("l").alias("long_mm"), at("s").alias("short_mm"))
 
 
 def scaled_reference(box: Column, width: Column, height: Column, edge: int = 2000) -> Column:

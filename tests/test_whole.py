@@ -6,6 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from gristmill.operators import evaluate as ev
 from gristmill.plans import catalogue
 
 
@@ -52,3 +53,23 @@ def test_crop_straightened_of_every_order(spark, items):
 
         assert r.straight == pytest.approx(moved((l, t, right, b), 3000, 2000, w, h, -a), abs=2e-5)
         assert r.back == pytest.approx(moved(r.straight, w, h, 3000, 2000, a), abs=2e-5)
+
+
+def test_learned_extent_of_all_orders(spark, tmp_path):
+    """Orders whose keys do not divide by 50, many alike; ranked without a window over all rows."""
+    rng = random.Random(6)
+    prices = [rng.choice([310_000.0, 452_000.5, rng.uniform(200_000, 900_000)]) for _ in range(301)]
+    spark.createDataFrame([(50 * i + 1 + i % 49, p) for i, p in enumerate(prices)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    sides = [(max(w, h), min(w, h)) for w, h in ((p / 10007, p / 15013 + 3) for p in prices)]
+    fit = [s for s in sides if 0.6 < s[0] / s[1] < 2 and s[0] > 30]
+    got = catalogue.QUERIES["learned_extent_all"](spark, str(tmp_path))
+    want = [round(sorted(s[k] for s in fit)[len(fit) // 2], 2) for k in (0, 1)]
+    assert [tuple(r) for r in got.select("n", "long_mm", "short_mm").collect()] == [(len(fit), *want)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "row_number" not in plan and "windowspecdefinition(side" in plan
+
+
+def test_learned_extent_of_few(spark):
+    rows = spark.createDataFrame([(36.0, 24.0), (36.0, 24.0), (35.0, 25.0), (10.0, 9.0)], "w_mm double, h_mm double")
+    assert [tuple(r) for r in ev.learned_extent(rows).select("n", "long_mm", "short_mm").collect()] == [(3, 36.0, 24.0)]
+    assert ev.learned_extent(rows, 4).count() == ev.learned_extent(rows.where("false")).count() == 0
