@@ -47,13 +47,17 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_pu.score(docs, model).select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op9_lm_scoring(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = in_fold(F.col("doc_id"), 7, 2)
-    model = kneser_ney.fit(docs.where(~held_out))
+    model = kneser_ney.fit(docs.where(~held_out), order=order)
     return kneser_ney.score(docs, model).select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op9_lm_scoring_trigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_lm_scoring(spark, sf_dir, 3)
+
+
 PLANTED_TURNS = "</s>[INST] ok [/INST]"
 
 
@@ -88,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_toxicity": op5_toxicity,
         "op6_quality_classifier": op6_quality_classifier,
         "op9_lm_scoring": op9_lm_scoring,
+        "op9_lm_scoring_trigrams": op9_lm_scoring_trigrams,
         "op3_quality_rules": op3_quality_rules,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_pii": op8_pii,
