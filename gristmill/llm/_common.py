@@ -35,6 +35,36 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate results, on whatever store it is."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Scratch:
+    """Tables in a folder of their own below the shared one, each deleted as soon as it has been superseded."""
+
+    def __init__(self, spark: SparkSession, kind: str):
+        self.spark, self.path, self.count = spark, fresh_dir(spark, kind), 0
+
+    def next(self) -> int:
+        self.count += 1
+        return self.count
+
+    def save(self, df: DataFrame) -> DataFrame:
+        """df, computed once and read from its files."""
+        path = f"{self.path}/{self.next()}"
+        df.write.parquet(path)
+        table = self.spark.read.schema(df.schema).parquet(path)
+        table._scratch_path = path
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that save returned and nothing reads any more."""
+        for table in tables:
+            remove_dir(self.spark, table._scratch_path)
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once: a lambda's variable, unlike a projected column, is never inlined twice."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -116,7 +146,7 @@ def mixed(h):
 # Arrays in the shared folder.
 
 
-def _local(path: str) -> str | None:
+def local_path(path: str) -> str | None:
     return path if path.startswith("/") else path[len("file:") :].replace("//", "/", 1) if path.startswith("file:/") else None
 
 
@@ -125,7 +155,7 @@ def write_arrays(path: str, name: str, arrays: dict) -> None:
     import numpy as np
     from pyarrow import fs
 
-    local = _local(path)
+    local = local_path(path)
     store, root = (fs.LocalFileSystem(), local) if local else fs.FileSystem.from_uri(path)
     store.create_dir(root, recursive=True)
     for key, values in arrays.items():
@@ -139,7 +169,7 @@ def read_array(path: str, name: str, kind: str):
     """The array in a file: mapped into memory where the folder is local or mounted, else read."""
     import numpy as np
 
-    local = _local(path)
+    local = local_path(path)
     if local:
         import os
 
@@ -164,9 +194,8 @@ class IdSet:
 
     def __init__(self, ids: DataFrame):
         """ids: one column of longs; nulls are told by `with_null`."""
-        column = ids.columns[0]
-        self.with_null = not ids.where(F.col(column).isNull()).isEmpty()
-        self.path, self.ranges = fresh_dir(ids.sparkSession, "ids"), int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        column, spark = ids.columns[0], ids.sparkSession
+        self.path, self.ranges = fresh_dir(spark, "ids"), int(spark.conf.get("spark.sql.shuffle.partitions"))
         path, ranges = self.path, self.ranges
 
         def dealt(batches):
@@ -174,8 +203,10 @@ class IdSet:
             import pyarrow as pa
 
             for batch in batches:
-                x = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(in_range(mixed(x.view(np.uint64)), ranges).astype(np.int32)), pa.array(x)], names=["pid", "id"])
+                valid = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+                x = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                pid = np.where(valid, in_range(mixed(x.view(np.uint64)), ranges), ranges)
+                yield pa.RecordBatch.from_arrays([pa.array(pid.astype(np.int32)), pa.array(x)], names=["pid", "id"])
 
         def write(batches):
             import numpy as np
@@ -188,18 +219,27 @@ class IdSet:
                     parts.append(batch.column(1).to_numpy())
             if len(pids) > 1:
                 raise ValueError(f"ranges {sorted(pids)} in one partition")
-            if parts:
-                write_arrays(path, f"ids-{pids.pop()}", {"id": np.unique(np.concatenate(parts))})
-            yield pa.RecordBatch.from_arrays([pa.array([len(parts)], pa.int64())], names=["n"])
+            if parts and min(pids) < ranges:
+                write_arrays(path, f"ids-{min(pids)}", {"id": np.unique(np.concatenate(parts))})
+            yield pa.RecordBatch.from_arrays([pa.array(sorted(pids), pa.int32())], names=["pid"])
+
+        some = ids.select(F.col(column).cast("long").alias("id")).mapInArrow(dealt, "pid int, id long")
+        # the ranges that hold ids: a file that is missing later is an error and not an empty range
+        self.filled = frozenset(r["pid"] for r in some.repartitionById(ranges + 1, F.col("pid")).mapInArrow(write, "pid int").collect())
+        self.with_null = ranges in self.filled
+
+    def drop(self) -> None:
+        """Deletes the files, once no plan needs them."""
+        from pyspark.sql import SparkSession as Session
 
-        some = ids.where(F.col(column).isNotNull()).select(F.col(column).cast("long").alias("id")).mapInArrow(dealt, "pid int, id long")
-        some.repartitionById(ranges, F.col("pid")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+        remove_dir(Session.active(), self.path)
 
 
-def members(path: str, ranges: int, ids, with_null: bool):
+def members(id_set: IdSet, ids, with_null: bool):
     """Which of an Arrow array of ids are in the set; for workers."""
     import numpy as np
 
+    path, ranges, filled = id_set.path, id_set.ranges, id_set.filled
     maps = worker_state().setdefault("id_sets", {})
     valid = ids.is_valid().to_numpy(zero_copy_only=False)
     x = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -207,10 +247,7 @@ def members(path: str, ranges: int, ids, with_null: bool):
     hit = np.zeros(len(x), bool)
     for p in np.unique(pid):
         if (path, p) not in maps:
-            try:
-                maps[path, p] = read_array(path, f"ids-{p}.id", "i8")
-            except FileNotFoundError:
-                maps[path, p] = np.empty(0, np.int64)
+            maps[path, p] = read_array(path, f"ids-{p}.id", "i8") if p in filled else np.empty(0, np.int64)
         there, at = maps[path, p], np.flatnonzero(pid == p)
         if len(there):
             k = np.minimum(np.searchsorted(there, x[at]), len(there) - 1)
@@ -220,13 +257,12 @@ def members(path: str, ranges: int, ids, with_null: bool):
 
 def chosen(rows: DataFrame, ids: IdSet, inside: bool, column: str = "doc_id") -> DataFrame:
     """The rows whose id is in the set, or is not; rows without an id count as outside."""
-    path, ranges = ids.path, ids.ranges
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep = members(path, ranges, batch.column(batch.num_columns - 1), False)
+            keep = members(ids, batch.column(batch.num_columns - 1), False)
             yield batch.filter(pa.array(keep if inside else ~keep)).select(batch.schema.names[:-1])
 
     return rows.select("*", F.col(column).cast("long").alias("_key_of_row")).mapInArrow(run, rows.schema)

@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._common import saved
+from gristmill.llm._common import Scratch
 
 
-def connected_components(links: DataFrame) -> DataFrame:
-    """links (a, b) -> (id, component): each id that occurs, with the smallest id it can reach.
+def connected_components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """links (a, b) -> (id, component), a table in `scratch`: each id that occurs, with the smallest id it can reach.
 
     Every step sends an edge to the smallest neighbour of one of its ends, found by an aggregate that combines on the
-    map side and joined back, so a node with many edges is never gathered. Each round is cut by a checkpoint; rounds go
-    on until every component is a star, which takes about the logarithm of the longest path."""
-    edges = saved(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    map side and joined back, so a node with many edges is never gathered. Each round is a table too; rounds go on
+    until every component is a star, which takes about the logarithm of the longest path."""
+    edges = scratch.save(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     while not _stars(edges):
         # large star: neighbours above u go to the smallest of u and its neighbours
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -23,9 +23,12 @@ def connected_components(links: DataFrame) -> DataFrame:
         # small star: u and its neighbours below go to the smallest of them
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = saved(small.where("u <> v").distinct())
+        last, edges = edges, scratch.save(small.where("u <> v").distinct())
+        scratch.drop(last)
     roots = edges.select(F.col("v").alias("id")).distinct().select("id", F.col("id").alias("component"))
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots)
+    found = scratch.save(edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots))
+    scratch.drop(edges)
+    return found
 
 
 def _stars(edges: DataFrame) -> bool:

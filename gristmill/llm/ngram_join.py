@@ -10,15 +10,17 @@ Small sets are dealt into segments several times; the few for which such signatu
 (one in a million by design) send them too. A set sends signatures for its own band and for the next, where it
 may be the smaller partner.
 
-Equal sets share an id, so copies are joined once. The sets that share a signature are linked to the first of them and
-compared exactly; where that leaves a bucket in more than one component, neighbours in seeded orders of the bucket are, and only
-what is still apart then is compared across components, after bounds by size and by a 1024-bit parity sketch (differing bits never outnumber
-differing elements).
-No pair within a component that is already whole is made, and no link between different components is missed.
-
-Scale: signatures (16 bytes; about 0.4 per shingle) are the one large exchange, sorted by signature and read as a
-stream, so a bucket of any size needs no memory. Texts are never shuffled: sets with a surviving candidate are spelt out
-where their text is read, chosen by a set of ids that workers map from the shared folder.
+Equal sets share an id, so copies are joined once. The sets that share a signature are first compared with the first of
+them. Only buckets whose other sets then lie in more than one component are looked at again: neighbours in seeded orders
+of the bucket are compared, and then, across components, what is still apart. No pair within a component that is already
+whole is made, and no link between different components is missed. A pair is a candidate only if it meets bounds by size
+and by a 1024-bit parity sketch (differing bits never outnumber differing elements); candidates are compared exactly.
+
+Scale: signatures (16 bytes; about 0.3 per shingle of longer sets) are the one large exchange, sorted by signature and
+read as a stream, so a bucket of any size needs no memory. A large bucket is compared across components by pairs of
+blocks of `BLOCK` sets, each a key of its own. Texts are never shuffled: sets with a candidate are spelt out where their text
+is read, chosen by a set of ids that workers map from the shared folder, and written once as sorted arrays by ranges of
+set ids, which the comparison of pairs maps in turn; no pair carries its sets. Superseded tables are deleted at once.
 
 Defined cases: A-Z is lower-cased; texts with fewer than n words have their whole sequence as one shingle; null and
 empty texts, or texts of white space, have no shingles and are linked with nothing; repeated rows are rows of one set;
@@ -38,13 +40,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.llm._common import IdSet, members, mixed, saved, token_chunks
+from gristmill.llm._common import IdSet, Scratch, in_range, local_path, members, mixed, read_array, remove_dir, token_chunks, write_arrays
 from gristmill.llm.components import connected_components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: 64-bit words of a parity sketch.
 WORDS = 16
 SKETCH = [f"k{i}" for i in range(WORDS)]
+#: Sets of a bucket that are compared with as many others in one group of rows.
+BLOCK = 1024
+#: What a segment with two shingles or fewer, which gathers unrelated sets, costs in signatures.
+CROWD = 8
 
 
 def most_different(a_plus_b, percent: int):
@@ -95,7 +101,7 @@ def allocation(low: int, top: int, percent: int, weak: float = 1e-6) -> tuple[in
             deals = max(1, math.ceil(math.log(weak) / math.log(p))) if p > 0 else 1
             load = top / (zeros + ones)
             light = math.exp(-load) * (1 + load + load * load / 2)
-            cost = deals * (zeros * (1 + 20 * light) + ones * (1 + load + 20 * light))
+            cost = deals * (zeros * (1 + CROWD * light) + ones * (1 + load + CROWD * light))
             if best is None or cost < best[0]:
                 best = (cost, zeros, ones, spare, deals)
             if p < weak:
@@ -253,19 +259,81 @@ def indexed(docs: DataFrame, n: int, percent: int, largest: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "sig long, set_id long")
 
 
-def spelt(docs: DataFrame, wanted: IdSet, n: int) -> DataFrame:
-    """docs (doc_id, text) -> (id, shingles) of the rows whose doc_id is wanted. Ids may repeat or be null: a text says
-    itself which set it spells."""
-    schema = "id long, shingles array<long>"
-    path, ranges, with_null = wanted.path, wanted.ranges, wanted.with_null
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chosen = (b.filter(pa.array(members(path, ranges, b.column(0), with_null))) for b in batches)
-        for _, words, ends in token_chunks(chosen, (), 500_000):
-            h, at = shingles(words, ends, n)
-            yield _batch(schema, [_signed(set_ids(h, at)), pa.ListArray.from_arrays(pa.array(at, pa.int32()), _signed(h))])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+class SetStore:
+    """Sets' shingles in the shared folder, by ranges of set ids: sorted ids, offsets and shingles, mapped by workers."""
+
+    def __init__(self, docs: DataFrame, wanted: IdSet, n: int, scratch: Scratch):
+        """docs (doc_id, text): spelt are the rows whose doc_id is wanted. Ids may repeat or be null: a text says itself
+        which set it spells."""
+        self.path, self.ranges = f"{scratch.path}/sets-{scratch.next()}", wanted.ranges
+        path, ranges = self.path, self.ranges
+        rows = "pid int, id long, shingles array<long>"
+
+        def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            chosen = (b.filter(pa.array(members(wanted, b.column(0), wanted.with_null))) for b in batches)
+            for _, words, ends in token_chunks(chosen, (), 500_000):
+                h, at = shingles(words, ends, n)
+                ids = set_ids(h, at)
+                yield _batch(rows, [pa.array(in_range(ids, ranges).astype(np.int32)), _signed(ids), pa.ListArray.from_arrays(pa.array(at, pa.int32()), _signed(h))])
+
+        def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found: dict[int, np.ndarray] = {}
+            pids = set()
+            for batch in batches:
+                pids |= set(batch.column(0).unique().to_pylist())
+                for i, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    if i not in found:
+                        found[i] = x.values.to_numpy()
+            if len(pids) > 1:
+                raise ValueError(f"ranges {sorted(pids)} in one partition")
+            if found:
+                ids = np.array(sorted(found), np.int64)
+                sets = [found[i] for i in ids.tolist()]
+                write_arrays(path, f"sets-{pids.pop()}", {"id": ids, "at": np.r_[0, np.cumsum([len(x) for x in sets])], "h": np.concatenate(sets)})
+            yield pa.RecordBatch.from_arrays([pa.array([len(found)], pa.int64())], names=["n"])
+
+        spelt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(spell, rows)
+        spelt.repartitionById(ranges, F.col("pid")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
+
+    def linked(self, pairs: DataFrame, percent: int) -> DataFrame:
+        """Of pairs (a, b) those whose sets, compared in full, are as similar as that."""
+        path, ranges = self.path, self.ranges
+        most = ranges if local_path(path) else 16  # mapped files take no memory
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, tuple] = {}
+
+            def shelf(pid: int) -> tuple:
+                if pid not in held:
+                    if len(held) >= most:
+                        held.pop(next(iter(held)))
+                    held[pid] = tuple(read_array(path, f"sets-{pid}.{k}", "i8") for k in ("id", "at", "h"))
+                return held[pid]
+
+            def spelt(ids: np.ndarray, pids: np.ndarray) -> list[np.ndarray]:
+                out: list = [None] * len(ids)
+                for pid in np.unique(pids):
+                    there, at, h = shelf(int(pid))
+                    mine = np.flatnonzero(pids == pid)
+                    where = np.searchsorted(there, ids[mine])
+                    if len(there) and (there[np.minimum(where, len(there) - 1)] != ids[mine]).any() or not len(there):
+                        raise ValueError("a set that is to be compared has not been spelt")
+                    for k, w in zip(mine.tolist(), where.tolist(), strict=True):
+                        out[k] = h[at[w] : at[w + 1]]
+                return out
+
+            for batch in batches:
+                a, b = (c.to_numpy() for c in batch.columns)
+                x, y = (spelt(i, in_range(i.view(np.uint64), ranges)) for i in (a, b))
+                same = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
+                both = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64)
+                keep = 100 * same >= percent * (both - same)
+                yield pa.RecordBatch.from_arrays([pa.array(a[keep]), pa.array(b[keep])], names=["a", "b"])
+
+        return pairs.select("a", "b").sortWithinPartitions("a").mapInArrow(run, "a long, b long")
+
+    def drop(self, docs: DataFrame) -> None:
+        remove_dir(docs.sparkSession, self.path)
 
 
 def _may_link(percent: int, x: str, y: str) -> Column:
@@ -278,62 +346,76 @@ def _may_link(percent: int, x: str, y: str) -> Column:
 def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
     """docs (doc_id, text) -> base rows (see described), sets (set_id, n, first_doc, sketch) and the sets' components
     (id, component), computed."""
-    base = saved(described(docs, n))
+    scratch = Scratch(docs.sparkSession, "join")
+    base = scratch.save(described(docs, n))
     sets = base.where("n > 0").groupBy("set_id").agg(F.min("doc_id").alias("first_doc"), *(F.first(c).alias(c) for c in ("n", *SKETCH)))
-    sets = saved(sets)
+    sets = scratch.save(sets)
     largest = sets.agg(F.coalesce(F.max("n"), F.lit(1))).first()[0]
+    facts = sets.select(F.col("set_id").alias("id"), "n", *SKETCH)
 
     bucket = Window.partitionBy("sig").orderBy("set_id")
+    whole = bucket.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     sigs = indexed(docs, n, percent, largest)
-    starred = sigs.select("sig", "set_id", F.first("set_id").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("rep"), F.lag("set_id").over(bucket).alias("before"))
-    buckets = saved(starred.where("set_id <> rep and set_id <> before").select("sig", "rep", F.col("set_id").alias("id")))
-
-    facts = sets.select(F.col("set_id").alias("id"), "n", *SKETCH)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """Of pairs (a, b), distinct, those that link; texts are read again for the sets that need it only."""
-        x, y = facts.alias("x"), facts.alias("y")
-        likely = saved(pairs.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & _may_link(percent, "x", "y")).select("a", "b", (F.col("x.n") + F.col("y.n")).alias("both")))
-        wanted = likely.select(F.col("a").alias("set_id")).unionByName(likely.select(F.col("b").alias("set_id"))).distinct()
+    starred = sigs.select("sig", "set_id", F.first("set_id").over(bucket.rowsBetween(Window.unboundedPreceding, 0)).alias("rep"), F.lag("set_id").over(bucket).alias("before"), F.last("set_id").over(whole).alias("end"))
+    # of two sets only, nothing is left once the second has been compared with the first
+    buckets = scratch.save(starred.where("set_id <> rep and set_id <> before").select("sig", "rep", F.col("set_id").alias("id"), F.expr("before <> rep or set_id <> end").alias("more")))
+
+    def verified(likely: DataFrame) -> DataFrame:
+        """Of pairs (a, b) that meet the bounds, those that link; texts are read again for the sets that need it only."""
+        likely = scratch.save(likely.distinct())
+        if likely.isEmpty():
+            return likely
+        wanted = likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         carriers = IdSet(sets.join(wanted, "set_id").select("first_doc"))
-        arrays = saved(spelt(docs, carriers, n).dropDuplicates(["id"]))
-        left = likely.join(arrays.select(F.col("id").alias("a"), F.col("shingles").alias("p")), "a")
-        return left.join(arrays.select(F.col("id").alias("b"), F.col("shingles").alias("q")), "b").withColumn("same", F.size(F.array_intersect("p", "q"))).where(f"100 * same >= {percent} * (both - same)").select("a", "b")
-
-    def open_buckets(parts: DataFrame) -> DataFrame:
-        """Bucket rows whose set is not in the component of the bucket's first set."""
-        mine = buckets.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
-        its = parts.select(F.col("id").alias("rep"), F.col("component").alias("rep_component"))
-        return mine.join(its, "rep", "left").withColumn("rc", F.coalesce("rep_component", "rep")).drop("rep_component")
-
-    # first each set against the first set of one of its buckets, then of its other buckets, then across components
-    found = saved(verified(buckets.groupBy("id").agg(F.min("rep").alias("rep")).select(F.col("rep").alias("a"), F.col("id").alias("b"))))
-    parts = saved(connected_components(found))
-    stars = open_buckets(parts).where("c <> rc").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
-    more = saved(verified(stars))
-    if not more.isEmpty():
-        found = saved(found.unionByName(more))
-        parts = saved(connected_components(found))
-    # chains through the buckets, in an order of their own each, join what the first sets did not
-    members = buckets.select("sig", "id").unionByName(buckets.select("sig", F.col("rep").alias("id")).distinct())
+        store = SetStore(docs, carriers, n, scratch)
+        out = scratch.save(store.linked(likely, percent))
+        carriers.drop()
+        store.drop(docs)
+        scratch.drop(likely)
+        return out
+
+    def component_of(rows: DataFrame) -> DataFrame:
+        return rows.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id")).drop("component")
+
+    def joined(more: DataFrame) -> DataFrame:
+        """The components after more links."""
+        return connected_components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(more), scratch)
+
+    x, y = facts.alias("x"), facts.alias("y")
+    stars = buckets.select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+    stars = stars.join(x, F.col("a") == F.col("x.id")).join(y, (F.col("b") == F.col("y.id")) & _may_link(percent, "x", "y")).select("a", "b")
+    parts = connected_components(verified(stars), scratch)
+
+    # the first of a bucket has been compared with all the others; are they of more than one component?
+    placed = component_of(buckets.where("more").select("sig", "id"))
+    split = placed.groupBy("sig").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("sig")
+    apart = scratch.save(placed.join(split, "sig").select("sig", "id").join(facts, "id"))
+    scratch.drop(buckets)
+    if apart.isEmpty():
+        return base, sets, parts
+    # chains through such buckets, in seeded orders
+    near = None
     for deal in range(2):
         order = Window.partitionBy("sig").orderBy(F.xxhash64(F.lit(deal), "id"))
-        now = members.join(parts, "id", "left").withColumn("c", F.coalesce("component", "id"))
-        steps = now.select("id", "c", F.lag("id").over(order).alias("before"), F.lag("c").over(order).alias("bc")).where("c <> bc")
-        more = saved(verified(steps.select(F.least("id", "before").alias("a"), F.greatest("id", "before").alias("b")).distinct()))
-        if more.isEmpty():
-            break
-        found = saved(found.unionByName(more))
-        parts = saved(connected_components(found))
-    state = open_buckets(parts)
-    # a set apart from its bucket's first set against the bucket's others; the first has been compared with all
-    apart = state.where("c <> rc").select("sig", "id", "c").join(facts, "id").alias("x")
-    others = state.select("sig", "id", "c").join(buckets.groupBy("sig").count().where("count > 1").select("sig"), "sig", "left_semi").join(facts, "id").alias("y")
-    across = apart.join(others, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.c") != F.col("y.c")) & _may_link(percent, "x", "y"))
-    across = across.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    rest = saved(verified(across))
-    if not rest.isEmpty():
-        parts = saved(connected_components(found.unionByName(rest)))
+        x = F.struct("id", "c", "n", *SKETCH)
+        steps = component_of(apart).select(x.alias("x"), F.lag(x).over(order).alias("y")).where(F.col("x.c") != F.col("y.c")).where(_may_link(percent, "x", "y"))
+        steps = steps.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+        near = steps if near is None else near.unionByName(steps)
+    more = verified(near)
+    if not more.isEmpty():
+        parts = joined(more)
+    # what is still apart, by pairs of blocks
+    size = Window.partitionBy("sig").orderBy("n", "id")
+    blocks = component_of(apart).withColumn("block", F.expr(f"cast((row_number() over (partition by sig order by n, id) - 1) div {BLOCK} as int)"))
+    blocks = blocks.withColumn("top", F.max("block").over(size.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    x = blocks.withColumn("with", F.explode(F.sequence("block", "top"))).alias("x")
+    y = blocks.withColumn("with", F.explode(F.sequence(F.lit(0), "block"))).alias("y")
+    on = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.block") == F.col("y.with")) & (F.col("x.with") == F.col("y.block"))
+    on &= (F.col("x.c") != F.col("y.c")) & ((F.col("x.block") < F.col("y.block")) | (F.col("x.id") < F.col("y.id")))
+    more = verified(x.join(y, on & _may_link(percent, "x", "y")).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")))
+    if not more.isEmpty():
+        parts = joined(more)
+    scratch.drop(apart)
     return base, sets, parts
 
 
