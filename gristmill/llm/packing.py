@@ -1,17 +1,17 @@
 """Best-fit packing of tokenised documents by bin completion.
 
 Which sequence a piece goes to depends on its length alone, so the plan is made on the histogram of lengths, at most
-`capacity` rows whatever the corpus: around the largest length left, undominated fillings of the rest are enumerated
-and the chosen one is used as often as the counts allow. Branch and bound backtracks over these choices; a branch is
-cut once its waste exceeds what a better solution than the incumbent may waste. The first incumbent is best-fit
-decreasing. Pieces then find their place by their rank among those of equal length.
+`capacity` rows whatever the corpus: around the largest length left, undominated fillings of the rest are enumerated,
+when they are asked for, and the chosen one is used as often as the counts allow. Branch and bound goes back over these
+choices; a branch is cut once its waste exceeds what a better solution than the incumbent may waste. The first incumbent
+is best-fit decreasing. Pieces then find their place by their rank among those of equal length.
 
 Scale: texts are tokenised where they are read and never shuffled. Pieces (40 bytes each) are ranked within (length,
 bucket), so a length that a third of all pieces share is ranked by as many tasks as there are buckets. The plan is a
 table of at most a few times `capacity` rows.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are packed one by one; a text that holds the
-string of a special token is ordinary text; other columns are ignored; no documents, no rows. `max_nodes` bounds the
+string of a special token is ordinary text; other columns are ignored; no documents, no rows. `max_looks` bounds the
 search and thereby how good the plan is, never which pieces it places.
 """
 
@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.llm._common import saved, worker_state
+from gristmill.llm._common import give_back, saved, worker_state
 
 CAPACITY, END_ID = 2048, 0
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000
+#: Texts whose pieces are held at once.
+PORTION = 500
 
 
 def default_vocabulary() -> str:
@@ -108,7 +110,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
         end = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
+        for batch in (b.slice(a, PORTION) for b in batches for a in range(0, b.num_rows, PORTION)):
             out = []
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids = (encode(t) if (t := text.as_py()) else b"") + end
@@ -118,6 +120,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
             columns = list(zip(*out, strict=True)) or [[]] * (5 + with_ids)
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), *([pa.binary()] if with_ids else [])]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
 
@@ -175,92 +178,133 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> list[Pattern]:
     return done
 
 
-def fillings(counts: dict[int, int], sizes: list[int], room: int, least: int, most: int) -> list[tuple[int, tuple[tuple[int, int], ...]]]:
-    """Undominated fillings of room, as (waste, items), fewest waste first and then longest items first. A filling is
-    left out if another length that is there fits into its waste, or if one of its items can be exchanged for a longer
-    one. `sizes` are ascending; `least` is the waste that a branch may have."""
-    found: list[tuple[int, tuple[tuple[int, int], ...]]] = []
-    looked = 0
-
-    def undominated(items: tuple, waste: int) -> bool:
-        used = dict(items)
-        return waste == 0 or not any(
-            (k := bisect_left(sizes, s + waste + 1) - 1) >= 0 and sizes[k] > s and counts[sizes[k]] > used.get(sizes[k], 0) for s in (0, *used)
-        )
-
-    def grow(top: int, left: int, items: tuple) -> bool:
-        """True once enough is found. top: only sizes[:top] may still be used."""
-        nonlocal looked
-        looked += 1
-        top = min(top, bisect_left(sizes, left + 1))
-        if left <= least and (left == 0 or top == 0 or undominated(items, left)):
-            found.append((left, items))
-            if len(found) >= most or left == 0 and len([1 for w, _ in found if w == 0]) >= 2:
-                return True
-        if looked > 400:
-            return True
-        for k in range(top - 1, -1, -1):
-            s = sizes[k]
-            n = min(counts[s], left // s)
-            # even with all of the shorter lengths the waste would be too much
-            if n * s < left - least and k == 0:
-                return False
-            for times in range(n, 0, -1):
-                if grow(k, left - times * s, (*items, (s, times))):
+def _grown(left: list[int], present: int, room: int, big: int, allowed: int, items: tuple, tick) -> Iterator[tuple[int, tuple]]:
+    """(waste, items) of ways to fill room, wasting at most `allowed`, with lengths in the bit set `present`, longest
+    first; one `big` is in use already."""
+    tick()
+    below = present & (2 << room) - 1
+    if room <= allowed:
+        yield room, items
+    while below:
+        s = below.bit_length() - 1
+        below ^= 1 << s
+        most = min(left[s] - (s == big), room // s)
+        if not below and most * s < room - allowed:
+            return
+        for times in range(most, 0, -1):
+            yield from _grown(left, below, room - times * s, big, allowed, (*items, (s, times)), tick)
+
+
+def fillings(left: list[int], present: int, room: int, big: int, allowed: int, width: int, tick) -> Iterator[tuple[int, tuple]]:
+    """All undominated fillings of the room beside one `big`, as (waste, items): longest items first, and of each
+    `width` in turn (or as soon as two of them waste nothing) the least waste first. A filling is left out if a length that is still
+    there fits into its waste, or if one of its items can be exchanged for such a longer one. Nothing is enumerated
+    before it is asked for."""
+
+    def dominated(items: tuple, waste: int) -> bool:
+        use = dict(items)
+        use[big] = use.get(big, 0) + 1
+        for s in (0, *(s for s, _ in items)):
+            longer = present >> s + 1 & (1 << waste) - 1
+            while longer:
+                t = s + longer.bit_length()
+                if left[t] > use.get(t, 0):
                     return True
+                longer ^= 1 << longer.bit_length() - 1
         return False
 
-    grow(len(sizes), room, ())
-    return sorted(set(found), key=lambda f: (f[0], [-s for s, _ in f[1]]))[:most]
+    window: list[tuple[int, tuple]] = []
+    try:
+        for waste, items in _grown(left, present, room, big, allowed, (), tick):
+            if not waste or not dominated(items, waste):
+                window.append((waste, items))
+                if len(window) >= width or sum(w == 0 for w, _ in window) > 1:
+                    yield from sorted(window, key=lambda f: f[0])
+                    window = []
+    except _Enough:
+        yield from sorted(window, key=lambda f: f[0])
+        raise
+    yield from sorted(window, key=lambda f: f[0])
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = 20_000, width: int = 4) -> list[Pattern]:
-    """Patterns that use every count up, in as few sequences as the search finds."""
-    counts = {s: n for s, n in counts.items() if n}
+class _Enough(Exception):
+    """A filling took more looks than it may."""
+
+
+def _search(counts: dict[int, int], capacity: int, fewest: int, width: int, per: int, budget: int) -> tuple[list[Pattern] | None, bool, int]:
+    """Depth first. Returns a plan of fewer than `fewest` sequences, or None; whether any enumeration was cut short; and
+    the looks taken. One array of counts is changed and restored, so memory follows the depth and not the nodes."""
     total = sum(s * n for s, n in counts.items())
-    if not total:
+    bound = -(-total // capacity)
+    left = [0] * (capacity + 1)
+    present = 0
+    for s, n in counts.items():
+        left[s], present = n, present | 1 << s
+    best, cut, looks, used, waste = None, False, 0, 0, 0
+    done: list[Pattern] = []
+
+    def options() -> Iterator[tuple[int, int, tuple]]:
+        nonlocal cut
+        mine = 0
+
+        def tick() -> None:
+            nonlocal looks, mine
+            looks, mine = looks + 1, mine + 1
+            if mine > per or looks > budget:
+                raise _Enough
+
+        big = present.bit_length() - 1
+        try:
+            for w, items in fillings(left, present, capacity - big, big, (fewest - 1) * capacity - total - waste, width, tick):
+                yield big, w, items
+        except _Enough:
+            cut = True
+
+    frames = [options()]
+    while frames and fewest > bound:
+        big, w, items = next(frames[-1], (0, 0, ()))
+        allowed = (fewest - 1) * capacity - total - waste
+        if big and w > allowed:
+            continue
+        if not big:
+            frames.pop()
+            if done:
+                p, w = done.pop()
+                for s, k in p.items:
+                    left[s] += k * p.times
+                    present |= 1 << s
+                used, waste = used - p.times, waste - w * p.times
+            continue
+        use = dict(items)
+        use[big] = use.get(big, 0) + 1
+        times = min(left[s] // k for s, k in use.items())
+        times = min(times, allowed // w) if w else times
+        for s, k in use.items():
+            left[s] -= k * times
+            if not left[s]:
+                present ^= 1 << s
+        done.append((Pattern(tuple(sorted(use.items(), reverse=True)), times), w))
+        used, waste = used + times, waste + w * times
+        if not present and used < fewest:
+            best, fewest = [p for p, _ in done], used
+        frames.append(options() if present else iter(()))
+    return best, cut, looks
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, max_looks: int = 2_000_000, width: int = 4) -> list[Pattern]:
+    """Patterns that use every count up, in as few sequences as the search finds. Each enumeration of fillings may first
+    take some hundreds of looks; as long as one was cut short and max_looks allow, the search is run again with more."""
+    counts = {s: n for s, n in counts.items() if n}
+    if not counts:
         return []
     best = best_fit_decreasing(counts, capacity)
-    fewest = sum(p.times for p in best)
-    bound = -(-total // capacity)
-    nodes = 0
-
-    def search(left: dict[int, int], sizes: list[int], done: list[Pattern], used: int, waste: int) -> bool:
-        """True once the lower bound is met."""
-        nonlocal best, fewest, nodes
-        stack = [(left, sizes, done, used, waste)]
-        while stack and nodes < max_nodes and fewest > bound:
-            left, sizes, done, used, waste = stack.pop()
-            nodes += 1
-            if not sizes:
-                if used < fewest:
-                    best, fewest = done, used
-                continue
-            allowed = (fewest - 1) * capacity - total - waste  # what the rest may waste in a better solution
-            if allowed < 0:
-                continue
-            big = sizes[-1]
-            here = left | {big: left[big] - 1}
-            some = here if here[big] else {s: n for s, n in here.items() if n}
-            options = fillings(some, sizes if here[big] else sizes[:-1], capacity - big, min(allowed, capacity), width)
-            for w, items in reversed(options):
-                use = dict(items)
-                use[big] = use.get(big, 0) + 1
-                times = min(left[s] // k for s, k in use.items())
-                times = min(times, allowed // w) if w else times
-                if not times:
-                    continue
-                rest = dict(left)
-                for s, k in use.items():
-                    rest[s] -= k * times
-                gone = {s for s in use if not rest[s]}
-                for s in gone:
-                    del rest[s]
-                pattern = Pattern(tuple(sorted(use.items(), reverse=True)), times)
-                stack.append((rest, [s for s in sizes if s not in gone], [*done, pattern], used + times, waste + w * times))
-        return fewest == bound
-
-    search(counts, sorted(counts), [], 0, 0)
+    bound = -(-sum(s * n for s, n in counts.items()) // capacity)
+    per = 500
+    while sum(p.times for p in best) > bound and max_looks > 0:
+        found, cut, looks = _search(counts, capacity, sum(p.times for p in best), width, per, max_looks)
+        best, max_looks, per = found or best, max_looks - max(looks, 1), per * 8
+        if not cut:
+            break
     return best
 
 
@@ -280,7 +324,7 @@ def slots(patterns: list[Pattern]) -> dict[str, np.ndarray]:
     return dict(zip(names, np.array(rows, np.int64).reshape(-1, 5).T.copy(), strict=True))
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, max_nodes: int = 20_000, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, max_looks: int = 2_000_000, with_ids: bool = False) -> DataFrame:
     """pieces() with sequence_id and offset. Computes the pieces once, into the shared folder, to count their lengths."""
     spark = docs.sparkSession
     cut_up = saved(pieces(docs, vocabulary, capacity, with_ids))
@@ -290,7 +334,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    table = slots(plan(histogram, capacity, max_nodes))
+    table = slots(plan(histogram, capacity, max_looks))
     own = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
     ranked = cut_up.withColumn("nth", F.row_number().over(own)).join(firsts, ["length", "bucket"])
     ranked = ranked.withColumn("rank", (F.col("before") + F.col("nth") - 1).cast("long"))
