@@ -29,17 +29,19 @@ probability is 1 / (V + 1) = 1; words whose hashes agree are one word (for a bil
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._common import fresh_dir, in_range, mixed, read_array, saved, token_chunks, worker_state, write_arrays
+from gristmill.llm._common import fresh_dir, give_back, in_range, mixed, read_array, saved, token_chunks, worker_state, write_arrays
 
 START, END = 0x9AE16A3B2F90404F, 0xC949D7C7509E6557  # hashes of no word but by chance
 STEP = 0x9E3779B97F4A7C15
+#: Counts of n-grams are kept in a byte; those of this and more in 64 bits beside it.
+MANY = 255
 
 
 # Runs: n-grams as one array per word, the last being the token, and their counts.
@@ -141,6 +143,7 @@ class Model:
     followed: int  # T: distinct bigrams
     spare: float  # back1
     high_discounts: tuple[tuple[float, float, float], ...] = ()  # of orders 3, 4, ...
+    filled: dict[str, frozenset[int]] = field(default_factory=dict)  # by kind of file: the ranges that have one
 
 
 BLOBS = "pid int, kind string, blob binary, n1 long, n2 long, n3 long, n4 long, n3up long, types long, tokens long"
@@ -201,8 +204,10 @@ def fit(texts: DataFrame, run_tokens: int = 2_000_000, order: int = 2) -> Model:
             told = history(columns[:-1])
             key = pair_key(told, cur)
             sort = np.argsort(key)
-            write_arrays(path, f"{_name('pairs', width)}-{pid}", {"key": key[sort], "n": np.minimum(n[sort], 2**32 - 1).astype(np.uint32)})
-            del key, sort
+            key, often = key[sort], n[sort]
+            many = often >= MANY
+            write_arrays(path, f"{_name('pairs', width)}-{pid}", {"key": key, "n": np.minimum(often, MANY).astype(np.uint8), "many": key[many], "times": often[many]})
+            del key, sort, often, many
             first = _changes(columns[:-1])
             each = lambda x: np.add.reduceat(x.astype(np.uint64), first) if len(first) else np.empty(0, np.uint64)
             told = told[first]
@@ -213,6 +218,8 @@ def fit(texts: DataFrame, run_tokens: int = 2_000_000, order: int = 2) -> Model:
             yield _rows([(pid, "sum", int(ends_here).to_bytes(8, "little"), *_of_counts(n), int((n > 2).sum()), len(n), int(n.sum()))])
             if width == 2:
                 yield from words_of(cur, None, "word")
+            del columns, n, cur, told, sort, figures
+            give_back()
 
         return merge
 
@@ -231,15 +238,20 @@ def fit(texts: DataFrame, run_tokens: int = 2_000_000, order: int = 2) -> Model:
 
     names = ("n1", "n2", "n3", "n4", "n3up", "types", "tokens")
     top = level = saved(by_range(texts.select("text").mapInArrow(runs, BLOBS), merging(order)))
-    totals = []
+    totals, high_filled = [], {}
     for width in range(order, 1, -1):
         if width < order:
             level = saved(by_range(level.where("kind = 'run'"), merging(width)))
+        if width > 2:
+            high_filled[_name("pairs", width)] = {r["pid"] for r in level.where("kind = 'sum'").select("pid").collect()}
         totals.append(level.where("kind = 'sum'").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names)).first())
     merged, total = level if order == 2 else level.unionByName(top.where("kind = 'count'")), totals[-1]
     high_d = tuple(discounts(x["n1"], x["n2"], x["n3"], x["n4"]) for x in reversed(totals[:-1]))
     pair_d = discounts(total["n1"], total["n2"], total["n3"], total["n4"])
-    documents = sum(int.from_bytes(r["blob"], "little") for r in merged.where("kind = 'sum'").select("blob").collect())
+    documents, filled = 0, {}
+    for r in merged.where("kind = 'sum'").select("pid", "blob").collect():  # a row for each range
+        documents += int.from_bytes(r["blob"], "little")
+        filled.setdefault("pairs", set()).add(r["pid"])
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pid, parts, counts, summed = 0, [], [], False
@@ -273,10 +285,12 @@ def fit(texts: DataFrame, run_tokens: int = 2_000_000, order: int = 2) -> Model:
         yield _rows([(pid, "sum", b"", *_of_counts(real), int((real > 2).sum()), len(real), int(tokens.sum()))])
 
     sums = by_range(merged.select("pid", "kind", F.when(F.col("kind") != "sum", F.col("blob")).alias("blob"), *(F.col(c) for c in ("n1", "n2", "n3", "n4", "n3up", "types", "tokens"))), vocabulary)
-    v = sums.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "n3up", "types", "tokens"))).first()
+    v = sums.agg(F.collect_set("pid").alias("pids"), *(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "n2", "n3", "n4", "n3up", "types", "tokens"))).first()
+    filled = {**filled, **high_filled, "words": set(v["pids"])}
+    filled |= {k.replace("pairs", "history"): x for k, x in filled.items() if k.startswith("pairs")}
     word_d = discounts(v["n1"], v["n2"], v["n3"], v["n4"])
     spare = (word_d[0] * v["n1"] + word_d[1] * v["n2"] + word_d[2] * v["n3up"]) / total["types"] if total["types"] else 1.0
-    return Model(path, ranges, v["tokens"], v["types"], pair_d, word_d, total["types"], spare, high_d)
+    return Model(path, ranges, v["tokens"], v["types"], pair_d, word_d, total["types"], spare, high_d, {k: frozenset(x) for k, x in filled.items()})
 
 
 def _name(kind: str, width: int) -> str:
@@ -309,17 +323,16 @@ def _skip_empty(f):
 class Reader:
     """The arrays of a model, each range mapped when first needed."""
 
-    kinds = {"words": {"w": "u8", "c": "u8", "h": "u8", "t": "u8", "back": "f8"}, "pairs": {"key": "u8", "n": "u4"}, "history": {"w": "u8", "c": "u8", "n1": "u8", "n2": "u8", "n3": "u8"}}
+    kinds = {"words": {"w": "u8", "c": "u8", "h": "u8", "t": "u8", "back": "f8"}, "pairs": {"key": "u8", "n": "u1", "many": "u8", "times": "u8"}, "history": {"w": "u8", "c": "u8", "n1": "u8", "n2": "u8", "n3": "u8"}}
 
     def __init__(self, model: Model):
         self.model, self.maps = model, {}
 
     def arrays(self, kind: str, pid: int) -> dict[str, np.ndarray] | None:
         if (kind, pid) not in self.maps:
-            try:
-                self.maps[kind, pid] = {k: read_array(self.model.path, f"{kind}-{pid}.{k}", t) for k, t in self.kinds[kind.rstrip("0123456789")].items()}
-            except FileNotFoundError:  # no word, or no history, falls into this range
-                self.maps[kind, pid] = None
+            # a range that no word, or no history, falls into has no files; any other file that is missing is an error
+            there = pid in self.model.filled.get(kind, ())
+            self.maps[kind, pid] = {k: read_array(self.model.path, f"{kind}-{pid}.{k}", t) for k, t in self.kinds[kind.rstrip("0123456789")].items()} if there else None
         return self.maps[kind, pid]
 
     def find(self, kind: str, pids: np.ndarray, keys: np.ndarray, wanted: tuple[str, ...], default: dict) -> dict[str, np.ndarray]:
@@ -335,6 +348,9 @@ class Reader:
             hit = found[name][at] == keys[a:b]
             for k in wanted:
                 out[k][a:b][hit] = found[k][at[hit]]
+            if name == "key":
+                many = a + np.flatnonzero(out["n"][a:b] == MANY)
+                out["n"][many] = found["times"][np.searchsorted(found["many"], keys[many])]
         return out
 
     def log10(self, columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -378,7 +394,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         if model.path not in readers:
             readers.clear()
             readers[model.path] = Reader(model)
-        for rows, words, ends in token_chunks(batches, ("doc_id",)):
+        for rows, words, ends in token_chunks(batches, ("doc_id",), 1_000_000):
             prev, cur, at = with_ends(words, ends)
             logs, c = readers[model.path].log10(with_history(prev, cur, at, 2 + len(model.high_discounts)))
             base = np.log10((c + 1) / (model.tokens + model.distinct + 1))
