@@ -94,7 +94,7 @@ def worker_state() -> dict:
 class WordHashes(dict):
     """Bytes -> 64-bit hash. Remembers up to `most` words; the rest are hashed each time."""
 
-    most = 250_000
+    most = 150_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -105,6 +105,18 @@ class WordHashes(dict):
         return h
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system, so that workers that wait for their next task keep little."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def token_chunks(batches, columns, most_tokens: int = 2_000_000, most_texts: int = 20_000):
     """Arrow batches (columns and text) -> (values of the columns as lists, lists of each text's word hashes as one
     uint64 array, offsets). Texts are whole; words are split at ASCII white space after A-Z is lower-cased; a null text
@@ -130,6 +142,8 @@ def token_chunks(batches, columns, most_tokens: int = 2_000_000, most_texts: int
                 kept, arrays, ends, total = [], [], [0], 0
     if kept:
         yield kept, np.concatenate(arrays), np.array(ends, np.int64)
+    kept = arrays = ends = None
+    give_back()
 
 
 def mixed(h):
@@ -255,8 +269,8 @@ def members(id_set: IdSet, ids, with_null: bool):
     return np.where(valid, hit, with_null)
 
 
-def chosen(rows: DataFrame, ids: IdSet, inside: bool, column: str = "doc_id") -> DataFrame:
-    """The rows whose id is in the set, or is not; rows without an id count as outside."""
+def chosen(rows: DataFrame, ids: IdSet, inside: bool, key: Column) -> DataFrame:
+    """The rows whose key is in the set, or is not; rows without a key count as outside."""
 
     def run(batches):
         import pyarrow as pa
@@ -265,4 +279,4 @@ def chosen(rows: DataFrame, ids: IdSet, inside: bool, column: str = "doc_id") ->
             keep = members(ids, batch.column(batch.num_columns - 1), False)
             yield batch.filter(pa.array(keep if inside else ~keep)).select(batch.schema.names[:-1])
 
-    return rows.select("*", F.col(column).cast("long").alias("_key_of_row")).mapInArrow(run, rows.schema)
+    return rows.select("*", key.cast("long").alias("_key_of_row")).mapInArrow(run, rows.schema)

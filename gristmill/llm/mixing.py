@@ -6,19 +6,24 @@ highest quotients target / (2 * seats + 1), then, within a source, to its shards
 an integer quota per shard. A shard is a ring of its documents in seeded order; the quota takes whole turns of the ring
 and then the blocks that follow a seeded starting block, so at most two documents of a shard are taken in part.
 
-Scale: documents are shuffled as (source, shard, id, size) only. A source has one shard for each `shard_docs`
-documents, so a source with most of all rows is spread like any other. The driver sees one row per source (the
-dimension for which weights are given); a source's shards, one row per `shard_docs` documents, are apportioned in one
-task.
+A source whose target is `max_epochs` times its size is taken that often as a whole.
+
+Scale: documents are shuffled as (source, shard, id, size, hash) only. A source has as many shards as the square root of
+its documents, dealt by a hash of id and text, so a source with most of all rows is spread over more tasks the larger it
+is, and neither a shard nor the list of a source's shards, apportioned in one task, grows as fast as the source. The
+driver sees one row per source (the dimension for which weights are given) and refuses more than `max_sources`; the plan
+of that many rows is broadcast only where Spark finds it small.
 
 Defined cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, last in order; rows
-repeated in full are documents of their own, ordered by id and size, so that reruns agree; a table without words takes
-nothing; extra columns, whatever their names, are passed through by `select_texts` and ignored by `mix`.
+that repeat an id are told apart by their texts, and rows that repeat both are documents of their own that are taken
+alike but for the order of their other columns, so reruns agree; a table without words takes nothing; extra columns,
+whatever their names, are passed through by `select_texts` and ignored by `mix`.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
 import numpy as np
 import pandas as pd
@@ -78,21 +83,23 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
     return have
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = 3, block_words: int = 8, shard_docs: int = 20_000, seed: int = 17) -> DataFrame:
-    """docs (doc_id, text, source) -> doc_id, source, size, source_size, target, taken, and how: epochs (whole copies),
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int = 3, block_words: int = 8, seed: int = 17, max_sources: int = 1_000_000) -> DataFrame:
+    """docs (doc_id, text, source) -> doc_id, source, size, text_hash, source_size, target, taken, and how: epochs (whole copies),
     part_start and part_words (a run of words that follows, from its first word) and wrap_words (words of a second run,
     from the text's start, where the ring's run ends in the document in which it began)."""
-    named = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    named = named.withColumn("hash", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1).cast("long"))))
-    per_source = named.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
-    found = sorted(((r["source"], r["source_size"], r["n"]) for r in per_source.collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    named = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    named = named.withColumn("hash", F.xxhash64(F.lit(seed), F.coalesce("doc_id", F.lit(-1).cast("long")), "text_hash"))
+    per_source = docs.select("source", word_count(F.col("text")).alias("size")).groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    found = sorted(((r["source"], r["source_size"], r["n"]) for r in per_source.limit(max_sources + 1).collect()), key=lambda r: (r[0] is None, r[0] or ""))
+    if len(found) > max_sources:
+        raise ValueError(f"more than {max_sources} sources; weights are given for coarser ones")
     goal = targets([r[1] for r in found], [weights[i % len(weights)] for i in range(len(found))], max_epochs)
     seats = sainte_lague(np.array(goal), round(sum(goal) / block_words))
     plan = docs.sparkSession.createDataFrame(
-        [(s, n, g, int(q), max(1, -(-c // shard_docs))) for (s, n, c), g, q in zip(found, goal, seats, strict=True)],
-        "p_source string, source_size long, target double, seats long, n_shards long",
+        [(s, n, g, int(q), math.isqrt(c - 1) + 1, g >= max_epochs * n) for (s, n, c), g, q in zip(found, goal, seats, strict=True)],
+        "p_source string, source_size long, target double, seats long, n_shards long, whole boolean",
     )
-    dealt = named.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
+    dealt = named.join(plan, F.col("source").eqNullSafe(F.col("p_source"))).drop("p_source")
     dealt = dealt.withColumn("shard", F.pmod(F.shiftright("hash", 20), F.col("n_shards")))
 
     def quota(g: pd.DataFrame) -> pd.DataFrame:
@@ -101,13 +108,13 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int =
 
     schema = T.StructType([T.StructField("q_source", T.StringType()), T.StructField("q_shard", T.LongType()), T.StructField("shard_words", T.LongType()), T.StructField("quota", T.LongType())])
     shards = dealt.groupBy("source", "shard", "seats").agg(F.sum("size").alias("shard_words")).groupBy("source").applyInPandas(quota, schema)
-    ring = Window.partitionBy("source", "shard").orderBy("hash", "doc_id", "size")
+    ring = Window.partitionBy("source", "shard").orderBy("hash", "doc_id", "text_hash")
     placed = dealt.withColumn("end", F.sum("size").over(ring.rowsBetween(Window.unboundedPreceding, 0)))
     placed = placed.join(shards, F.col("source").eqNullSafe(F.col("q_source")) & (F.col("shard") == F.col("q_shard")))
     lng = lambda text: F.expr(f"cast({text} as bigint)")
     out = (
         placed.withColumn("start", F.col("end") - F.col("size"))
-        .withColumn("epochs", lng(f"least({max_epochs}, (quota * {block_words}) div greatest(shard_words, 1))"))
+        .withColumn("epochs", lng(f"if(whole, {max_epochs}, least({max_epochs}, (quota * {block_words}) div greatest(shard_words, 1)))"))
         .withColumn("run", lng(f"case when epochs >= {max_epochs} then 0 else least(shard_words, quota * {block_words} - epochs * shard_words) end"))
         .withColumn("n_blocks", lng(f"greatest(1, (shard_words + {block_words - 1}) div {block_words})"))
         .withColumn("first", F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "source", "shard"), F.col("n_blocks")) * block_words)
@@ -116,7 +123,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int =
         .withColumn("wrap_words", F.greatest(F.lit(0).cast("long"), F.least(F.col("end"), F.col("first") + F.col("run") - F.col("shard_words")) - F.col("start")))
     )
     return out.select(
-        "doc_id", "source", "size", "source_size", "target",
+        "doc_id", "source", "size", "text_hash", "source_size", "target",
         (F.col("epochs") * F.col("size") + F.col("part_words") + F.col("wrap_words")).alias("taken"),
         "epochs", (F.col("part_at") - F.col("start")).alias("part_start"), "part_words", "wrap_words",
     )
@@ -124,17 +131,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: int =
 
 def select_texts(docs: DataFrame, **params) -> DataFrame:
     """The mix as rows with the columns of docs: a row per whole copy, and one for each part. A part that is a whole
-    text is the text itself; others are their words, one space between. Rows are joined to their decisions by id and
-    size; n_chars, where docs has it, follows the text."""
+    text is the text itself; others are their words, one space between. Rows are joined to their decisions by id, source,
+    size and text; n_chars, where docs has it, follows the text."""
     mixed = mix(docs, **params).where("taken > 0")
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
     # nulls as values of their own, so that both sides meet in the partitions by which they are numbered
-    keys = lambda size: (F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("no_i"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_s"), size.alias("z"))
-    names = ["i", "no_i", "s", "no_s", "z"]
-    rows = docs.select(*keys(word_count(F.col("text"))), row.alias("row"))
-    # rows that agree in id, source and size are interchangeable: pair them by number
-    number = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy(*names).orderBy(F.lit(1))))
-    a, b = number(rows).alias("a"), number(mixed.select(*keys(F.col("size")), "epochs", "part_start", "part_words", "wrap_words")).alias("b")
+    keys = lambda size, told: (F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("no_i"), F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_s"), size.alias("z"), told.alias("t"))
+    names = ["i", "no_i", "s", "no_s", "z", "t"]
+    others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))
+    rows = docs.select(*keys(word_count(F.col("text")), F.xxhash64("text")), row.alias("row"), others.alias("others"))
+    # rows that agree in id, source and text are paired by number, in the order of their other columns
+    number = lambda df, *by: df.withColumn("nth", F.row_number().over(Window.partitionBy(*names).orderBy(*by)))
+    how = ("epochs", "part_start", "part_words", "wrap_words")
+    a, b = number(rows, "others").alias("a"), number(mixed.select(*keys(F.col("size"), F.col("text_hash")), *how), *how).alias("b")
     on = F.col("a.nth") - F.col("b.nth") == 0  # no key of the join, which would deal both sides out again
     for c in names:
         on &= F.col(f"a.{c}") == F.col(f"b.{c}")

@@ -223,19 +223,23 @@ def _batch(schema: str, columns: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=[x.split()[0] for x in schema.split(", ")])
 
 
-BASE = "doc_id long, n long, set_id long, " + ", ".join(f"{k} long" for k in SKETCH)
+BASE = "doc_id long, row_key long, n long, set_id long, " + ", ".join(f"{k} long" for k in SKETCH)
+
+
+def row_key() -> Column:
+    return F.xxhash64("doc_id", "text")
 
 
 def described(docs: DataFrame, n: int) -> DataFrame:
-    """docs (doc_id, text) -> each row's number of shingles, set id and sketch."""
+    """docs (doc_id, text) -> each row's number of shingles, set id, sketch, and a hash of its id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, words, ends in token_chunks(batches, ("doc_id",), 500_000, 5_000):
+        for rows, words, ends in token_chunks(batches, ("doc_id", "row_key"), 250_000, 2_000):
             h, at = shingles(words, ends, n)
             k = sketches(h, at)
-            yield _batch(BASE, [pa.array([r[0] for r in rows], pa.int64()), np.diff(at), _signed(set_ids(h, at)), *(_signed(np.ascontiguousarray(k[:, i])) for i in range(WORDS))])
+            yield _batch(BASE, [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), np.diff(at), _signed(set_ids(h, at)), *(_signed(np.ascontiguousarray(k[:, i])) for i in range(WORDS))])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, BASE)
+    return docs.select(F.col("doc_id").cast("long"), "text", row_key().alias("row_key")).mapInArrow(run, BASE)
 
 
 def indexed(docs: DataFrame, n: int, percent: int, largest: int) -> DataFrame:
@@ -245,7 +249,7 @@ def indexed(docs: DataFrame, n: int, percent: int, largest: int) -> DataFrame:
     schemes = {b: allocation(*_bounds(tops, b), percent) for b in range(len(tops))}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, words, ends in token_chunks(batches, (), 250_000):
+        for _, words, ends in token_chunks(batches, (), 100_000):
             h, at = shingles(words, ends, n)
             ids = set_ids(h, at)
             _, one = np.unique(ids, return_index=True)  # copies within a chunk send their signatures once
@@ -253,8 +257,8 @@ def indexed(docs: DataFrame, n: int, percent: int, largest: int) -> DataFrame:
             keep = np.concatenate([[0], np.cumsum(sizes)])
             el = h[np.repeat(at[one] - keep[:-1], sizes) + np.arange(keep[-1])]
             owner, sig = signatures(el, keep, tops, schemes)
-            for a in range(0, len(sig), 200_000):
-                yield _batch("sig long, set_id long", [_signed(sig[a : a + 200_000]), _signed(ids[one][owner[a : a + 200_000]])])
+            for a in range(0, len(sig), 100_000):
+                yield _batch("sig long, set_id long", [_signed(sig[a : a + 100_000]), _signed(ids[one][owner[a : a + 100_000]])])
 
     return docs.select("text").mapInArrow(run, "sig long, set_id long")
 
@@ -271,7 +275,7 @@ class SetStore:
 
         def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             chosen = (b.filter(pa.array(members(wanted, b.column(0), wanted.with_null))) for b in batches)
-            for _, words, ends in token_chunks(chosen, (), 500_000):
+            for _, words, ends in token_chunks(chosen, (), 250_000):
                 h, at = shingles(words, ends, n)
                 ids = set_ids(h, at)
                 yield _batch(rows, [pa.array(in_range(ids, ranges).astype(np.int32)), _signed(ids), pa.ListArray.from_arrays(pa.array(at, pa.int32()), _signed(h))])
@@ -420,10 +424,11 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
 
 
 def components(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, n_shingles, component_id (the smallest id reachable by links)."""
+    """docs (doc_id, text) -> doc_id, n_shingles, component_id (the smallest id reachable by links), and for choosing
+    among rows: row_key and group, one number per component."""
     base, sets, parts = links(docs, n, percent)
     placed = sets.select("set_id", "first_doc").join(parts.withColumnRenamed("id", "set_id"), "set_id", "left").withColumn("c", F.coalesce("component", "set_id"))
     smallest = placed.groupBy("c").agg(F.min("first_doc").alias("component_id"))
-    ids = placed.join(smallest, "c").select(F.col("set_id").alias("of_set"), "component_id")
+    ids = placed.join(smallest, "c").select(F.col("set_id").alias("of_set"), F.col("c").alias("group"), "component_id")
     out = base.join(ids, (F.col("set_id") == F.col("of_set")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "row_key", "group")

@@ -14,6 +14,10 @@ values get equal pseudonyms in every document, different values different ones.
                its last label
     secrets    hexadecimal, key-like and password values: each digit and letter within its class
 
+Limits: an address has at most 64 characters before its @ and 128 labels of 63 after it, as mail allows; so no text, however
+long, makes a pattern look back or call itself without bound. Secrets of any length are permuted in chunks of CHUNK.
+The key is a parameter without a default; whoever has it can undo every pseudonym.
+
 Defined cases: a null text stays null; a text without personal data is unchanged, byte for byte; candidates that fail
 their validation stay; repeated rows get the same result; other columns are passed through, save that columns named
 pii_found or pii_kinds are replaced; no rows give no rows.
@@ -27,10 +31,12 @@ from pyspark.sql import functions as F
 from gristmill.llm._common import let
 
 ROUNDS = 8
+#: Characters of a secret or address that are permuted together.
+CHUNK = 64
 
 #: Kinds in order of precedence where two begin at one place. No pattern has a capturing group.
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]{0,63}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,126}\.[A-Za-z]{2,63}",
     "secret": r"(?:(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_-]{8,}|\bAKIA[A-Z0-9]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}|\bsk-[A-Za-z0-9]{16,}|(?<![A-Za-z0-9])[0-9a-f]{32,}(?![A-Za-z0-9]))",
     "iban": r"\b[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}\b",
     "phone": r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])",
@@ -84,9 +90,10 @@ def permute_digits(digits: Column, key: str, tweak: Column) -> Column:
 
 
 def _shift_each(text: Column, key: str, tweak: Column) -> Column:
-    """Letters and digits, each within its class: an autokey substitution in two sweeps. In the first a character
-    shifts by the characters before it, in the second by those after it, so a change anywhere reaches every place; each
-    sweep can be undone from its fixed end. Hexadecimal texts stay hexadecimal."""
+    """Letters and digits, each within its class: an autokey substitution of each chunk in two sweeps. In the first a
+    character shifts by the characters before it, in the second by those after it, so a change anywhere reaches every
+    place of the chunk; each sweep can be undone from its fixed end. Chunks after the first are keyed by their number and
+    the first's original. Hexadecimal texts stay hexadecimal."""
     alphabet = F.when(text.rlike("^[0-9a-f]+$"), F.lit("0123456789abcdef")).when(text.rlike("^[0-9A-F]+$"), F.lit("0123456789ABCDEF"))
     classes = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
@@ -100,12 +107,17 @@ def _shift_each(text: Column, key: str, tweak: Column) -> Column:
             out = out.when(F.instr(F.lit(letters), c) > 0, within(F.lit(letters)))
         return out.otherwise(c)
 
-    def sweep(s: Column, alpha: Column, r: int) -> Column:
+    def sweep(s: Column, alpha: Column, told: Column, r: int) -> Column:
         cs = F.filter(F.split(s, ""), lambda c: c != "")
-        step = lambda acc, c: F.concat(acc, moved(c, alpha, _prf(key, F.concat(tweak, F.char_length(acc).cast("string")), r, acc)))
+        step = lambda acc, c: F.concat(acc, moved(c, alpha, _prf(key, F.concat(told, F.char_length(acc).cast("string")), r, acc)))
         return F.aggregate(cs, F.lit(""), step)
 
-    return let(alphabet, lambda alpha: let(sweep(text, alpha, 0), lambda s: F.reverse(sweep(F.reverse(s), alpha, 1))))
+    def permuted(chunk: Column, alpha: Column, told: Column) -> Column:
+        return let(told, lambda t: let(sweep(chunk, alpha, t, 0), lambda s: F.reverse(sweep(F.reverse(s), alpha, t, 1))))
+
+    chunks = F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % CHUNK), F.lit(0))
+    told = lambda cs, i: F.when(i == 0, tweak).otherwise(F.concat_ws("/", tweak, i.cast("string"), cs[0]))
+    return let(alphabet, lambda alpha: let(chunks, lambda cs: F.array_join(F.transform(cs, lambda c, i: permuted(c, alpha, told(cs, i))), "")))
 
 
 def _digits(text: Column) -> Column:
@@ -206,7 +218,7 @@ def pseudonym(match: Column, key: str) -> Column:
     )
 
 
-def pseudonymise(docs: DataFrame, key: str = "gristmill-demo-key", text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
     """docs with `text` rewritten and two columns more: pii_found (candidates that were valid) and pii_kinds (their
     kinds, sorted). Distinct candidates of a text are permuted once each."""
     pii = F.when(F.col(text).rlike(HINT), F.regexp_extract_all(F.col(text), F.lit(f"({ANY})"), F.lit(1)))

@@ -10,8 +10,9 @@ and, where the second term is negative, takes the gradient step that raises it a
 positives-against-unlabelled classifier orders texts, and pi is the least ratio of unlabelled to positive mass above
 any of its scores, taken where enough of both lies above.
 
-Bounds: at most `most` positives and about `most` unlabelled texts are used for learning; only their measurements,
-some tens of numbers each, leave the workers. Scoring covers all rows and whole texts.
+Bounds: at most `most` positives and one or two times `most` unlabelled texts, chosen by a hash of id and text, are used
+for learning; only their measurements, some tens of numbers each, leave the workers. Scoring covers all rows and whole
+texts.
 Defined cases: null and empty texts have measurements of 0 and are scored like any; without positives every score is
 0.5; repeated rows are scored one by one; other columns are ignored.
 """
@@ -140,10 +141,12 @@ def learn(p: np.ndarray, u: np.ndarray, steps: int = 800, rate: float = 0.03, de
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 8_000, seed: int = 3) -> Classifier | None:
     """labels: the training rows only; of these, the positives are used."""
-    positive = sampled(docs, labels.where(F.col(label) == 1), label, most)
+    positive = sampled(docs, labels.where(F.col(label) == 1), label, most).withColumn("h", F.xxhash64("doc_id"))
     parts = max(1, docs.count() // most)
-    web = docs.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(parts)) == 0)
-    rows = lambda df: np.array([r["x"] for r in measured(df).orderBy("doc_id").select("x").collect()], float).reshape(-1, N_MEASURES)
+    web = docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text")).where(F.pmod("h", F.lit(parts)) == 0)
+    # rows that repeat an id and its text are one row of the sample, or it had no bound
+    once = lambda df: measured(df, "h").groupBy("h").agg(F.first("x").alias("x")).orderBy("h").limit(4 * most)
+    rows = lambda df: np.array([r["x"] for r in once(df).collect()], float).reshape(-1, N_MEASURES)
     p, u = rows(positive), rows(web)
     return learn(p, u) if len(p) and len(u) else None
 

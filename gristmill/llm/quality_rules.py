@@ -80,7 +80,7 @@ def measured(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
             F.size(ws).alias("n_words"),
             F.char_length(F.array_join(ws, "")).alias("word_chars"),
             _repeated(ws).alias("n_repeat_words"),
-            count(ws, lambda w: w.rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*$") & (F.char_length(w) > 1)).alias("n_upper_words"),
+            count(ws, lambda w: w.rlike(r"\p{Lu}") & ~w.rlike(r"\p{Ll}") & (F.char_length(w) > 1)).alias("n_upper_words"),
             count(ws, lambda w: w.rlike(r"\p{L}")).alias("n_alpha_words"),
             count(ws, lambda w: w.endswith("!!")).alias("n_exclaimed"),
             count(ws, lambda w: w == "|").alias("n_bar_words"),

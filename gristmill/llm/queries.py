@@ -11,6 +11,12 @@ from gristmill.llm import ann, chat, kneser_ney, mixing, ngram_join, packing, pi
 from gristmill.llm._common import in_fold, table
 
 POLICY = 2
+#: Where a session names no other (spark.gristmill.pii.key), the queries use a key that everyone knows.
+KNOWN_KEY = "not a secret"
+
+
+def pii_key(spark: SparkSession) -> str:
+    return spark.conf.get("spark.gristmill.pii.key", KNOWN_KEY)
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,6 +24,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def quality_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -27,7 +37,7 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.components(table(spark, sf_dir, "documents"), n=4, percent=85)
+    return ngram_join.components(table(spark, sf_dir, "documents"), n=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
 def _training_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,7 +48,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, _training_labels(spark, sf_dir))
     tagged = toxicity.tag(docs, model)
-    return tagged.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return tagged.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "spans")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,7 +87,7 @@ def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymise(table(spark, sf_dir, "documents"), keep=("doc_id", "text"))
+    return pii.pseudonymise(table(spark, sf_dir, "documents"), pii_key(spark), keep=("doc_id", "text"))
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_lm_scoring": op9_lm_scoring,
         "op9_lm_scoring_trigrams": op9_lm_scoring_trigrams,
         "op3_quality_rules": op3_quality_rules,
+        "quality_rule_ablations": quality_rule_ablations,
         "op7_chat_formatting": op7_chat_formatting,
         "op8_pii": op8_pii,
         "op10_mixing": op10_mixing,
@@ -102,7 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda w: w <> '')"
 
-OP3_SQL = rf"""
+_OP3_FACTS = rf"""
 with d as (
   select doc_id, coalesce(text, '') as text, {_WORDS} as w,
     list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ \t-\r]')) as lines,
@@ -112,7 +123,7 @@ m as (
   select rid, doc_id, w, len(w) as n_words, length(list_aggregate(w, 'string_agg', '')) as word_chars,
     length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
     len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines,
-    len(list_filter(w, lambda x: regexp_matches(x, '^\P{{Ll}}*\p{{Lu}}\P{{Ll}}*$') and length(x) > 1)) as n_upper_words,
+    len(list_filter(w, lambda x: regexp_matches(x, '\p{{Lu}}') and not regexp_matches(x, '\p{{Ll}}') and length(x) > 1)) as n_upper_words,
     len(list_filter(w, lambda x: regexp_matches(x, '\p{{L}}'))) as n_alpha_words,
     len(list_filter(w, lambda x: ends_with(x, '!!'))) as n_exclaimed,
     len(list_filter(w, lambda x: x = '|')) as n_bar_words
@@ -123,15 +134,32 @@ cover as (select rid, count(distinct p) as n_repeat_words from (select rid, unne
 f as (
   select m.*, coalesce(c.n_repeat_words, 0) as n_repeat_words,
     n_words < 50 or 100 * coalesce(c.n_repeat_words, 0) > 50 * n_words as base_failed
-  from m left join cover c using (rid))
+  from m left join cover c using (rid)),
+r as (
+  select *, n_words < 50 as too_few_words, 100 * n_repeat_words > 50 * n_words as repeated_windows, 10 * n_symbols > n_words as symbol_heavy,
+    2 * n_upper_words > n_words and n_words >= 50 as shouting,
+    coalesce(word_chars, 0) > 15 * n_words or coalesce(word_chars, 0) < 2 * n_words as mean_word_length,
+    2 * n_dup_lines > n_lines as duplicate_lines, 10 * n_alpha_words < 5 * n_words as no_letters, 3 * n_exclaimed > n_words as exclaiming,
+    10 * n_bar_words > 2 * n_words as separator_table
+  from f)
+"""
+
+OP3_SQL = _OP3_FACTS + """
 select doc_id, cast(n_words as bigint) as n_words, cast(coalesce(word_chars, 0) as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols,
   cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words, base_failed,
-  not (base_failed or 10 * n_symbols > n_words or (2 * n_upper_words > n_words and n_words >= 50)
-    or coalesce(word_chars, 0) > 15 * n_words or coalesce(word_chars, 0) < 2 * n_words or 2 * n_dup_lines > n_lines
-    or 10 * n_alpha_words < 5 * n_words or 3 * n_exclaimed > n_words or 10 * n_bar_words > 2 * n_words) as kept
-from f
+  not (base_failed or symbol_heavy or shouting or mean_word_length or duplicate_lines or no_letters or exclaiming or separator_table) as kept
+from r
 """
 
+_POLICY_RULES = {1: ["too_few_words", "repeated_windows"], 2: ["too_few_words", "repeated_windows", "symbol_heavy", "shouting", "mean_word_length", "duplicate_lines", "no_letters", "exclaiming", "separator_table"]}
+ABLATIONS_SQL = _OP3_FACTS + " union all ".join(
+    f"""
+select {version} as version, '{rule}' as rule, count(*) filter ({rule}) as n_failed,
+  count(*) filter ({rule} and {' + '.join(f'cast({x} as int)' for x in rules)} = 1) as n_failed_alone from r"""
+    for version, rules in _POLICY_RULES.items()
+    for rule in rules
+)
+
 _ESCAPED = r"regexp_replace({}, '([<\[])(\\*)(/?(?:s>|INST\]|ROLE\]|TURN\]|NULL\]))', '\1\\\2\3', 'g')"
 OP7_SQL = f"""
 with t as (
@@ -151,4 +179,4 @@ from p group by conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "op7_chat_formatting": OP7_SQL}
+    return {"op3_quality_rules": OP3_SQL, "quality_rule_ablations": ABLATIONS_SQL, "op7_chat_formatting": OP7_SQL}

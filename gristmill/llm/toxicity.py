@@ -51,8 +51,10 @@ def features(token: str) -> np.ndarray:
     return np.array([zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIMS for x in names], np.int64)
 
 
-def explanations(toxic: list[set[str]], clean: Iterable[set[str]], ratio: float = 25.0, least: int = 4) -> set[str]:
-    """Features kept by the greedy cover of toxic documents. Clean documents pass by once and are not held."""
+def explanations(toxic: list[set[str]], clean: Iterable[set[str]], ratio: float = 25.0, least: int | None = None) -> set[str]:
+    """Features kept by the greedy cover of toxic documents. Clean documents pass by once and are not held. least: toxic
+    documents that a feature must be in; 4, or 3 where fewer than 100 are known."""
+    least = least or (4 if len(toxic) >= 100 else 3)
     t = Counter(x for d in toxic for x in d)
     t = {x: n for x, n in t.items() if n >= least}
     c, n_clean = Counter(), 0

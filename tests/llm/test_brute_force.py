@@ -280,6 +280,11 @@ def digits(d, key, tweak):
 
 def shifted(s, key, tweak):
     alpha = next((a for a in ("0123456789abcdef", "0123456789ABCDEF") if s and all(c in a for c in s)), None)
+    parts = [s[k : k + pii.CHUNK] for k in range(0, len(s), pii.CHUNK)]
+    return "".join(swept(x, key, f"{tweak}/{k}/{parts[0]}" if k else tweak, alpha) for k, x in enumerate(parts))
+
+
+def swept(s, key, tweak, alpha):
     classes = (alpha,) if alpha else ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     for r in (0, 1):
         acc = ""
@@ -344,7 +349,7 @@ def test_numbers_side_by_side(spark):
     """A number beside a valid one does not hide it."""
     rows = ["126 4880761348116108 27", "+1 (836) 555-9331 4913187196670932 53", "at 1.2.3.4, 4111 1111 1111 1111 22", "4111-1111-1111-1111."]
     rows = [t.replace("4880761348116108", "4111111111111111").replace("4913187196670932", "4111111111111111") for t in rows]
-    got = [r.text for r in pii.pseudonymise(spark.createDataFrame([(t,) for t in rows], "text string")).collect()]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame([(t,) for t in rows], "text string"), "k").collect()]
     assert not any(re.search(r"4111.?1111|1\.2\.3\.4|555-9331", t) for t in got)
     assert [re.sub(r"\d", "9", t) for t in got[:2]] == [re.sub(r"\d", "9", t) for t in rows[:2]] and got[0].startswith("126 ") and got[0].endswith(" 27")
 
@@ -352,10 +357,47 @@ def test_numbers_side_by_side(spark):
 def test_dates_ssn_iban(spark):
     text = "on 2024-02-29, 31/12/1999 and 01.03.1987; 123-45-6789, not 000-45-6789; DE89370400440532013000, not DE88370400440532013000"
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
-    r = pii.pseudonymise(df).first()
+    r = pii.pseudonymise(df, "k").first()
     assert r.pii_found == 5 and r.pii_kinds == "date,iban,ssn"
     iban = re.findall(r"DE\d{20}", r.text)
     assert iban[1] == "DE88370400440532013000" and iban[0] != "DE89370400440532013000" and int(iban[0][4:] + "1314" + iban[0][2:4]) % 97 == 1
     days = spark.sql("select explode(sequence(date'2000-01-01', date'2000-12-31')) as d").select(F.date_format("d", "yyyy-MM-dd").alias("text"))
-    got = [x.text for x in pii.pseudonymise(days).collect()]
+    got = [x.text for x in pii.pseudonymise(days, "k").collect()]
     assert len(set(got)) == 366 and all(re.fullmatch(r"(1[6-9]|2[0-4])\d\d-\d\d-\d\d|\d{4}-\d\d-\d\d", g) for g in got)
+
+
+def test_packing_search_needs_little_memory():
+    import tracemalloc
+
+    rng = random.Random(1)
+    counts = Counter(min(2048, max(1, int(rng.lognormvariate(6, 1)))) for _ in range(40_000))
+    tracemalloc.start()
+    plan = packing.plan(counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(p.times for p in plan) == -(-sum(s * n for s, n in counts.items()) // 2048) and peak < 50e6
+    # every undominated filling is enumerated if asked for
+    left = [0] * 21
+    for s in (2, 3, 5, 7, 9):
+        left[s] = 2
+    found = {items for _, items in packing.fillings(left, sum(1 << s for s in (2, 3, 5, 7, 9)), 11, 9, 20, 4, lambda: None)}
+    assert {((9, 1), (2, 1)), ((7, 1), (2, 2)), ((5, 2),), ((5, 1), (3, 2)), ((5, 1), (3, 1), (2, 1))} & found >= {((9, 1), (2, 1)), ((7, 1), (2, 2)), ((5, 1), (3, 2))}
+    assert all(11 - w == sum(s * n for s, n in f) for w, f in packing.fillings(left, sum(1 << s for s in (2, 3, 5, 7, 9)), 11, 9, 20, 4, lambda: None))
+
+
+def test_mix_is_the_same_each_time(spark):
+    """Rows of one id, source and size whose texts or languages differ."""
+    rows = [(i % 7 if i % 5 else None, f"{'ab'[i % 2]} x {i % 3}", "en" if i % 4 else None, f"s{i % 4}") for i in range(400)]
+    both = [spark.createDataFrame(random.Random(k).sample(rows, len(rows)), "doc_id long, text string, lang string, source string").repartition(k) for k in (2, 5)]
+    one, two = (sorted(map(str, mixing.select_texts(df).collect())) for df in both)
+    assert one == two and one
+
+
+def test_near_duplicates_judge_rows(spark):
+    """A text is judged by itself, whatever else bears its id; rows without an id are judged too."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    a, b = (" ".join(f"{x}{k}" for k in range(80)) for x in "ab")
+    rows = [(3, a, "en"), (7, a, "en"), (7, b, "en"), (None, b, "en"), (None, a, "de"), (3, a, "fr"), (9, "", "en"), (9, "", "en")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = sorted(map(tuple, corpus_pipeline.near_duplicates(spark, df, "").collect()), key=str)
+    assert got == sorted([(3, a, "en"), (7, b, "en"), (9, "", "en"), (9, "", "en")], key=str)

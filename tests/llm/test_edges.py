@@ -78,10 +78,10 @@ def test_chat(spark):
 
 
 def test_pii(odd, no_docs):
-    got = pii.pseudonymise(odd)
+    got = pii.pseudonymise(odd, "k")
     assert set(got.columns) == set(odd.columns) | {"pii_kinds"}
     assert sorted(map(str, got.select("doc_id", "text", "size").collect())) == sorted(map(str, odd.select("doc_id", "text", "size").collect()))
-    assert got.where("pii_found <> 0 or pii_kinds <> ''").count() == 0 and pii.pseudonymise(no_docs).count() == 0
+    assert got.where("pii_found <> 0 or pii_kinds <> ''").count() == 0 and pii.pseudonymise(no_docs, "k").count() == 0
 
 
 def test_kneser_ney(odd, no_docs):
