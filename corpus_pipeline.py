@@ -5,11 +5,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from gristmill.llm import mixing, ngram_join, packing, pii, quality_rules
 from gristmill.llm._common import IdSet, chosen, fresh_dir, saved
-from gristmill.llm.queries import POLICY
+from gristmill.llm.queries import POLICY, pii_key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,25 +18,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by five-word shingles at 0.8, the one with the smallest id stays. Documents
-    without words stay, as do rows without an id; of rows that repeat an id and its text, one. Rows are chosen by sets
-    of ids where they are read, so texts are not shuffled, but for those of ids that occur more than once."""
-    found = saved(ngram_join.components(docs, n=5, percent=80).where("doc_id is not null"))
-    leaders = found.groupBy("doc_id").agg(F.min("component_id").alias("leader"), F.max("n_shingles").alias("n"), F.count("*").alias("rows"))
-    stay = chosen(docs, IdSet(leaders.where("leader <> doc_id").select("doc_id")), False)
-    repeated = leaders.where("leader = doc_id and rows > 1 and n > 0").select("doc_id")
+    """Of each group of documents linked by five-word shingles at 0.8, the one with the smallest id stays (of several
+    texts under that id, or of texts without one, that with the smallest hash). Documents without words stay. Rows are
+    judged by id and text together and chosen where they are read, so texts are not shuffled, but for those that repeat
+    the id and text of one that stays."""
+    found = ngram_join.components(docs, n=5, percent=80).where("n_shingles > 0").groupBy("group", "doc_id", "row_key").agg(F.count("*").alias("rows"))
+    found = saved(found)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_key"))
+    leaders = found.groupBy("group").agg(first.alias("leader")).select(F.col("group").alias("of"), F.col("leader.row_key").alias("stays"))
+    judged = found.join(leaders, F.col("group") == F.col("of"))
+    stay = chosen(docs, IdSet(judged.where("row_key <> stays").select("row_key")), False, ngram_join.row_key())
+    repeated = judged.where("row_key = stays and rows > 1").select("row_key")
     if repeated.isEmpty():
         return stay
     twice = IdSet(repeated)
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    copies = chosen(stay, twice, True).select(row, F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"))
-    nth = F.row_number().over(Window.partitionBy("_id", "_hash").orderBy(F.lit(1)))
-    return chosen(stay, twice, False).unionByName(copies.withColumn("_nth", nth).where("_nth = 1").select("_row.*"))
+    others = F.to_json(F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")))
+    copies = chosen(stay, twice, True, ngram_join.row_key()).select(row, ngram_join.row_key().alias("_key"), others.alias("_others"))
+    one = copies.groupBy("_key").agg(F.min_by("_row", "_others").alias("_row"))
+    return chosen(stay, twice, False, ngram_join.row_key()).unionByName(one.select("_row.*"))
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data become pseudonyms; n_chars follows."""
-    out = pii.pseudonymise(docs).select(*(F.col(f"`{c}`") for c in docs.columns))
+    out = pii.pseudonymise(docs, pii_key(spark)).select(*(F.col(f"`{c}`") for c in docs.columns))
     return out.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
 
 
@@ -47,7 +51,8 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs)
+    """Every piece with its ids and its place."""
+    return packing.pack(docs, with_ids=True)
 
 
 STAGES = [
