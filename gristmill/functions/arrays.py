@@ -32,6 +32,12 @@ def outer_peaks(xs: Column, share: float = 0.3) -> Column:
     return F.element_at(F.transform(F.array(steps(xs)), of), 1)
 
 
+def below(xs: Column, level: float) -> Column:
+    """First and last place (from 0) whose value lies below the level; nulls if none does."""
+    low = F.filter(F.transform(xs, lambda x, i: F.when(x < level, i)), lambda i: i.isNotNull())
+    return F.element_at(F.transform(F.array(low), lambda p: F.struct(F.array_min(p).alias("first"), F.array_max(p).alias("last"))), 1)
+
+
 def longest_run(xs: Column, level: float, least: int = 1) -> Column:
     """Start and length of the first longest run of values above the level; null if shorter than `least`."""
     zero = F.struct(F.lit(0).alias("i"), F.lit(0).alias("run"), F.lit(-1).alias("start"), F.lit(0).alias("length"))
@@ -45,9 +51,10 @@ def longest_run(xs: Column, level: float, least: int = 1) -> Column:
 
 
 def local_peak(xs: Column, first: int = 2) -> Column:
-    """Place (from 0) and value of the strongest value above both neighbours on either side; null if none."""
+    """Place (from 0) and value of the first strongest positive value that is above its two neighbours to the left and not
+    below those to the right; null if none."""
     at = lambda i: F.element_at(xs, i + 1)
-    places = F.filter(F.sequence(F.lit(max(2, first)), F.size(xs) - 3), lambda i: (at(i) > at(i - 1)) & (at(i) > at(i + 1)) & (at(i) > at(i - 2)) & (at(i) > at(i + 2)))
+    places = F.filter(F.sequence(F.lit(max(2, first)), F.size(xs) - 3), lambda i: (at(i) > 0) & (at(i) > at(i - 1)) & (at(i) >= at(i + 1)) & (at(i) > at(i - 2)) & (at(i) >= at(i + 2)))
     best = F.array_max(F.transform(places, lambda i: F.struct(at(i).alias("v"), (-i).alias("m"))))
     return F.when(F.size(places) > 0, F.struct((-best["m"]).alias("place"), best["v"].alias("value")))
 

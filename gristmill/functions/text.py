@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def parent(path: Column) -> Column:
@@ -28,10 +29,18 @@ def roll_matches(name: Column, wanted: list[str]) -> Column:
 
 
 def slug(name: Column) -> Column:
-    clean = F.trim(F.regexp_replace(name, r"[^\w.\- ]+", "_"))
+    """A folder's name: runs of other characters than letters, digits, _ . - and spaces become one _."""
+    clean = F.trim(F.regexp_replace(name, r"[^\p{L}\p{N}_.\- ]+", "_"))
     return F.when(clean == "", "film").otherwise(clean)
 
 
+def slugs(names: DataFrame, name: str) -> DataFrame:
+    """Each distinct name with a folder of its own: of names that share a slug, in order, the second gets _2, and so on."""
+    nth = F.row_number().over(Window.partitionBy("_base").orderBy(name))
+    numbered = names.select(name).distinct().withColumn("_base", slug(F.col(name))).withColumn("_nth", nth)
+    return numbered.select(name, F.when(F.col("_nth") == 1, F.col("_base")).otherwise(F.concat_ws("_", "_base", "_nth")).alias("slug"))
+
+
 def natural_key(name: Column, width: int = 12) -> Column:
     """Lower-cased, every run of digits padded with zeros, so that text order is numeric order."""
     padded = F.regexp_replace(F.lower(name), r"(\d+)", "0" * width + "$1")
@@ -39,9 +48,8 @@ def natural_key(name: Column, width: int = 12) -> Column:
 
 
 def canonical_sha256(fields: dict[str, Column]) -> Column:
-    """SHA-256 of a JSON object whose keys are sorted."""
-    parts = [F.concat(F.lit(f'"{k}":"'), F.coalesce(v.cast("string"), F.lit("")), F.lit('"')) for k, v in sorted(fields.items())]
-    return F.sha2(F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}")), 256)
+    """SHA-256 of the compact JSON object with sorted keys: numbers and booleans bare, texts escaped, nulls kept."""
+    return F.sha2(F.to_json(F.struct(*(v.alias(k) for k, v in sorted(fields.items()))), {"ignoreNullFields": "false"}), 256)
 
 
 def attribute(markup: Column, name: str) -> Column:

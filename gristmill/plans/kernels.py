@@ -40,16 +40,16 @@ def raster_pitch(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raster_measure(spark: SparkSession, d: str) -> DataFrame:
-    """A bright image drawn into a grey strip in a dark holder, found again."""
+    """A brighter image drawn into dark film in a bright holder, found again."""
     rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("image"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for k in pdf.image:
-                g = np.full((400, 600), 10, np.uint8)
-                g[20:380, 30:570] = 90
-                g[60 + k : 340, 80 : 520 - 2 * k] = 180
+                g = np.full((400, 600), 240, np.uint8)
+                g[20:380, 30:570] = 20
+                g[60 + k : 340, 80 : 520 - 2 * k] = 90
                 m = raster.measure_image(g)
                 box = raster.refined_box(g, m["x"] + 5, m["y"] - 4, m["width"] - 8, m["height"] + 6) if m["valid"] else (0, 0, 0, 0, 0.0)
                 out.append((k, m["valid"], m.get("aspect"), m.get("contrast"), *box[:4], round(box[4], 4)))

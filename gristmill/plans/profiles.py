@@ -79,7 +79,7 @@ r as (select vec_id, min(i) as start, count(*) as length from g group by vec_id,
 x as (select * from r where length >= 3 qualify row_number() over (partition by vec_id order by length desc, start) = 1)
 select vec_id, start::int as start, length::int as length from x""",
     "local_peak": f"""with {_P}, n as (select *, lag(v) over w as a, lag(v, 2) over w as b, lead(v) over w as c, lead(v, 2) over w as e from u window w as (partition by vec_id order by i)),
-x as (select vec_id, i, v from n where i >= 5 and v > a and v > b and v > c and v > e qualify row_number() over (partition by vec_id order by v desc, i) = 1)
+x as (select vec_id, i, v from n where i >= 5 and v > 0 and v > a and v > b and v >= c and v >= e qualify row_number() over (partition by vec_id order by v desc, i) = 1)
 select vec_id, i::int as place, v as value from x""",
     "autocorrelation": f"""with {_P}, s as (select vec_id, v, lead(v, 1) over w as a, lead(v, 4) over w as b, lead(v, 9) over w as c from u window w as (partition by vec_id order by i))
 select vec_id, round(avg(v * a) / avg(v * v), 6) as lag1, round(avg(v * b) / avg(v * v), 6) as lag4, round(avg(v * c) / avg(v * v), 6) as lag9 from s group by 1""",

@@ -9,6 +9,7 @@ from gristmill.functions import text as tx
 from gristmill.operators import evaluate as ev
 from gristmill.operators import review as rv
 from gristmill.operators import selection as se
+from gristmill.sources import files as fi
 from gristmill.session import table
 
 
@@ -123,9 +124,7 @@ def converter_votes(spark: SparkSession, d: str) -> DataFrame:
 def drop_twins(spark: SparkSession, d: str) -> DataFrame:
     """Pages as files: ids divisible by 3 are raw; other ones go where a raw one has their stem."""
     path = F.concat(F.lit("/roll "), (F.col("page_id") % 7).cast("string"), F.lit("/IMG"), F.floor(F.col("page_id") / 2).cast("string"), F.when(F.col("page_id") % 3 == 0, ".NEF").otherwise(".jpg"))
-    files = table(spark, d, "pages").select("page_id", path.alias("path")).withColumn("st", F.lower(tx.stem(F.col("path")))).withColumn("raw", tx.extension(F.col("path")).isin(".nef", ".arw"))
-    raws = files.where("raw").select("st").distinct()
-    kept = files.where("raw").unionByName(files.where(~F.col("raw")).join(raws, "st", "left_anti"))
+    kept = fi.without_twins(table(spark, d, "pages").select("page_id", path.alias("path")))
     return kept.select("page_id", "path", tx.parent(F.col("path")).alias("roll"), tx.basename(F.col("path")).alias("name"), tx.roll_matches(tx.parent(F.col("path")), ["3", "roll 4"]).alias("wanted"))
 
 
@@ -133,6 +132,13 @@ def path_parts(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", tx.parent(F.col("url")).alias("parent"), tx.basename(F.col("url")).alias("name"), tx.slug(F.col("url")).alias("slug"))
 
 
+def folder_slugs(spark: SparkSession, d: str) -> DataFrame:
+    """Made-up roll names, several of which lead to one folder name."""
+    k = F.col("p_partkey")
+    names = F.concat(F.lit("Rölle"), F.when(k % 3 == 0, "?").when(k % 3 == 1, "*").otherwise("_"), (k % 50).cast("string"))
+    return tx.slugs(table(spark, d, "part").select(names.alias("name")), "name")
+
+
 def natural_sort_key(spark: SparkSession, d: str) -> DataFrame:
     key = tx.natural_key(F.regexp_replace("s_name", "#", " "))
     return table(spark, d, "supplier").select("s_suppkey", key.alias("key"))
@@ -154,7 +160,7 @@ _RANK = "case event_type when 'purchase' then 3 when 'click' then 2 else 1 end"
 _CHANGED = "not (o.k is not null and n.a is not distinct from o.a and n.p is not distinct from o.p and n.g is not distinct from o.g)"
 _FILES = "f as (select page_id, '/roll ' || (page_id % 7) || '/IMG' || (page_id // 2) || case when page_id % 3 = 0 then '.NEF' else '.jpg' end as path from pages), g as (select *, lower(regexp_replace(path, '\\.[^./]*$', '')) as st, ends_with(path, '.NEF') as raw from f)"
 
-QUERIES = {f.__name__: f for f in (last_write_wins, undo_last, log_ring, dedupe_best_rank, plan_diff, apply_counts, queue_merge, session_idle_30m, ttl_cleanup, resume_superset, phase_revisions, roll_size, moves_counter, top_k_per_group, strided_sample, union_priority, incremental_reuse, greedy_leaders, converter_votes, drop_twins, path_parts, natural_sort_key, json_props, xml_attr, canonical_sha)}
+QUERIES = {f.__name__: f for f in (last_write_wins, undo_last, log_ring, dedupe_best_rank, plan_diff, apply_counts, queue_merge, session_idle_30m, ttl_cleanup, resume_superset, phase_revisions, roll_size, moves_counter, top_k_per_group, strided_sample, union_priority, incremental_reuse, greedy_leaders, converter_votes, drop_twins, path_parts, folder_slugs, natural_sort_key, json_props, xml_attr, canonical_sha)}
 ORACLE = {
     "last_write_wins": "select user_id, event_type, last(value order by ts, event_id) as value, count(*) as n_changes from events group by all",
     "undo_last": """select user_id, event_type, max(value) filter (k = 2) as value from
@@ -203,9 +209,12 @@ select o_custkey, o_orderstatus, n from c qualify row_number() over (partition b
 select page_id, path, split_part(path, '/', 2) as roll, split_part(path, '/', 3) as name, split_part(path, '/', 2) in ('roll 3', 'roll 4') as wanted
 from g where raw or st not in (select st from g where raw)""",
     "path_parts": r"""select page_id, regexp_extract(url, '([^/]+)/[^/]*$', 1) as parent, regexp_extract(url, '([^/]*)$', 1) as name,
-  case when trim(regexp_replace(url, '[^a-zA-Z0-9_.\- ]+', '_', 'g')) = '' then 'film' else trim(regexp_replace(url, '[^a-zA-Z0-9_.\- ]+', '_', 'g')) end as slug from pages""",
+  case when trim(regexp_replace(url, '[^\p{L}\p{N}_.\- ]+', '_', 'g')) = '' then 'film' else trim(regexp_replace(url, '[^\p{L}\p{N}_.\- ]+', '_', 'g')) end as slug from pages""",
+    "folder_slugs": """with n as (select distinct 'Rölle' || ['?', '*', '_'][p_partkey % 3 + 1] || (p_partkey % 50) as name from part),
+b as (select name, replace(replace(name, '?', '_'), '*', '_') as base, row_number() over (partition by base order by name) as k from n)
+select name, base || case when k > 1 then '_' || k else '' end as slug from b""",
     "natural_sort_key": """select s_suppkey, 'supplier ' || lpad(s_suppkey::varchar, 12, '0') as key from supplier""",
     "json_props": "select (props->>'$.k')::int as k, count(*) as n from events group by 1",
     "xml_attr": """select page_id, regexp_extract(html, '\\bclass="([^"]*)"', 1) as class, regexp_extract(html, '\\bhref="([^"]*)"', 1) as href from pages""",
-    "canonical_sha": """select o_orderkey, sha256('{"cust":"' || o_custkey || '","key":"' || o_orderkey || '","status":"' || o_orderstatus || '"}') as sha from orders""",
+    "canonical_sha": """select o_orderkey, sha256('{"cust":' || o_custkey || ',"key":' || o_orderkey || ',"status":"' || o_orderstatus || '"}') as sha from orders""",
 }

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gristmill.functions import text as tx
 
 # Extensions, and the file that marks an output folder.
 IMAGES = (".jpg", ".jpeg", ".tif", ".tiff", ".png")
-RAWS = (".nef", ".cr2", ".cr3", ".arw", ".dng", ".raf", ".rw2", ".orf", ".pef", ".srw", ".3fr", ".iiq", ".rwl", ".nrw", ".raw", ".mrw")
+RAWS = (".nef", ".cr2", ".cr3", ".arw", ".raf", ".orf", ".rw2", ".dng", ".pef", ".srw", ".erf", ".kdc", ".3fr", ".mos", ".iiq", ".x3f")
 
 
 def listing(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,7 +26,8 @@ def rolls(files: DataFrame, root: str, extensions: tuple[str, ...] = IMAGES + RA
     every = files.withColumn("rel", rel).withColumn("roll", F.when(F.instr("rel", "/") > 0, F.substring_index("rel", "/", 1)).otherwise(F.element_at(F.split(F.lit(root.rstrip("/")), "/"), -1)))
     marked = every.where(tx.basename(F.col("rel")) == marker).select("roll").distinct()
     shown = every.where((F.size(F.split("rel", "/")) <= 2) & ~tx.basename(F.col("rel")).startswith(".") & tx.extension(F.col("rel")).isin(*extensions)).join(marked, "roll", "left_anti")
-    return without_twins(shown)
+    # numbered in one task: a folder's listing comes from the driver and is no larger than what it holds
+    return without_twins(shown).withColumn("id", F.row_number().over(Window.orderBy("path")).cast("long"))
 
 
 def without_twins(files: DataFrame) -> DataFrame:

@@ -199,3 +199,45 @@ def test_last_steps(spark):
 def test_scaled_reference(spark):
     df = spark.createDataFrame([((300, 600, 2400, 1201),)], "b struct<x:int,y:int,width:int,height:int>")
     assert tuple(df.select(ev.scaled_reference(F.col("b"), F.lit(3000), F.lit(2000)).alias("r")).first().r) == (200, 400, 1600, 801)
+
+
+def test_film_darker_than_its_holder():
+    g = np.full((400, 600), 240, np.uint8)
+    g[20:380, 30:570] = 20
+    g[60:340, 80:520] = 90
+    m = raster.measure_image(g)
+    assert (m["x"], m["y"], m["width"], m["height"], m["contrast"]) == (80, 60, 440, 280, 70.0)
+    g[60:340, 80:520] = 5
+    assert raster.measure_image(g)["contrast"] == -15.0
+
+
+def test_edges_are_signed():
+    g = np.full((200, 200), 10, np.uint8)
+    g[50:150, 50:150] = 200
+    up, down = raster.edge_evidence(g, 50, 50, 100, 100), raster.edge_evidence(210 - g, 50, 50, 100, 100)
+    assert up == {"edge": 1.0, "interior": 1.0, "exterior": round(1 - 10 / 120, 3)} and down["edge"] == 0.0 and down["exterior"] == 0.0
+    assert raster.edge_evidence(g, 300, 0, 5, 5) == {"edge": 0.0, "interior": 0.0, "exterior": 0.0}
+    assert raster.edge_evidence(np.full((50, 50), 80, np.uint8), 0, 0, 50, 50)["exterior"] == 0.5
+
+
+def test_peak_on_a_plateau():
+    assert raster.peak(np.array([0, 0, 1.0, 1.0, 0, 0, 0]), 2) == (2.5, 1.0)
+    assert raster.peak(np.array([-3, -3, -1.0, -2, -3, -3]), 2) is None
+
+
+def test_rolls_are_numbered(spark):
+    from gristmill.sources import files
+
+    paths = ["/a/r/2.jpg", "/a/r/1.nef", "/a/r/1.jpg", "/a/0.x3f", "/a/q/5.raw", "/a/q/.6.jpg"]
+    got = files.rolls(spark.createDataFrame([(p,) for p in paths], "path string"), "/a")
+    assert sorted((r.id, r.path) for r in got.collect()) == [(1, "/a/0.x3f"), (2, "/a/r/1.nef"), (3, "/a/r/2.jpg")]
+
+
+def test_canonical_sha(spark):
+    import hashlib
+    import json
+
+    row = {"b": 'x "ü"\n', "a": 3, "c": None, "d": True}
+    df = spark.createDataFrame([tuple(row.values())], "b string, a long, c string, d boolean")
+    got = df.select(tx.canonical_sha256({k: F.col(k) for k in row}).alias("h")).first().h
+    assert got == hashlib.sha256(json.dumps(row, sort_keys=True, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
