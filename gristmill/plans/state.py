@@ -71,7 +71,7 @@ def plan_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def unreferenced(spark: SparkSession, d: str) -> DataFrame:
-    return st.without_reference(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return st.without_reference(table(spark, d, "customer").select("c_custkey"), table(spark, d, "orders").where("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 def size_and_place(spark: SparkSession, d: str) -> DataFrame:
@@ -134,7 +134,7 @@ select id, retried, case when retried = 'pending' then 'not analysed' else e end
     "read_model": f"with {_I} select o_custkey || '/' || id as key, path, id, case when id % 3 <> 0 then crop end as detected, case when id % 5 = 0 then crop + 1 end as reference from i",
     "plan_report": f"""with {_I}, r as (select id, path, case when id % 2 = 0 and id % 3 = 0 then 'skipped' when id % 14 = 0 then 'failed' else 'ok' end as status from i)
 select *, status <> 'failed' as counts from r""",
-    "unreferenced": "select c_custkey from customer where c_custkey not in (select o_custkey from orders)",
+    "unreferenced": "select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_orderkey % 3 = 0)",
     "size_and_place": """with r as (select l_orderkey, l_linenumber, l_quantity::double as w, l_linenumber * 7.0::double as h from lineitem)
 select l_orderkey, l_linenumber, abs(greatest(w, h) - 30) <= 0.2::double * 30 and abs(least(w, h) - 20) <= 0.2::double * 20 as size_ok,
   abs(greatest(w, h) - 30) <= 0.15::double * 30 and abs(least(w, h) - 20) <= 0.15::double * 20 as good,
