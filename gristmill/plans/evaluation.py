@@ -119,16 +119,11 @@ def _extents(orders: DataFrame) -> DataFrame:
 
 
 def learned_extent(spark: SparkSession, d: str) -> DataFrame:
-    """Of every fiftieth order, as in its SQL."""
-    return ev.learned_extent(_extents(table(spark, d, "orders").where("o_orderkey % 50 = 0")))
-
-
-def learned_extent_all(spark: SparkSession, d: str) -> DataFrame:
     return ev.learned_extent(_extents(table(spark, d, "orders")))
 
 
 _PICK = f"n >= 5 and h >= {PRECISION}::double * n"
-QUERIES = {f.__name__: f for f in (roc_sweep, threshold_min_precision, threshold_max_recall, auc_by_signal, three_way_confusion, lofo_threshold, split_eval, hit_by_group_rollup, bias_summary, deltas_left_missing, symptom_counts, baseline_gate, argmin_factor, histogram_bins, session_summary, nested_lofo, learned_extent, learned_extent_all)}
+QUERIES = {f.__name__: f for f in (roc_sweep, threshold_min_precision, threshold_max_recall, auc_by_signal, three_way_confusion, lofo_threshold, split_eval, hit_by_group_rollup, bias_summary, deltas_left_missing, symptom_counts, baseline_gate, argmin_factor, histogram_bins, session_summary, nested_lofo, learned_extent)}
 ORACLE = {
     "roc_sweep": f"""with {_SCORED},
 grid as (select (100 - 5 * i) / 100.0::double as t from range(0, 16) r(i)),
@@ -187,10 +182,7 @@ select case when a <= b and a <= c then 'size_agree' when b <= c then 'edge_scor
 select case when conf >= 0.9 then 0.9::double when conf >= 0.7 then 0.7 when conf >= 0.5 then 0.5 else 0.0 end as low, count(*) as n from scored group by 1""",
     "session_summary": f"""with {_SCORED}, b as (select *, case when conf >= 0.5 then 'green' when conf >= 0.3 then 'yellow' else 'red' end as band from scored)
 select band, count(*) as n, count(*) filter (hit) as hits, median(conf) as mid from b group by grouping sets ((band), ())""",
-    "learned_extent": """with r as (select o_totalprice / 10007 as w, o_totalprice / 15013 + 3 as h from orders where o_orderkey % 50 = 0),
-f as (select greatest(w, h) as l, least(w, h) as s from r where greatest(w, h) / greatest(least(w, h), 1e-6) > 0.6 and greatest(w, h) / greatest(least(w, h), 1e-6) < 2.0 and greatest(w, h) > 30)
-select count(*) as n, round_even(list_sort(list(l))[count(*) // 2 + 1], 2) as long_mm, round_even(list_sort(list(s))[count(*) // 2 + 1], 2) as short_mm from f having count(*) >= 3""",
-    "learned_extent_all": """with r as (select o_totalprice / 10007 as w, o_totalprice / 15013 + 3 as h from orders),
+    "learned_extent": """with r as (select o_totalprice / 10007 as w, o_totalprice / 15013 + 3 as h from orders),
 f as (select greatest(w, h) as l, least(w, h) as s from r where greatest(w, h) / greatest(least(w, h), 1e-6) > 0.6 and greatest(w, h) / greatest(least(w, h), 1e-6) < 2.0 and greatest(w, h) > 30)
 select count(*) as n, round_even(list_sort(list(l))[count(*) // 2 + 1], 2) as long_mm, round_even(list_sort(list(s))[count(*) // 2 + 1], 2) as short_mm from f having count(*) >= 3""",
 }

@@ -62,7 +62,7 @@ def test_learned_extent_of_all_orders(spark, tmp_path):
     spark.createDataFrame([(50 * i + 1 + i % 49, p) for i, p in enumerate(prices)], "o_orderkey long, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
     sides = [(max(w, h), min(w, h)) for w, h in ((p / 10007, p / 15013 + 3) for p in prices)]
     fit = [s for s in sides if 0.6 < s[0] / s[1] < 2 and s[0] > 30]
-    got = catalogue.QUERIES["learned_extent_all"](spark, str(tmp_path))
+    got = catalogue.QUERIES["learned_extent"](spark, str(tmp_path))
     want = [round(sorted(s[k] for s in fit)[len(fit) // 2], 2) for k in (0, 1)]
     assert [tuple(r) for r in got.select("n", "long_mm", "short_mm").collect()] == [(len(fit), *want)]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
