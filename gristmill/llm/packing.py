@@ -93,6 +93,7 @@ def encoder(path: str) -> Pieces:
     state = worker_state()
     if key not in state:
         state[key] = Pieces(path)
+        give_back()  # reading the vocabulary takes several times what is kept of it
     return state[key]
 
 
