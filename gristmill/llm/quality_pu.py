@@ -10,9 +10,11 @@ and, where the second term is negative, takes the gradient step that raises it a
 positives-against-unlabelled classifier orders texts, and pi is the least ratio of unlabelled to positive mass above
 any of its scores, taken where enough of both lies above.
 
-Bounds: at most `most` positives and one or two times `most` unlabelled texts, chosen by a hash of id and text, are used
-for learning; only their measurements, some tens of numbers each, leave the workers. Scoring covers all rows and whole
-texts.
+Texts are read once: their measurements, some tens of numbers each, are kept in the shared folder, and all else is made
+from these. Means, deviations, knots and the unlabelled mass above each score are counted over all rows. The gradient of
+the risk is taken over a sample: at most `most` positives, first by a hash of their id, and 2 * `most` unlabelled rows,
+first by a hash with a salt of each row, so that a row repeated often has its share and no more. Scoring covers all rows
+and whole texts.
 Defined cases: null and empty texts have measurements of 0 and are scored like any; without positives every score is
 0.5; repeated rows are scored one by one; other columns are ignored.
 """
@@ -28,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._sampling import sampled
+from gristmill.llm._common import saved
+from gristmill.llm._sampling import first_labelled
 
 SYMBOL = re.compile(r"[#*$%&|<>{}=\\^~@+_]")
 ENDS_ODD = re.compile(r"[^\w\s.,;:'\")\]]+(?=\s|$)")
@@ -66,16 +69,42 @@ def measures(text: str) -> list[float]:
     ]
 
 
-def measured(docs: DataFrame, *more: str) -> DataFrame:
-    """docs (doc_id, text, more columns of longs) -> doc_id, x, more."""
-    schema = "doc_id long, x array<double>" + "".join(f", {c} long" for c in more)
+def measured(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, x."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [measures(t.as_py() or "") for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64())), *batch.columns[2:]], names=["doc_id", "x", *more])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text", *(F.col(c).cast("long").alias(c) for c in more)).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, x array<double>")
+
+
+def matrix(x: pa.Array) -> np.ndarray:
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_MEASURES)
+
+
+def mass_above(rows: DataFrame, values, edges: np.ndarray) -> np.ndarray:
+    """rows (x) -> per column of values(x), and per ascending edge, how many rows of all lie at or above it. A task sends
+    one number for each column and gap between edges that it has met."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
+        for batch in batches:
+            v = values(matrix(batch.column(0)))
+            gap = np.searchsorted(edges, v, "right") + np.arange(v.shape[1]) * (len(edges) + 1)
+            found = np.bincount(gap.ravel(), minlength=v.shape[1] * (len(edges) + 1))
+            seen = found if seen is None else seen + found
+        if seen is not None:
+            at = np.flatnonzero(seen)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], names=["at", "n"])
+
+    found = rows.select("x").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect()
+    columns = values(np.zeros((1, N_MEASURES))).shape[1]
+    counts = np.zeros((columns, len(edges) + 1))
+    for r in found:
+        counts[divmod(r["at"], len(edges) + 1)] = r["n"]
+    return counts[:, ::-1].cumsum(1)[:, ::-1][:, 1:]
 
 
 @dataclass(frozen=True)
@@ -108,23 +137,40 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def class_prior(p: np.ndarray, u: np.ndarray, decay: float = 1e-3) -> float:
-    """pi from measurements in a common basis."""
+def ordering(p: np.ndarray, u: np.ndarray, decay: float = 1e-3) -> np.ndarray:
+    """Weights of a classifier of positives against unlabelled, both in a common basis."""
 
     def gradient(w: np.ndarray) -> np.ndarray:
         return p.T @ (_sigmoid(p @ w) - 1) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + decay * w
 
-    w = _adam(np.zeros(p.shape[1]), gradient, 300, 0.05)
-    sp, su = np.sort(p @ w), np.sort(u @ w)
-    cuts = np.quantile(sp, np.linspace(0, 0.5, 101))
-    above = lambda s: 1 - np.searchsorted(s, cuts, "left") / len(s)
-    return float(np.clip(np.min(above(su) / np.maximum(above(sp), 1e-9)), 0.05, 0.99))
+    return _adam(np.zeros(p.shape[1]), gradient, 300, 0.05)
+
+
+def cuts_of(scores: np.ndarray) -> np.ndarray:
+    return np.quantile(scores, np.linspace(0, 0.5, 101))
+
+
+def least_ratio(scores: np.ndarray, cuts: np.ndarray, above: np.ndarray) -> float:
+    """pi from the positives' scores, and the unlabelled share at or above each cut."""
+    positive = 1 - np.searchsorted(np.sort(scores), cuts, "left") / len(scores)
+    return float(np.clip(np.min(above / np.maximum(positive, 1e-9)), 0.05, 0.99))
+
+
+def class_prior(p: np.ndarray, u: np.ndarray) -> float:
+    """pi from measurements in a common basis, all of them at hand."""
+    w = ordering(p, u)
+    cuts = cuts_of(p @ w)
+    return least_ratio(p @ w, cuts, 1 - np.searchsorted(np.sort(u @ w), cuts, "left") / len(u))
 
 
-def learn(p: np.ndarray, u: np.ndarray, steps: int = 800, rate: float = 0.03, decay: float = 1e-4, prior: float | None = None) -> Classifier:
+def frame_of(u: np.ndarray) -> Classifier:
+    """Means, deviations and knots of measurements at hand, without weights."""
     mean, scale = u.mean(0), u.std(0) + 1e-6
-    z = np.clip((u - mean) / scale, -6, 6)
-    frame = Classifier(mean, scale, np.quantile(z, KNOTS, axis=0), np.zeros(1), 0.5)
+    return Classifier(mean, scale, np.quantile(np.clip((u - mean) / scale, -6, 6), KNOTS, axis=0), np.zeros(1), 0.5)
+
+
+def learn(p: np.ndarray, u: np.ndarray, steps: int = 800, rate: float = 0.03, decay: float = 1e-4, prior: float | None = None, frame: Classifier | None = None) -> Classifier:
+    frame = frame or frame_of(u)
     bp, bu = frame.basis(p), frame.basis(u)
     pi = class_prior(bp, bu) if prior is None else prior
 
@@ -136,27 +182,60 @@ def learn(p: np.ndarray, u: np.ndarray, steps: int = 800, rate: float = 0.03, de
         risk = np.logaddexp(0, bu @ w).mean() - pi * np.logaddexp(0, bp @ w).mean()
         return (good + bad if risk >= 0 else -bad) + decay * w
 
-    return Classifier(mean, scale, frame.knots, _adam(np.zeros(bp.shape[1]), gradient, steps, rate), pi)
+    return Classifier(frame.mean, frame.scale, frame.knots, _adam(np.zeros(bp.shape[1]), gradient, steps, rate), pi)
+
+
+def frame_of_all(rows: DataFrame, edges: np.ndarray = np.linspace(-6, 6, 1201)) -> tuple[Classifier, int]:
+    """The frame over all rows, its knots to a hundredth of a deviation, and the number of rows."""
+    x = [F.col("x")[k] for k in range(N_MEASURES)]
+    n, *of = rows.agg(F.count("*"), *(F.avg(c) for c in x), *(F.stddev_pop(c) for c in x)).first()
+    if not n:
+        return Classifier(np.zeros(0), np.zeros(0), np.zeros((0, 0)), np.zeros(1), 0.5), 0
+    mean, scale = np.array(of[:N_MEASURES]), np.array(of[N_MEASURES:]) + 1e-6
+    above = mass_above(rows, lambda v: np.clip((v - mean) / scale, -6, 6), edges)
+    knots = np.array([[edges[max(0, (row >= (1 - q) * n).sum() - 1)] for row in above] for q in KNOTS])
+    return Classifier(mean, scale, knots, np.zeros(1), 0.5), n
+
+
+def fit_measured(rows: DataFrame, labels: DataFrame, label: str = "quality", most: int = 8_000, seed: int = 3) -> Classifier | None:
+    """rows (doc_id, x), kept in files; labels: the training rows only, of which the positives are used."""
+    chosen = first_labelled(labels.where(F.col(label) == 1), label, most).select(F.col("doc_id").alias("_id"))
+    met = rows.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    p = met.groupBy("doc_id").agg(F.min_by("x", F.xxhash64("x")).alias("x")).orderBy("doc_id")
+    salted = F.xxhash64(F.lit(seed), "doc_id", "x", F.monotonically_increasing_id())
+    u = rows.withColumn("_h", salted).orderBy("_h").limit(2 * most)
+    p, u = (np.array([r["x"] for r in df.select("x").collect()], float).reshape(-1, N_MEASURES) for df in (p, u))
+    if not len(p) or not len(u):
+        return None
+    frame, n = frame_of_all(rows)
+    w = ordering(frame.basis(p), frame.basis(u))
+    scores = frame.basis(p) @ w
+    cuts = cuts_of(scores)
+    above = mass_above(rows, lambda x: (frame.basis(x) @ w)[:, None], cuts)[0] / n
+    return learn(p, u, prior=least_ratio(scores, cuts, above), frame=frame)
+
+
+def score_measured(rows: DataFrame, model: Classifier | None) -> DataFrame:
+    """rows (doc_id, x) -> doc_id, score (the chance of being good)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x) if model else np.full(len(x), 0.5))], names=["doc_id", "score"])
+
+    return rows.mapInArrow(run, "doc_id long, score double")
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 8_000, seed: int = 3) -> Classifier | None:
-    """labels: the training rows only; of these, the positives are used."""
-    positive = sampled(docs, labels.where(F.col(label) == 1), label, most).withColumn("h", F.xxhash64("doc_id"))
-    parts = max(1, docs.count() // most)
-    web = docs.withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "text")).where(F.pmod("h", F.lit(parts)) == 0)
-    # rows that repeat an id and its text are one row of the sample, or it had no bound
-    once = lambda df: measured(df, "h").groupBy("h").agg(F.first("x").alias("x")).orderBy("h").limit(4 * most)
-    rows = lambda df: np.array([r["x"] for r in once(df).collect()], float).reshape(-1, N_MEASURES)
-    p, u = rows(positive), rows(web)
-    return learn(p, u) if len(p) and len(u) else None
+    return fit_measured(saved(measured(docs)), labels, label, most, seed)
 
 
 def score(docs: DataFrame, model: Classifier | None) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, score (the chance of being good)."""
+    """docs (doc_id, text) -> doc_id, score."""
+    return score_measured(measured(docs), model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.array([measures(t.as_py() or "") for t in batch.column(1)], float).reshape(-1, N_MEASURES)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x) if model else np.full(len(x), 0.5))], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double")
+def classify(docs: DataFrame, labels: DataFrame, label: str = "quality", most: int = 8_000, seed: int = 3) -> DataFrame:
+    """fit and score, with one reading of the texts."""
+    rows = saved(measured(docs))
+    return score_measured(rows, fit_measured(rows, labels, label, most, seed))

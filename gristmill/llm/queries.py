@@ -53,8 +53,8 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality_pu.fit(docs, _training_labels(spark, sf_dir))
-    return quality_pu.score(docs, model).select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+    scored = quality_pu.classify(docs, _training_labels(spark, sf_dir))
+    return scored.select("doc_id", in_fold(F.col("doc_id"), 4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str, order: int = 2) -> DataFrame:

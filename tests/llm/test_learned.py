@@ -80,3 +80,28 @@ def test_prior_and_risk():
     model = quality_pu.learn(good[:1500], np.concatenate([good[1500:], bad[:500]]))
     assert abs(model.prior - 0.75) < 0.1  # the least ratio over many cuts is a little low
     assert (model.score(good[1500:]) > 0.5).mean() > 0.95 and (model.score(bad[500:]) < 0.5).mean() > 0.95
+
+
+def test_frame_and_masses_of_all_rows(spark):
+    """Counted over partitions, against the same measurements in one array."""
+    rng = np.random.default_rng(5)
+    x = rng.gamma(2, 1, (700, quality_pu.N_MEASURES))
+    x[:, 3] = 0
+    rows = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "doc_id long, x array<double>").repartition(5)
+    got, n = quality_pu.frame_of_all(rows)
+    want = quality_pu.frame_of(x)
+    assert n == 700 and np.allclose(got.mean, want.mean) and np.allclose(got.scale, want.scale)
+    assert np.abs(got.knots - want.knots).max() < 0.1
+    edges = np.array([0.5, 1.0, 1.0, 2.5])
+    above = quality_pu.mass_above(rows, lambda v: v[:, :2], edges)
+    assert above.tolist() == [[float((x[:, k] >= e).sum()) for e in edges] for k in (0, 1)]
+
+
+def test_repeated_rows_keep_their_share(spark):
+    """One row is a third of all: it neither fills the sample of unlabelled rows nor leaves it."""
+    good, bad = "the small house stands by the long river and the day is fine . " * 3, "BUY!!! $$$ ### |||| CLICK &&& NOW!!! " * 5
+    rows = [(i, good + str(i)) for i in range(60)] + [(100 + i, bad + str(i)) for i in range(60)] + [(7_777, bad)] * 60
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
+    got = quality_pu.classify(docs, labels, most=20).toPandas()
+    assert len(got) == 180 and got[got.doc_id < 60].score.min() > got[got.doc_id >= 100].score.max()
