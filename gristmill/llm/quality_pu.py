@@ -185,8 +185,8 @@ def learn(p: np.ndarray, u: np.ndarray, steps: int = 800, rate: float = 0.03, de
     return Classifier(frame.mean, frame.scale, frame.knots, _adam(np.zeros(bp.shape[1]), gradient, steps, rate), pi)
 
 
-def frame_of_all(rows: DataFrame, edges: np.ndarray = np.linspace(-6, 6, 1201)) -> tuple[Classifier, int]:
-    """The frame over all rows, its knots to a hundredth of a deviation, and the number of rows."""
+def frame_of_all(rows: DataFrame, edges: np.ndarray = np.linspace(-6, 6, 6001)) -> tuple[Classifier, int]:
+    """The frame over all rows, its knots to a five-hundredth of a deviation, and the number of rows."""
     x = [F.col("x")[k] for k in range(N_MEASURES)]
     n, *of = rows.agg(F.count("*"), *(F.avg(c) for c in x), *(F.stddev_pop(c) for c in x)).first()
     if not n:
