@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gristmill.plans import evaluation, film, kernels, profiles, reviewing, state, statistics, streams
+from gristmill.plans import evaluation, film, kernels, profiles, reviewing, rolls, state, statistics, streams
 
-_PARTS = (evaluation, statistics, reviewing, state, film, profiles, kernels, streams)
+_PARTS = (evaluation, statistics, reviewing, state, film, rolls, profiles, kernels, streams)
 QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE = {name: sql for part in _PARTS for name, sql in part.ORACLE.items()}
