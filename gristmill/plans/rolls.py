@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gristmill.functions import sidecar as sc
 from gristmill.operators import rolls as ro
 from gristmill.session import table
 
@@ -149,11 +150,29 @@ def entry_texts(spark: SparkSession, d: str) -> DataFrame:
     ).select("*", "box.*").drop("box")
 
 
+def profile_upsert(spark: SparkSession, d: str) -> DataFrame:
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    text = F.concat(F.lit("[General]\nColorLabel=0\nName="), p, F.lit("\n\n"), F.when(k % 3 != 0, F.concat(F.lit("[Crop]\nX="), k.cast("string"), F.lit("\nKeep=1\n\n"))).otherwise(""), F.lit("[End]\nX=1"))
+    return table(spark, d, "orders").select("o_orderkey", sc.ini_set(text, "Crop", {"Enabled": F.lit("true"), "X": (k % 7).cast("string")}).alias("profile"))
+
+
+def sidecar_crops(spark: SparkSession, d: str) -> DataFrame:
+    # Four floats each: the whole image; 0.25, 0, 1, 1; 1.5 degrees; -0.5 degrees and a shear of 0.25.
+    whole, part, turn, shear = "00000000000000000000803f0000803f", "0000803e000000000000803f0000803f", "0000c03f000000000000000000000000", "000000bf00000000000000000000803e"
+    k = F.col("o_orderkey")
+    step = lambda op, on, p: F.struct(F.lit(op).alias("operation"), on.alias("enabled"), F.lit(p).alias("params"))
+    entries = F.array(step("crop", k % 2 == 0, part), step("crop", k % 3 == 0, whole), step("ashift", k % 5 == 0, turn), step("ashift", k % 7 == 0, shear))
+    head = F.concat(F.lit("49492A0008000000"), F.lit("0200"), F.lit("000103000100000000000000"), F.lit("1201030001000000"), F.lpad(F.hex(k % 11), 2, "0"), F.lit("000000"))
+    return table(spark, d, "orders").select("o_orderkey", sc.history_crop(entries).alias("h"), sc.tiff_orientation(F.unhex(head)).alias("orientation")).select(
+        "o_orderkey", F.try_element_at("h.crop", F.lit(1)).alias("left"), F.col("h.rotation").alias("rotation"), F.col("h.complex").alias("complex"), F.col("h.n").alias("n"), "orientation"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         roll_sizes, film_analysis, undo_operations, gallery_counts, manual_differences, filename_labels, ground_truth, exported_corrections, all_results, review_list, plan_head, newest_session,
-        progress_lines, public_state, valid_conventions, factor_rows, films_with_references, entry_texts,
+        progress_lines, public_state, valid_conventions, factor_rows, films_with_references, entry_texts, profile_upsert, sidecar_crops,
     )
 }
 
@@ -233,4 +252,10 @@ e as (select *, case when g > 0 then round_even(x0 / 1500, 5) else l end as a1,
 select k as o_orderkey, k % 9 <> 0 and (k % 2 = 0 or k % 3 = 0) as neutralize, case when k % 2 = 0 then 'Datei seit der Analyse geaendert' end as message, (['darktable', 'folder', 'standalone'])[k % 3 + 1] as mode,
   (['darktable', 'reviews', 'json'])[k % 3 + 1] as target, 'ä_b_' || regexp_replace(p, '[^\w.\-]+', '_', 'g') || '__' || k || '.jpg' as name,
   round_even(a1 * 1500, 0)::int as x, round_even(a2 * 1000, 0)::int as y, round_even((a3 - a1) * 1500, 0)::int as width, round_even((a4 - a2) * 1000, 0)::int as height from e""",
+    "profile_upsert": r"""select o_orderkey, concat('[General]', chr(10), 'ColorLabel=0', chr(10), 'Name=', o_orderpriority, chr(10), chr(10),
+  case when o_orderkey % 3 <> 0 then concat('[Crop]', chr(10), 'X=', o_orderkey % 7, chr(10), 'Keep=1', chr(10), 'Enabled=true', chr(10), chr(10)) else '' end, '[End]', chr(10), 'X=1', chr(10),
+  case when o_orderkey % 3 = 0 then concat(chr(10), '[Crop]', chr(10), 'Enabled=true', chr(10), 'X=', o_orderkey % 7, chr(10)) else '' end) as profile from orders""",
+    "sidecar_crops": """select o_orderkey, case when o_orderkey % 2 = 0 then 0.25::double end as "left", case when o_orderkey % 5 = 0 or o_orderkey % 7 = 0 then
+  case when o_orderkey % 5 = 0 then 1.5::double else 0 end + case when o_orderkey % 7 = 0 then -0.5::double else 0 end end as rotation, o_orderkey % 7 = 0 as complex, (o_orderkey % 2 = 0)::int as n,
+  case when o_orderkey % 11 between 1 and 8 then (o_orderkey % 11)::int end as orientation from orders""",
 }

@@ -65,6 +65,30 @@ def references(reviews: DataFrame, feedback: DataFrame, present: DataFrame) -> D
     return best.join(present.select("key"), "key", "left_semi")
 
 
+def document(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
+    """A JSON document of an object or an array of them, directly in the folder; no rows if it is absent, and none for
+    what cannot be read."""
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "DROPMALFORMED").option("pathGlobFilter", name).json(folder)
+
+
+def last_results(results: DataFrame, order: str) -> DataFrame:
+    """Of results (film, filename, ...) the last by order for each film and name."""
+    rest = [c for c in results.columns if c not in ("film", "filename")]
+    latest = results.groupBy("film", "filename").agg(F.max_by(F.struct(*rest), order).alias("_r"))
+    return latest.select("film", "filename", *(F.col(f"_r.{c}").alias(c) for c in rest))
+
+
+def splits(documents: DataFrame) -> DataFrame:
+    """documents (tuning, holdout: lists of films) -> film, split."""
+    films = lambda c: documents.select(F.explode(c).alias("film"), F.lit(c).alias("split"))
+    return films("tuning").unionByName(films("holdout"))
+
+
+def sessions_below(files: DataFrame) -> DataFrame:
+    """The folders that hold a state.json directly, in order of path."""
+    return files.where(tx.basename(F.col("path")) == "state.json").select(F.regexp_replace("path", "/[^/]*$", "").alias("session")).distinct().orderBy("session")
+
+
 MANIFEST = ("file", "film", "label", "apply", "confidence", "angle", "left", "top", "right", "bottom", "x", "y", "width", "height", "copy")
 
 
