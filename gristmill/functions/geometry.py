@@ -40,18 +40,13 @@ def turned(x: Column, y: Column, degrees: Column) -> Column:
 
 def to_stored(crop: Column, orientation: Column) -> Column:
     """A crop of the upright image in the frame of the stored one, for orientation tags 1..8; others count as 1."""
-    l, t, r, b = (F.element_at(crop, i) for i in (1, 2, 3, 4))  # noqa: E741
-    one = lambda x: F.bround(1 - x, 6)
-    same = lambda x: F.bround(x, 6)
-    box = {
-        2: (one(r), same(t), one(l), same(b)), 3: (one(r), one(b), one(l), one(t)), 4: (same(l), one(b), same(r), one(t)),
-        5: (same(t), same(l), same(b), same(r)), 6: (same(t), one(r), same(b), one(l)), 7: (one(b), one(r), one(t), one(l)),
-        8: (one(b), same(l), one(t), same(r)),
-    }
-    out = F.array(*(same(x) for x in (l, t, r, b)))
-    for tag, edges in box.items():
-        out = F.when(orientation == tag, F.array(*edges)).otherwise(out)
-    return out
+    # which edge (1 left, 2 top, 3 right, 4 bottom) goes where; those below 0 are measured from the other side
+    edges = {2: (-3, 2, -1, 4), 3: (-3, -4, -1, -2), 4: (1, -4, 3, -2), 5: (2, 1, 4, 3), 6: (2, -3, 4, -1), 7: (-4, -3, -2, -1), 8: (-4, 1, -2, 3)}
+    which = F.array(*map(F.lit, (1, 2, 3, 4)))
+    for tag, of in edges.items():
+        which = F.when(orientation == tag, F.array(*map(F.lit, of))).otherwise(which)
+    edge = lambda c: lambda i: F.bround(F.when(i < 0, 1 - F.element_at(c, -i)).otherwise(F.element_at(c, i)), 6)
+    return F.transform(F.array(crop), lambda c: F.transform(which, edge(c)))[0]  # binds the crop, whose expression may be large
 
 
 def fitted(cx: Column, cy: Column, w: Column, h: Column, width: Column, height: Column) -> Column:
