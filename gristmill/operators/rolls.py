@@ -146,6 +146,24 @@ def newest_session(sessions: DataFrame, items: DataFrame, have: DataFrame, targe
     return whole.agg(F.max("session").alias("session"))
 
 
+def plan_checks(plan: DataFrame, library: DataFrame) -> DataFrame:
+    """plan (id, path, size, changed) against library (id, folder, filename, file_size, null where the file is gone): what
+    bars an entry, status and message; both null where nothing does. One join stands for a search of the folders
+    concerned and then of all."""
+    both = plan.join(library.withColumn("_met", F.lit(True)), "id", "left")
+    other = F.concat_ws("/", "folder", "filename") != F.col("path")
+    bars = ((~F.col("changed"), "skipped", "unchanged"), (F.col("_met").isNull(), "error", "image not found in library"), (other, "error", "file moved or renamed"), (F.col("size").isNotNull() & ~F.col("file_size").eqNullSafe(F.col("size")), "skipped", "file changed since export"))
+    status = message = F.lit(None).cast("string")
+    for bar, what, why in reversed(bars):
+        status, message = F.when(bar, what).otherwise(status), F.when(bar, why).otherwise(message)
+    return both.select("id", status.alias("status"), message.alias("message"))
+
+
+def imported(images: DataFrame, rolls: DataFrame, folders: DataFrame) -> DataFrame:
+    """Paths of images (film_id, filename) in rolls (film_id, folder) whose folder is among folders (folder)."""
+    return images.join(rolls.join(folders.select("folder"), "folder", "left_semi"), "film_id").select(F.concat_ws("/", "folder", "filename").alias("path"))
+
+
 def progress(lines: DataFrame, by: list[str], order: str) -> DataFrame:
     """lines (by, order, line) of a run's protocol -> the last step of how many, images, warnings, and the final bands."""
     kinds = {"step": (r"^PROGRESS (\d+)/(\d+)", ("step", "of")), "total": (r"BATCHINFO total=(\d+)", ("images",)), "done": (r"BATCHDONE green=(\d+) yellow=(\d+) red=(\d+)", ("green", "yellow", "red"))}

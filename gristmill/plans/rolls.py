@@ -168,11 +168,24 @@ def sidecar_crops(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def plan_checks(spark: SparkSession, d: str) -> DataFrame:
+    k, text = F.col("o_orderkey"), lambda c: c.cast("string")
+    plan = table(spark, d, "orders").select(k.alias("id"), F.concat(F.lit("/r/"), text(k % 50), F.lit("/"), text(k)).alias("path"), F.when(k % 4 != 0, k).alias("size"), (k % 3 != 0).alias("changed"))
+    library = table(spark, d, "orders").where(k % 5 != 0).select(k.alias("id"), F.concat(F.lit("/r/"), text(F.when(k % 7 == 0, -1).otherwise(k % 50))).alias("folder"), text(k).alias("filename"), F.when(k % 11 != 0, k + (k % 2)).alias("file_size"))
+    return ro.plan_checks(plan, library)
+
+
+def imported_paths(spark: SparkSession, d: str) -> DataFrame:
+    images = table(spark, d, "orders").select(F.col("o_custkey").alias("film_id"), F.col("o_orderkey").cast("string").alias("filename"))
+    rolls = table(spark, d, "customer").select(F.col("c_custkey").alias("film_id"), F.concat(F.lit("/n"), F.col("c_nationkey").cast("string")).alias("folder"))
+    return ro.imported(images, rolls, table(spark, d, "nation").where("n_regionkey = 2").select(F.concat(F.lit("/n"), F.col("n_nationkey").cast("string")).alias("folder")))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         roll_sizes, film_analysis, undo_operations, gallery_counts, manual_differences, filename_labels, ground_truth, exported_corrections, all_results, review_list, plan_head, newest_session,
-        progress_lines, public_state, valid_conventions, factor_rows, films_with_references, entry_texts, profile_upsert, sidecar_crops,
+        progress_lines, public_state, valid_conventions, factor_rows, films_with_references, entry_texts, profile_upsert, sidecar_crops, plan_checks, imported_paths,
     )
 }
 
@@ -258,4 +271,8 @@ select k as o_orderkey, k % 9 <> 0 and (k % 2 = 0 or k % 3 = 0) as neutralize, c
     "sidecar_crops": """select o_orderkey, case when o_orderkey % 2 = 0 then 0.25::double end as "left", case when o_orderkey % 5 = 0 or o_orderkey % 7 = 0 then
   case when o_orderkey % 5 = 0 then 1.5::double else 0 end + case when o_orderkey % 7 = 0 then -0.5::double else 0 end end as rotation, o_orderkey % 7 = 0 as complex, (o_orderkey % 2 = 0)::int as n,
   case when o_orderkey % 11 between 1 and 8 then (o_orderkey % 11)::int end as orientation from orders""",
+    "plan_checks": """with r as (select o_orderkey as k, case when o_orderkey % 3 = 0 then 'unchanged' when o_orderkey % 5 = 0 then 'image not found in library' when o_orderkey % 7 = 0 then 'file moved or renamed'
+  when o_orderkey % 4 <> 0 and (o_orderkey % 11 = 0 or o_orderkey % 2 = 1) then 'file changed since export' end as m from orders)
+select k as id, m as message, case when m in ('unchanged', 'file changed since export') then 'skipped' when m is not null then 'error' end as status from r""",
+    "imported_paths": "select '/n' || c_nationkey || '/' || o_orderkey as path from orders join customer on c_custkey = o_custkey join nation on n_nationkey = c_nationkey where n_regionkey = 2",
 }
