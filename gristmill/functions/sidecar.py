@@ -30,29 +30,34 @@ def ini_set(text: Column, section: str, values: dict[str, Column]) -> Column:
     )
     marked = F.aggregate(lines, start, step)["out"]
 
-    def done(rows: Column) -> Column:
-        key = lambda r: F.trim(F.substring_index(r["line"], "=", 1))
-        sets = lambda r, k: r["inside"] & ~is_head(r["line"]) & r["line"].contains("=") & (key(r) == k)
-        numbered = F.transform(rows, lambda r, i: F.struct(i.alias("i"), r["line"].alias("line"), r["inside"].alias("inside")))
-        first = lambda k: F.array_min(F.transform(F.filter(numbered, lambda r: sets(r, k)), lambda r: r["i"]))
-        at = {k: first(k) for k in values}
+    key = lambda r: F.trim(F.substring_index(r["line"], "=", 1))
+    number = lambda r, i: F.struct(i.alias("i"), r["line"].alias("line"), r["inside"].alias("inside"), F.when(r["inside"] & ~is_head(r["line"]) & r["line"].contains("="), key(r)).alias("key"))
 
+    def places(rows: Column) -> Column:
+        """The rows with where each key is first set; one value, so that it is bound once below."""
+        first = lambda k: F.array_min(F.transform(F.filter(rows, lambda r: r["key"] == k), lambda r: r["i"]))
+        end = F.array_max(F.transform(F.filter(rows, lambda r: r["inside"] & (F.trim(r["line"]) != "")), lambda r: r["i"]))
+        return F.struct(rows.alias("rows"), F.array(*map(first, values)).alias("at"), end.alias("end"))
+
+    def written(s: Column) -> Column:
         def line(r: Column) -> Column:
             new = r["line"]
-            for k, v in values.items():
-                new = F.when(r["i"] == at[k], F.concat(F.lit(f"{k}="), v)).otherwise(new)
+            for n, (k, v) in enumerate(values.items()):
+                new = F.when(r["i"] == s["at"][n], F.concat(F.lit(f"{k}="), v)).otherwise(new)
             return new
 
-        new = F.transform(numbered, line)
-        rest = F.filter(F.array(*(F.when(at[k].isNull(), F.concat(F.lit(f"{k}="), v)) for k, v in values.items())), lambda x: x.isNotNull())
-        # heads belong to their section, so its last line that is not blank is at least its head
-        last_head = F.array_max(F.transform(F.filter(numbered, lambda r: r["inside"] & is_head(r["line"])), lambda r: r["i"]))
-        end = F.array_max(F.transform(F.filter(numbered, lambda r: r["inside"] & (F.trim(r["line"]) != "")), lambda r: r["i"]))
-        within = F.concat(F.slice(new, 1, end + 1), rest, F.slice(new, end + 2, F.size(new) + 1))
+        rest = F.filter(F.array(*(F.when(s["at"][n].isNull(), F.concat(F.lit(f"{k}="), v)) for n, (k, v) in enumerate(values.items()))), lambda x: x.isNotNull())
+        return F.struct(F.transform(s["rows"], line).alias("lines"), rest.alias("rest"), s["end"].alias("end"))
+
+    def joined(s: Column) -> Column:
+        # a head belongs to its section, so a section that is there has an end
+        new, rest = s["lines"], s["rest"]
+        within = F.concat(F.slice(new, 1, s["end"] + 1), rest, F.slice(new, s["end"] + 2, F.size(new) + 1))
         gap = F.when((F.size(new) > 0) & (F.trim(F.element_at(new, -1)) != ""), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
-        return F.when(last_head.isNotNull(), within).when(F.size(rest) > 0, F.concat(new, gap, F.array(F.lit(f"[{section}]")), rest)).otherwise(new)
+        return F.when(s["end"].isNotNull(), within).when(F.size(rest) > 0, F.concat(new, gap, F.array(F.lit(f"[{section}]")), rest)).otherwise(new)
 
-    out = F.transform(F.array(marked), done)[0]
+    bound = F.transform(F.array(F.transform(marked, number)), places)
+    out = F.transform(F.transform(bound, written), joined)[0]
     return F.concat(F.array_join(out, "\n"), F.lit("\n"))
 
 
