@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.llm import ann, chat, kneser_ney, mixing, ngram_join, packing, pii, quality_pu, quality_rules, toxicity
+from gristmill.llm import ann, chat, elkan, hard_negatives, kneser_ney, mixing, ngram_join, packing, pii, quality_pu, quality_rules, suffix_trees, toxicity
 from gristmill.llm._common import in_fold, table
 
 POLICY = 2
@@ -94,6 +94,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_trees.deduplicate(table(spark, sf_dir, "documents"))
+
+
+def op12_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return elkan.cluster(table(spark, sf_dir, "embeddings")).drop("measured")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("vec_id")
+    moved = table(spark, sf_dir, "embeddings").withColumn("label", F.when(v % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return hard_negatives.mine(moved, v % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_ann": op1_ann,
@@ -108,6 +122,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_chat_formatting": op7_chat_formatting,
         "op8_pii": op8_pii,
         "op10_mixing": op10_mixing,
+        "op11_substring_dedup": op11_substring_dedup,
+        "op12_clustering": op12_clustering,
+        "op13_hard_negatives": op13_hard_negatives,
     }
 
 
@@ -178,5 +195,60 @@ from p group by conv_id
 """
 
 
+OP11_SQL = rf"""
+with d as materialized (select row_number() over () as rid, doc_id, {_WORDS} as w from documents),
+p as (select rid, doc_id, unnest(range(1, len(w) - 48)) as i, w from d where len(w) >= 50),
+n as (select rid, doc_id, i, array_to_string(w[i:i + 49], ' ') as seq from p),
+g as (select rid, i from (select *, min(doc_id) over (partition by seq) as least from n) where least < doc_id),
+c as materialized (select distinct rid, unnest(range(i, i + 50)) as k from g),
+e as (select rid, unnest(range(1, len(w) + 1)) as k, unnest(w) as word from d where rid in (select rid from c)),
+r as (select rid, count(*) filter (c.k is not null) as n_removed, coalesce(string_agg(word, ' ' order by e.k) filter (c.k is null), '') as kept from e left join c using (rid, k) group by rid)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_removed, 0) as n_removed, sha256(coalesce(kept, array_to_string(w, ' '))) as kept_sha256
+from d left join r using (rid)
+"""
+
+_SOUND = "embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+_INTEGERS = "list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint))"
+
+
+def _clusters_sql(k: int = 40, rounds: int = 5) -> str:
+    """Each assignment and each move of the centroids as a query of its own."""
+    square = "cast(list_sum(list_transform(range(1, 65), lambda i: (v.x[i] - c.x[i]) * (v.x[i] - c.x[i]))) as bigint)"
+    steps = [
+        f"v as materialized (select row_number() over () as rid, vec_id, {_INTEGERS} as x from embeddings where len(embedding) = 64 and {_SOUND})",
+        f"c0 as materialized (select row_number() over (order by sha256('2:' || vec_id), x) - 1 as c, x from v qualify c < {k})",
+    ]
+    for i in range(rounds + 1):
+        steps.append(f"a{i} as materialized (select rid, any_value(vec_id) as vec_id, any_value(v.x) as x, min({square} * {k} + c.c) as m from v, c{i} as c group by rid)")
+        if i < rounds:
+            steps.append(f"u{i} as (select m % {k} as c, unnest(range(1, 65)) as i, unnest(x) as x from a{i})")
+            steps.append(f"s{i} as (select c, i, sum(x) as s, count(*) as n from u{i} group by c, i)")
+            steps.append(f"m{i} as (select c, list(cast((s - ((s % n) + n) % n) // n as bigint) order by i) as x from s{i} group by c)")
+            steps.append(f"c{i + 1} as materialized (select c{i}.c, coalesce(m{i}.x, c{i}.x) as x from c{i} left join m{i} on m{i}.c = c{i}.c)")
+    return f"""
+with {", ".join(steps)},
+f as (select vec_id, m % {k} as c, m // {k} as d from a{rounds})
+select f.vec_id, cast(f.c as int) as cluster, cast(d as bigint) as distance, cast(sum(d) over (partition by f.c) as bigint) as cluster_inertia,
+  cast(sum(d) over () as bigint) as inertia, sha256(array_to_string(c.x, ',')) as centroid_sha256
+from f join c{rounds} as c on c.c = f.c
+"""
+
+
+OP13_SQL = f"""
+with r as materialized (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label, {_INTEGERS} as x
+  from embeddings where label is not null and {_SOUND}),
+s as materialized (
+  select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id as id,
+    cast(list_sum(list_transform(range(1, len(a.x) + 1), lambda i: a.x[i] * b.x[i])) as bigint) as score
+  from r as a join r as b on a.vec_id <> b.vec_id and len(a.x) = len(b.x) where a.vec_id % 50 = 0),
+p as (select * from s where same qualify row_number() over (partition by anchor_id order by score desc, id) <= 5)
+select p.anchor_id, p.id as positive_id, cast(row_number() over w as int) as rank, s.id as negative_id, p.score as positive_score, s.score as negative_score
+from p join s on s.anchor_id = p.anchor_id and not s.same and 50 * p.score <= 100 * s.score and 100 * s.score <= 95 * p.score
+window w as (partition by p.anchor_id, p.id order by s.score desc, s.id)
+qualify row_number() over w <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op3_quality_rules": OP3_SQL, "quality_rule_ablations": ABLATIONS_SQL, "op7_chat_formatting": OP7_SQL}
+    return {"op3_quality_rules": OP3_SQL, "quality_rule_ablations": ABLATIONS_SQL, "op7_chat_formatting": OP7_SQL, "op11_substring_dedup": OP11_SQL, "op12_clustering": _clusters_sql(), "op13_hard_negatives": OP13_SQL}
