@@ -17,9 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share. Only where spark.checkpoint.dir is unset (tests on one machine) is one made here."""
+    """The folder all machines share. Where spark.checkpoint.dir is unset, one is made here if all runs on this machine, as
+    in tests; elsewhere executors would write to folders of their own, so that is an error."""
     sc = spark.sparkContext
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if where is None and sc.getCheckpointDir() is None and not sc.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir names no folder that all machines share")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="gristmill-"))
     return (where or sc.getCheckpointDir()).rstrip("/")
@@ -195,6 +198,11 @@ def read_array(path: str, name: str, kind: str):
         return np.frombuffer(f.read(), kind)
 
 
+def ranges_for(spark: SparkSession, n: int, each: int) -> int:
+    """How many ranges hold about `each` of n things; no fewer than there are shuffle partitions."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // each))
+
+
 def in_range(hashes, ranges: int):
     """The range of each hash; ranges follow the order of the hashes."""
     import numpy as np
@@ -209,7 +217,7 @@ class IdSet:
     def __init__(self, ids: DataFrame):
         """ids: one column of longs; nulls are told by `with_null`."""
         column, spark = ids.columns[0], ids.sparkSession
-        self.path, self.ranges = fresh_dir(spark, "ids"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.path, self.ranges = fresh_dir(spark, "ids"), ranges_for(spark, ids.count(), 500_000)
         path, ranges = self.path, self.ranges
 
         def dealt(batches):
@@ -271,6 +279,9 @@ def members(id_set: IdSet, ids, with_null: bool):
 
 def chosen(rows: DataFrame, ids: IdSet, inside: bool, key: Column) -> DataFrame:
     """The rows whose key is in the set, or is not; rows without a key count as outside."""
+    name = "_key"
+    while name.lower() in {c.lower() for c in rows.columns}:
+        name += "_"
 
     def run(batches):
         import pyarrow as pa
@@ -279,4 +290,4 @@ def chosen(rows: DataFrame, ids: IdSet, inside: bool, key: Column) -> DataFrame:
             keep = members(ids, batch.column(batch.num_columns - 1), False)
             yield batch.filter(pa.array(keep if inside else ~keep)).select(batch.schema.names[:-1])
 
-    return rows.select("*", key.cast("long").alias("_key_of_row")).mapInArrow(run, rows.schema)
+    return rows.select("*", key.cast("long").alias(name)).mapInArrow(run, rows.schema)

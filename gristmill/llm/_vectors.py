@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gristmill.llm._common import write_arrays
+
 #: Squared lengths of integer vectors stay below this, so that 100 inner products, and squared distances, fit a long.
 MOST_SQUARED = 8e16
 
@@ -42,3 +45,39 @@ def matrix(column, dim: int, kind=np.int64) -> np.ndarray:
 def first_by_hash(rows: DataFrame, most: int, seed: int) -> DataFrame:
     """At most `most` rows, those first by a hash of vec_id."""
     return rows.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(most)
+
+
+def write_blocks(rows: DataFrame, path: str, per_block: int, arrays_of) -> list[tuple[int, str]]:
+    """rows (vec_id, dim, ...) as arrays in the shared folder, in blocks of about per_block rows of one dimension each
+    -> (dimension, name) of each block. arrays_of(Arrow table, dimension) gives a block's arrays by name."""
+    blocks = max(1, -(-rows.count() // per_block))
+
+    def write(batches):
+        table, made = list(batches), []
+        if table:
+            table = pa.Table.from_batches(table)
+            bid, dims = table["block"].to_numpy(), table["dim"].to_numpy()
+            for b, d in sorted({*zip(bid.tolist(), dims.tolist(), strict=True)}):
+                write_arrays(path, f"{b}-{d}", arrays_of(table.filter(pa.array((bid == b) & (dims == d))), d))
+                made.append((d, f"{b}-{d}"))
+        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.string())], names=["dim", "name"])
+
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
+    return sorted((r["dim"], r["name"]) for r in dealt.mapInArrow(write, "dim int, name string").collect())
+
+
+def in_pieces(scan, chunk: int):
+    """For mapInArrow: scan(table) over about `chunk` rows at a time."""
+
+    def run(batches):
+        kept, n = [], 0
+        for batch in batches:
+            kept.append(batch)
+            n += batch.num_rows
+            if n >= chunk:
+                yield from scan(pa.Table.from_batches(kept))
+                kept, n = [], 0
+        if n:
+            yield from scan(pa.Table.from_batches(kept))
+
+    return run

@@ -10,25 +10,30 @@ with a chance that falls exponentially in eps^2. The vectors with the largest es
 best of these is a threshold, and the vectors whose upper bound reaches it are measured as well, exactly, in double
 precision on the original vectors. README has the share that is measured and the recall.
 
-Vectors are dealt into blocks by a hash of their id, queries likewise, and each pair of blocks is one task, which
-returns the k best of each query, so neither side is broadcast or gathered and a vector that fills a third of the table
-is spread over all blocks. Codes are computed once, into the shared folder, before vectors meet queries. Work grows with
-queries times vectors, as there are no lists of cells; a vector is sent once for each `query_block` queries.
+Codes lie beside their vectors in a table of the shared folder, computed once, and neither is sent anywhere: tasks write
+the queries' vectors to the shared folder in blocks, and each task lets them pass by its rows, a piece of the table at a
+time, and returns the k best of each query for each piece. A vector that fills a third of the table is spread like any
+other. All of a piece's rows are estimated for every query, as there are no lists of cells, so work grows with queries
+times vectors; doubles are touched for the rows that are measured only.
 
 Defined cases: null vectors, those with null or non-finite components and those of length 0 take no part; vectors of
 other dimensions are never compared; equal scores go to the smaller id; rows with the query's own id are not its
-candidates; of different vectors under one id the smallest in order counts; a null id takes no part; other columns are ignored.
+candidates; of different vectors under one id the smallest in order counts; a null id takes no part; other columns are ignored. Lengths
+of any size are fine: vectors are brought to length 1 by their largest component first, so no product overflows or vanishes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.llm._common import Scratch, worker_state
+from gristmill.llm._common import Scratch, fresh_dir, read_array, worker_state
+from gristmill.llm._vectors import in_pieces, matrix, write_blocks
 
 #: With it a neighbour is passed over in about 1 of 35 cases, if errors are normal and nothing else measures it.
 EPS = 1.9
@@ -56,11 +61,14 @@ def usable(vectors: DataFrame, column: str = "embedding") -> DataFrame:
     return v.where(fine & some).groupBy("vec_id").agg(F.min("vector").alias("vector")).withColumn("dim", F.size("vector"))
 
 
+def normalised(vectors: np.ndarray) -> np.ndarray:
+    scaled = vectors / np.abs(vectors).max(1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
+
+
 def encode(vectors: np.ndarray, turn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Packed signs and f of each row."""
-    scaled = vectors / np.abs(vectors).max(1, keepdims=True)
-    unit = scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
-    turned = unit @ turn.T
+    turned = normalised(vectors) @ turn.T
     up = turned > 0
     return np.packbits(up, axis=1), np.where(up, turned, -turned).sum(1) / np.sqrt(vectors.shape[1])
 
@@ -83,18 +91,12 @@ def index(vectors: DataFrame, seed: int = 7) -> DataFrame:
     return usable(vectors).select("vec_id", "dim", "vector").mapInArrow(run, CODED)
 
 
-def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
-    return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
-
-
 def search_block(ids: np.ndarray, x: np.ndarray, bits: np.ndarray, f: np.ndarray, qids: np.ndarray, q: np.ndarray, k: int, eps: float, seed: int, ahead: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """The k best of each query among one block's vectors: query index, vector index, cosine; and how many vectors were
     measured. ahead: times k vectors are measured to find the threshold."""
     n, dim = x.shape
-    norm = np.linalg.norm(x / (top := np.abs(x).max(1, keepdims=True)), axis=1) * top[:, 0]
-    qtop = np.abs(q).max(1, keepdims=True)
-    qunit = (q / qtop) / np.linalg.norm(q / qtop, axis=1, keepdims=True)
-    turned = qunit @ _rotations(dim, seed).T
+    unit = normalised(q)
+    turned = unit @ _rotations(dim, seed).T
     error = eps * np.sqrt(np.maximum(0, 1 - f * f)) / np.maximum(f, 1e-12) / np.sqrt(max(1, dim - 1))
     # signs as a table look-up per byte: sum over bytes of the query's partial sums for the byte's 256 sign patterns
     patterns = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1) * 2.0 - 1
@@ -114,8 +116,7 @@ def search_block(ids: np.ndarray, x: np.ndarray, bits: np.ndarray, f: np.ndarray
         n_others = int(others.sum())
         if not n_others:
             continue
-        length = np.linalg.norm(q[i] / qtop[i]) * qtop[i]
-        exact = lambda rows: x[rows] @ q[i] / (norm[rows] * length)  # noqa: B023, E731
+        exact = lambda rows: np.clip(normalised(x[rows]) @ unit[i], -1, 1)  # noqa: B023, E731
         first = min(ahead * k, n_others)
         top = np.argpartition(estimate, n - first)[n - first :]
         some = exact(top)
@@ -130,28 +131,26 @@ def search_block(ids: np.ndarray, x: np.ndarray, bits: np.ndarray, f: np.ndarray
     return (*(np.concatenate(c) for c in zip(*out, strict=True)), measured) if out else (np.empty(0, int), np.empty(0, int), np.empty(0), 0)
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 5, eps: float = EPS, block: int = 8192, query_block: int = 2048, seed: int = 7) -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 5, eps: float = EPS, chunk: int = 8192, per_block: int = 8192, seed: int = 7) -> DataFrame:
     """vectors (vec_id, embedding) -> query_id, rank, vec_id, score: the k nearest by cosine of each row for which
-    is_query (over vec_id) holds, among all rows but its own."""
-    coded = Scratch(vectors.sparkSession, "ann").save(index(vectors, seed))
-    blocks, query_blocks = max(1, -(-coded.count() // block)), max(1, -(-coded.where(is_query).count() // query_block))
-    part = lambda m, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(m)).cast("int")
-    each = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    left = coded.select("*", part(blocks, 1).alias("vb"), each(query_blocks).alias("qb"))
-    right = coded.where(is_query).select("vec_id", "dim", "vector", part(query_blocks, 2).alias("qb"), each(blocks).alias("vb"))
-    schema = "query_id long, vec_id long, score double"
-
-    def both(v: pa.Table, q: pa.Table) -> pa.Table:
-        found = ([], [], [])
-        if v.num_rows and q.num_rows:
-            dim = v["dim"][0].as_py()
-            ids, qids = v["vec_id"].to_numpy(), q["vec_id"].to_numpy()
-            x, qs = _matrix(v["vector"], dim), _matrix(q["vector"], dim)
-            bits = np.frombuffer(b"".join(v["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
-            i, j, s, _ = search_block(ids, x, bits, v["f"].to_numpy(), qids, qs, k, eps, seed)
-            found = (qids[i], ids[j], s)
-        return pa.table([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64()), pa.array(found[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    near = left.groupBy("vb", "qb", "dim").cogroup(right.groupBy("vb", "qb", "dim")).applyInArrow(both, schema)
+    is_query (over vec_id) holds, among all rows but its own. chunk: rows that meet a query at once; per_block: queries
+    in a file."""
+    spark = vectors.sparkSession
+    coded = Scratch(spark, "ann").save(index(vectors, seed))
+    path = fresh_dir(spark, "queries")
+    blocks = write_blocks(coded.where(is_query).select("vec_id", "dim", "vector"), path, per_block, lambda t, d: {"id": t["vec_id"].to_numpy(), "vector": matrix(t["vector"], d, np.float64).ravel()})
+
+    def scan(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        for d in np.unique(rows["dim"].to_numpy()).tolist():
+            own = rows.filter(pa.array(rows["dim"].to_numpy() == d))
+            ids, x, f = own["vec_id"].to_numpy(), matrix(own["vector"], d, np.float64), own["f"].to_numpy()
+            bits = np.frombuffer(b"".join(own["code"].to_pylist()), np.uint8).reshape(len(ids), -1)
+            for dim, name in blocks:
+                if dim == d:
+                    qids, q = read_array(path, f"{name}.id", "i8"), np.asarray(read_array(path, f"{name}.vector", "f8")).reshape(-1, d)
+                    i, j, s, _ = search_block(ids, x, bits, f, qids, q, k, eps, seed)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.asarray(qids)[i], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    near = coded.mapInArrow(in_pieces(scan, chunk), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

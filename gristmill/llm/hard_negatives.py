@@ -32,8 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.llm._common import Scratch, fresh_dir, read_array, remove_dir, write_arrays
-from gristmill.llm._vectors import first_by_hash, integers, matrix, sound, up
+from gristmill.llm._common import Scratch, fresh_dir, read_array, remove_dir
+from gristmill.llm._vectors import first_by_hash, in_pieces, integers, matrix, sound, up, write_blocks
 
 PIECE, WORDS = 2, 256
 CODED = "vec_id long, label long, dim int, vector array<long>, code binary, rest double"
@@ -139,27 +139,11 @@ def index(rows: DataFrame, most: int = 20_000, seed: int = 13) -> tuple[DataFram
     return rows.select("vec_id", "label", "vector", "dim").mapInArrow(run, CODED), words
 
 
-def _write_anchors(anchors: DataFrame, path: str, per_block: int) -> list[tuple[int, str]]:
-    """Anchors (vec_id, label, dim, vector, limits array<long>: pairs of least and most) as arrays in blocks of one
-    dimension -> (dimension, name) of each block. A block is about per_block anchors, whatever their number."""
-    n = anchors.count()
-    blocks = max(1, -(-n // per_block))
-
-    def write(batches):
-        table, made = list(batches), []
-        if table:
-            table = pa.Table.from_batches(table)
-            bid, dims = table["block"].to_numpy(), table["dim"].to_numpy()
-            for b, d in {*zip(bid.tolist(), dims.tolist(), strict=True)}:
-                own = table.filter(pa.array((bid == b) & (dims == d)))
-                limits = own["limits"].to_pylist()
-                arrays = {"id": own["vec_id"].to_numpy(), "label": own["label"].to_numpy(), "vector": matrix(own["vector"], d).ravel(), "limit": np.array([v for x in limits for v in x], np.int64), "end": np.cumsum([len(x) for x in limits])}
-                write_arrays(path, f"{b}-{d}", {k: v.astype(np.int64) for k, v in arrays.items()})
-                made.append((d, f"{b}-{d}"))
-        yield pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int32()), pa.array([m[1] for m in made], pa.string())], names=["dim", "name"])
-
-    dealt = anchors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).repartition(blocks, "block")
-    return sorted((r["dim"], r["name"]) for r in dealt.mapInArrow(write, "dim int, name string").collect())
+def _arrays_of(block: pa.Table, dim: int) -> dict[str, np.ndarray]:
+    """Anchors (vec_id, label, vector, limits array<long>: pairs of least and most)."""
+    limits = block["limits"].to_pylist()
+    arrays = {"id": block["vec_id"].to_numpy(), "label": block["label"].to_numpy(), "vector": matrix(block["vector"], dim).ravel(), "limit": np.array([v for x in limits for v in x]), "end": np.cumsum([len(x) for x in limits])}
+    return {k: v.astype(np.int64) for k, v in arrays.items()}
 
 
 def _passed_by(coded: DataFrame, words: dict, anchors: DataFrame, choose, kind: str, chunk: int, per_block: int, per_pass: int = 64) -> tuple[DataFrame, str]:
@@ -167,7 +151,7 @@ def _passed_by(coded: DataFrame, words: dict, anchors: DataFrame, choose, kind:
     (slot, row, score) arrays for one anchor -> anchor_id, slot, vec_id, score."""
     spark = coded.sparkSession
     path = fresh_dir(spark, kind)
-    blocks = _write_anchors(anchors, path, per_block)
+    blocks = write_blocks(anchors, path, per_block, _arrays_of)
 
     def scan(table: pa.Table):
         for d in np.unique(table["dim"].to_numpy()):
@@ -196,18 +180,7 @@ def _passed_by(coded: DataFrame, words: dict, anchors: DataFrame, choose, kind:
                             o.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o).astype(t)) for o, t in zip(out, (np.int64, np.int32, np.int64, np.int64), strict=True)], names=["anchor_id", "slot", "vec_id", "score"])
 
-    def run(batches):
-        kept, n = [], 0
-        for batch in batches:
-            kept.append(batch)
-            n += batch.num_rows
-            if n >= chunk:
-                yield from scan(pa.Table.from_batches(kept))
-                kept, n = [], 0
-        if n:
-            yield from scan(pa.Table.from_batches(kept))
-
-    return coded.mapInArrow(run, "anchor_id long, slot int, vec_id long, score long"), path
+    return coded.mapInArrow(in_pieces(scan, chunk), "anchor_id long, slot int, vec_id long, score long"), path
 
 
 def _positives(k: int):

@@ -17,7 +17,7 @@ figures as files. From them the next lower order is counted by an exchange of th
 range's vocabulary. Only sums (counts of counts) reach the driver. Range after range, the files are sorted arrays.
 Scoring maps them into memory and looks up a chunk's sorted words and bigrams; texts are read where they lie.
 
-Ranges are as many as spark.sql.shuffle.partitions. A history with a third of all tokens has at most one row per
+There is a range for every RANGE_CHARS characters of text, and no fewer than spark.sql.shuffle.partitions, so what a task holds does not grow with the corpus. A history with a third of all tokens has at most one row per
 distinct follower, task and run. Files carry their range in their name and are moved into place when complete, so a
 task that runs again writes the same files. They are written below spark.checkpoint.dir; where that is no local or
 mounted path, workers read each range into memory instead of mapping it.
@@ -36,12 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gristmill.llm._common import fresh_dir, give_back, in_range, mixed, read_array, saved, token_chunks, worker_state, write_arrays
+from gristmill.llm._common import fresh_dir, give_back, in_range, mixed, ranges_for, read_array, saved, token_chunks, worker_state, write_arrays
 
 START, END = 0x9AE16A3B2F90404F, 0xC949D7C7509E6557  # hashes of no word but by chance
 STEP = 0x9E3779B97F4A7C15
 #: Counts of n-grams are kept in a byte; those of this and more in 64 bits beside it.
 MANY = 255
+#: Characters of training text to a range.
+RANGE_CHARS = 20_000_000
 
 
 # Runs: n-grams as one array per word, the last being the token, and their counts.
@@ -160,7 +162,8 @@ def fit(texts: DataFrame, run_tokens: int = 2_000_000, order: int = 2) -> Model:
     if order < 2:
         raise ValueError(f"order {order}")
     spark = texts.sparkSession
-    path, ranges = fresh_dir(spark, "kneser-ney"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chars = texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    path, ranges = fresh_dir(spark, "kneser-ney"), ranges_for(spark, chars, RANGE_CHARS)
 
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, words, ends in token_chunks(batches, (), run_tokens):

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.llm._common import IdSet, Scratch, in_range, local_path, members, mixed, read_array, remove_dir, token_chunks, write_arrays
+from gristmill.llm._common import IdSet, Scratch, in_range, local_path, members, mixed, ranges_for, read_array, remove_dir, token_chunks, write_arrays
 from gristmill.llm.components import connected_components
 
 ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -266,10 +266,10 @@ def indexed(docs: DataFrame, n: int, percent: int, largest: int) -> DataFrame:
 class SetStore:
     """Sets' shingles in the shared folder, by ranges of set ids: sorted ids, offsets and shingles, mapped by workers."""
 
-    def __init__(self, docs: DataFrame, wanted: IdSet, n: int, scratch: Scratch):
+    def __init__(self, docs: DataFrame, wanted: IdSet, n: int, scratch: Scratch, total: int):
         """docs (doc_id, text): spelt are the rows whose doc_id is wanted. Ids may repeat or be null: a text says itself
-        which set it spells."""
-        self.path, self.ranges = f"{scratch.path}/sets-{scratch.next()}", wanted.ranges
+        which set it spells. total: shingles of the sets wanted; a range is made for each two millions, as a task holds it."""
+        self.path, self.ranges = f"{scratch.path}/sets-{scratch.next()}", ranges_for(docs.sparkSession, total, 2_000_000)
         path, ranges = self.path, self.ranges
         rows = "pid int, id long, shingles array<long>"
 
@@ -370,12 +370,13 @@ def links(docs: DataFrame, n: int = 5, percent: int = 80) -> tuple[DataFrame, Da
         if likely.isEmpty():
             return likely
         wanted = likely.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-        carriers = IdSet(sets.join(wanted, "set_id").select("first_doc"))
-        store = SetStore(docs, carriers, n, scratch)
+        met = scratch.save(sets.join(wanted, "set_id").select("first_doc", "n"))
+        carriers = IdSet(met.select("first_doc"))
+        store = SetStore(docs, carriers, n, scratch, met.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
         out = scratch.save(store.linked(likely, percent))
         carriers.drop()
         store.drop(docs)
-        scratch.drop(likely)
+        scratch.drop(likely, met)
         return out
 
     def component_of(rows: DataFrame) -> DataFrame:

@@ -330,7 +330,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     spark = docs.sparkSession
     cut_up = saved(pieces(docs, vocabulary, capacity, with_ids))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut_up = cut_up.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    # rows are told apart by where they are in the files, so copies under one id, or under none, do not meet in one bucket
+    cut_up = cut_up.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(buckets)).cast("int"))
     counts = cut_up.groupBy("length", "bucket").count()
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "bucket", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))

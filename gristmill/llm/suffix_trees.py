@@ -270,6 +270,7 @@ def _windows(book: DataFrame, docs: DataFrame, scratch: Scratch, most: int) -> D
     each = book.where("doc_id is not null").select("doc_id", "text_key", F.explode("fragments").alias("f")).select("doc_id", "text_key", "f.*")
     prefixes = each.groupBy("prefix").agg(F.min("doc_id").alias("p0"), F.max("doc_id").alias("p1"), *(fn(c).alias(f"{fn.__name__}_{c}") for c in ("f1", "f2") for fn in (F.min, F.max)))
     shared = prefixes.where("p0 < p1").select(F.col("prefix").alias("of"), "p0", F.expr("min_f1 < max_f1 or min_f2 < max_f2").alias("branches"))
+    shared = scratch.save(shared)  # kept apart from the join, which could not split a hot prefix below an aggregate
     met = scratch.save(each.join(shared, F.col("prefix") == F.col("of")).drop("of"))
     every = F.expr("shiftleft(1L, hi - lo + 1) - 1")
     single = met.where("not branches and doc_id > p0").select("doc_id", "text_key", "lo", every.alias("gone"))
@@ -290,7 +291,7 @@ def _windows(book: DataFrame, docs: DataFrame, scratch: Scratch, most: int) -> D
         if not hot:
             break
         pieces = scratch.save(_lengthen(pieces.join(hot, F.col("prefix") == F.col("of"), "left_semi"), width))
-    bits = bits.groupBy(F.col("f1").alias("g1"), F.col("f2").alias("g2")).agg(F.bit_or("bits").alias("bits"))
+    bits = scratch.save(bits.groupBy(F.col("f1").alias("g1"), F.col("f2").alias("g2")).agg(F.bit_or("bits").alias("bits")))
     judged = scratch.save(one.join(bits, F.expr("f1 = g1 and f2 = g2"), "left").select(F.col("f1").alias("g1"), F.col("f2").alias("g2"), F.col("prefix").alias("of"), "m0", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")))
     both = branching.drop("of").join(judged, F.expr("prefix = of and f1 = g1 and f2 = g2"))
     some = both.select("doc_id", "text_key", "lo", F.when(F.col("doc_id") > F.col("m0"), every).otherwise(F.col("bits")).alias("gone")).where("gone <> 0")

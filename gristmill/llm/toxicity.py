@@ -240,8 +240,9 @@ def logistic(x: np.ndarray, y: np.ndarray, steps: int = 50) -> tuple[float, floa
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", most: int = 8_000, **params) -> Field:
-    """labels: the training rows only. At most `most` documents come to the driver, copies of a text once."""
-    found = sampled(docs, labels, label, most).dropDuplicates(["text"]).orderBy("doc_id").collect()
+    """labels: the training rows only. At most `most` documents come to the driver, copies of a text once, under the
+    smallest id and the largest label of any copy."""
+    found = sampled(docs, labels, label, most).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("label").alias("label")).orderBy("doc_id").collect()
     return train([r["text"] or "" for r in found], [int(r["label"]) for r in found], **params)
 
 

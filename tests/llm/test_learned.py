@@ -105,3 +105,46 @@ def test_repeated_rows_keep_their_share(spark):
     labels = spark.createDataFrame([(i, 1) for i in range(30)], "doc_id long, quality int")
     got = quality_pu.classify(docs, labels, most=20).toPandas()
     assert len(got) == 180 and got[got.doc_id < 60].score.min() > got[got.doc_id >= 100].score.max()
+
+
+def test_classifier_against_plain_version(spark):
+    """Every row counts, whatever the partitions: the same model from sums over partitions and from one array."""
+    rng = np.random.default_rng(8)
+    x = rng.gamma(2, 1, (600, quality_pu.N_MEASURES))
+    x[:300] *= 0.4
+    rows = [(i, list(map(float, r))) for i, r in enumerate(x)]
+    labels = spark.createDataFrame([(i, 1) for i in range(0, 120)] + [(i, 0) for i in range(400, 420)], "doc_id long, quality int")
+    got = [quality_pu.fit_measured(spark.createDataFrame(rows, "doc_id long, x array<double>").repartition(k), labels) for k in (1, 6)]
+    frame, _ = quality_pu.frame_of_all(spark.createDataFrame(rows, "doc_id long, x array<double>"))
+    want = quality_pu.learn(x[:120], x, frame=frame)
+    for model in got:
+        assert abs(model.prior - want.prior) < 0.02
+        assert np.abs(model.score(x) - want.score(x)).max() < 0.02
+    assert np.abs(got[0].score(x) - got[1].score(x)).max() < 1e-6
+    assert (want.score(x[120:300]) > 0.5).mean() > 0.8 and (want.score(x[300:]) < 0.5).mean() > 0.8
+
+
+def test_risk_by_differences():
+    """Newton's gradient and Hessian are those of the risk, and no direction from its result lowers it."""
+    rng = np.random.default_rng(2)
+    for centre, clamped in ((1.0, True), (0.1, False)):
+        p, u = np.c_[rng.normal(centre, 1, (80, 2)), np.ones(80)], np.c_[rng.normal(0, 1.5, (200, 2)), np.ones(200)]
+        w = quality_pu.least_risk(p, lambda w, u=u: quality_pu.parted(quality_pu.unlabelled_terms(u, w), len(u)), 0.4, 1e-3)
+        rest = lambda w, p=p, u=u: np.logaddexp(0, u @ w).mean() - 0.4 * np.logaddexp(0, p @ w).mean()
+        risk = lambda w, p=p: 0.4 * np.logaddexp(0, -(p @ w)).mean() + max(0.0, rest(w)) + 5e-4 * w @ w  # noqa: B023, E731
+        assert (abs(rest(w)) < 0.01) == clamped
+        assert all(risk(w + size * rng.normal(0, 1, 3)) >= risk(w) - 1e-4 for size in (0.02, 0.3) for _ in range(200))
+
+
+def test_document_score_by_hand(spark):
+    """A document's toxicity is the logistic link of its largest marginal and of the sum of all."""
+    texts = ["the day is fine and long", "you are a moron , go", "what a moron is that", "nice words here"] * 8
+    model = toxicity.train([f"{t} {i}" for i, t in enumerate(texts)], [0, 1, 1, 0] * 8)
+    rows = [(1, "a moron in the day"), (2, ""), (3, None), (4, "fine words")]
+    got = {r.doc_id: r.score for r in toxicity.tag(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for i, text in rows:
+        ws = toxicity.WORD.findall(text or "")
+        p = toxicity.marginals(np.array([model.emission(w) for w in ws]), np.array([0, len(ws)]), model.moves, model.first) if ws else np.empty(0)
+        most, total = (np.log(p.max() + 1e-6), np.log(p.sum() + 1e-6)) if ws else (np.log(1e-6), np.log(1e-6))
+        a, b, c = model.link
+        assert abs(got[i] - 1 / (1 + np.exp(-np.clip(a * most + b * total + c, -30, 30)))) < 1e-9
