@@ -1,63 +1,16 @@
-"""Raster kernels on synthetic strips made inside the query, and models fitted per group."""
+"""Models fitted per group."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.functions import detect, raster
+from gristmill.functions import raster
 from gristmill.plans.evaluation import scored
 from gristmill.session import table
 
 
-def strip(seed: int, pitch: float, phase: float = 0.0, height: int = 534, width: int = 800) -> np.ndarray:
-    """A noisy strip with bright holes every `pitch` pixels near its long edges, and a frame's worth of content."""
-    rng = np.random.default_rng(seed)
-    g = 90 + rng.normal(0, 6, (height, width))
-    g[height // 4 : -height // 4, width // 8 : -width // 8] += 40
-    for x in np.arange(phase, width - 10, pitch):
-        for top in (int(height * 0.02), int(height * 0.93)):
-            g[top : top + 20, int(x) : int(x) + 9] = 235
-    return np.clip(g, 0, 255).astype(np.uint8)
-
-
-def raster_pitch(spark: SparkSession, d: str) -> DataFrame:
-    """One synthetic roll per nation: the pitch that is measured for the one that was drawn."""
-    rolls = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("roll"), (F.lit(58.0) + F.col("n_nationkey")).alias("drawn"))
-    images = rolls.select("roll", "drawn", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("image"))
-
-    def measure(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("image")
-        found = raster.roll_pitch([strip(int(r.roll) * 10 + int(r.image), float(r.drawn), 7.0 * r.image) for r in pdf.itertuples()])
-        row = {"roll": pdf.roll.iloc[0], "drawn": pdf.drawn.iloc[0], "pitch": found and found["pitch"], "score": found and found["score"], "agree": found and found["agree"]}
-        return pd.DataFrame([row])
-
-    return images.groupBy("roll").applyInPandas(measure, "roll long, drawn double, pitch double, score double, agree double")
-
-
-def raster_measure(spark: SparkSession, d: str) -> DataFrame:
-    """A brighter image drawn into dark film in a bright holder, found again."""
-    rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("image"))
-
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k in pdf.image:
-                g = np.full((400, 600), 240, np.uint8)
-                g[20:380, 30:570] = 20
-                g[60 + k : 340, 80 : 520 - 2 * k] = 90
-                m = raster.measure_image(g)
-                box = raster.refined_box(g, m["x"] + 5, m["y"] - 4, m["width"] - 8, m["height"] + 6) if m["valid"] else (0, 0, 0, 0, 0.0)
-                out.append((k, m["valid"], m.get("aspect"), m.get("contrast"), *box[:4], round(box[4], 4)))
-            yield pd.DataFrame(out, columns=["image", "valid", "aspect", "contrast", "x", "y", "width", "height", "score"])
-
-    return rows.mapInPandas(measure, "image long, valid boolean, aspect double, contrast double, x int, y int, width int, height int, score double")
-
-
 def logistic_by_group(spark: SparkSession, d: str) -> DataFrame:
     """A logistic model of the hit per language, on two signals of the labelled documents."""
     docs = table(spark, d, "documents").select("doc_id", "lang", F.log1p("n_chars").alias("a"), (F.size(F.split("text", "\n")) / F.greatest(F.lit(1), F.col("n_chars"))).alias("b"))
@@ -71,22 +24,5 @@ def logistic_by_group(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("lang").applyInPandas(fit, "lang string, n long, w_a double, w_b double, bias double")
 
 
-def raster_detect(spark: SparkSession, d: str) -> DataFrame:
-    """A frame drawn in a dark holder per nation: the detectors' best box, one row per candidate kept."""
-    rows = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("image"))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for k in pdf.image:
-                g = np.full((300, 420), 12, np.uint8)
-                g[40 + k : 250, 60 : 375 - k] = 170
-                for rank, c in enumerate(detect.candidates(g)):
-                    out.append((k, rank, *c["box"], c["confidence"], c["orientation"], len(c["methods"])))
-            yield pd.DataFrame(out, columns=["image", "rank", "x", "y", "width", "height", "confidence", "orientation", "n_methods"])
-
-    return rows.mapInPandas(run, "image long, rank int, x int, y int, width int, height int, confidence double, orientation string, n_methods int")
-
-
-QUERIES = {f.__name__: f for f in (raster_detect, raster_pitch, raster_measure, logistic_by_group)}
+QUERIES = {f.__name__: f for f in (logistic_by_group,)}
 ORACLE: dict[str, str] = {}

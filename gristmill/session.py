@@ -22,9 +22,12 @@ def session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "8g") -
 
 
 def scratch(spark: SparkSession, kind: str) -> str:
-    """A new folder below the one that all machines share; below a temporary one where none is set, as in tests."""
+    """A new folder below the one that all machines share; below a temporary one where none is set and all runs on this
+    machine, as in tests. On a cluster executors would write to folders of their own, so that is an error there."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir names no folder that all machines share")
         shared = tempfile.mkdtemp(prefix="gristmill-")
     return f"{shared.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
