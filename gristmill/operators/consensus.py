@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gristmill.operators.robust import running
+
 # Ramp end points and weights of the confidence formula.
 TRUST, CLAMP, ASPECT = (0.55, 0.85, 0.15, 1.0), (0.03, 0.07, 1.0, 0.4), (0.03, 0.10, 1.0, 0.4)
 SCORE, CONTRAST = (0.30, 0.60, 0.6, 1.0), (8.0, 22.0, 0.45)
@@ -84,23 +86,42 @@ def buckets(groups: DataFrame, value: str, gap: float = 0.08) -> DataFrame:
     return groups.withColumn("_new", F.when((F.col(value) - F.lag(value).over(order)) / F.lag(value).over(order) > gap, 1).otherwise(0)).withColumn("bucket", F.sum("_new").over(order)).drop("_new")
 
 
-def pool_clamp(rows: DataFrame, group: str, bucket: str, value: str, least: int = 10, above: float = 1.03) -> DataFrame:
+def pool_clamp(rows: DataFrame, group: str, bucket: str, value: str, least: int = 10, above: float = 1.03, parts: int = 256) -> DataFrame:
     """Per group: its median, and the median of all other groups in its bucket if they have `least` rows; a median more
-    than `above` times the pool's is brought down to it, never up. The pool of others is a join of groups with
-    (group, value) counts of their bucket, so equal values are joined once."""
-    counts = rows.groupBy(bucket, group, value).agg(F.count("*").alias("c"))
-    own = rows.groupBy(bucket, group).agg(F.median(value).alias("own"), F.count("*").alias("n"))
-    other = counts.select(F.col(bucket), F.col(group).alias("_g"), value, "c")
-    joined = own.join(other, bucket).where(F.col(group) != F.col("_g"))
-    per = joined.groupBy(bucket, group, value).agg(F.sum("c").alias("c"))
-    run = F.sum("c").over(Window.partitionBy(bucket, group).orderBy(value))
-    total = F.sum("c").over(Window.partitionBy(bucket, group))
-    ranked = per.withColumns({"r": run, "m": total})
-    # the median of weighted values: mean of the elements at (m - 1) // 2 and m // 2
-    at = lambda k: F.min(F.when(F.col("r") > k, F.col(value)))
-    pool = ranked.groupBy(bucket, group, "m").agg(at(F.floor((F.col("m") - 1) / 2)).alias("lo"), at(F.floor(F.col("m") / 2)).alias("hi"))
-    pool = pool.where(F.col("m") >= least).select(bucket, group, ((F.col("lo") + F.col("hi")) / 2).alias("pool"), F.col("m").alias("n_pool"))
-    out = own.join(pool, [bucket, group], "left")
+    than `above` times the pool's is brought down to it, never up.
+
+    No group meets the others' rows. A bucket's values have running counts; a group's own values cut the line into pieces
+    in which the others' count is the bucket's less a constant, so in each piece the others' middle is at a known place of
+    the bucket's order. Places are looked up in one pass over values and pieces together, in `parts` blocks of places."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(bucket, group, value).agg(F.count("*").alias("c"))
+    totals = counts.groupBy(bucket).agg(F.sum("c").alias("total"))
+    values = running(counts.groupBy(bucket, value).agg(F.sum("c").alias("c")), [bucket], value, ["c"]).join(totals, bucket)
+    values = values.select(bucket, F.col(value).alias("v"), (F.col("_run_c") - F.col("c")).alias("first"), F.col("_run_c").alias("end"), "total")
+
+    line = Window.partitionBy(bucket, group).orderBy(value)
+    own = counts.withColumns({"upto": F.sum("c").over(line), "next": F.lead(value).over(line)})
+    sizes = own.groupBy(bucket, group).agg(F.sum("c").alias("n"), F.min(value).alias("least"))
+    at = lambda k: F.min(F.when(F.col("upto") > k, F.col(value)))
+    own = own.join(sizes.select(bucket, group, "n"), [bucket, group])
+    medians = own.groupBy(bucket, group, "n").agg(at(F.floor((F.col("n") - 1) / 2)).alias("lo"), at(F.floor(F.col("n") / 2)).alias("hi")).select(bucket, group, "n", ((F.col("lo") + F.col("hi")) / 2).alias("own"))
+    none = F.lit(None).cast(dict(rows.dtypes)[value])
+    pieces = own.select(bucket, group, "n", F.col("upto").alias("less"), F.col(value).alias("from"), F.col("next").alias("to"))
+    pieces = pieces.unionByName(sizes.select(bucket, group, "n", F.lit(0).cast("long").alias("less"), none.alias("from"), F.col("least").alias("to"))).join(totals, bucket)
+    pieces = pieces.withColumn("m", F.col("total") - F.col("n")).where(F.col("m") >= least)
+    middle = F.explode(F.array(F.floor((F.col("m") - 1) / 2), F.floor(F.col("m") / 2)))
+    asked = pieces.withColumn("k", middle).withColumn("place", F.col("k") + F.col("less")).where("place < total")
+
+    block = lambda p: F.floor(p * parts / F.col("total"))
+    spread = values.withColumn("block", F.explode(F.sequence(block(F.col("first")), block(F.col("end") - 1)))).select(bucket, "block", F.col("first").alias("at"), "v")
+    looked = asked.select(bucket, block(F.col("place")).alias("block"), F.col("place").alias("at"), group, "m", "k", "from", "to")
+    both = spread.unionByName(looked, allowMissingColumns=True)
+    # a value's first place comes before the places asked for that it covers
+    order = Window.partitionBy(bucket, "block").orderBy("at", F.col("m").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("seen", F.last("v", ignorenulls=True).over(order)).where("m is not null")
+    fits = (F.col("from").isNull() | (F.col("seen") >= F.col("from"))) & (F.col("to").isNull() | (F.col("seen") < F.col("to")))
+    ends = found.where(fits).groupBy(bucket, group, "m", "k").agg(F.min("seen").alias("seen"))
+    pool = ends.groupBy(bucket, group, "m").agg(((F.min("seen") + F.max("seen")) / 2).alias("pool"))
+    out = medians.join(pool, [bucket, group], "left")
     return out.select(bucket, group, "n", "own", "pool", F.when(F.col("own") > above * F.col("pool"), F.col("pool")).otherwise(F.col("own")).alias("clamped"))
 
 

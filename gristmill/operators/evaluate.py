@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gristmill.operators.robust import exact_median, running
+
 TOLERANCE = 60.0  # fixed value: pixels at a long edge of 2000
 
 
@@ -76,8 +78,7 @@ def auc(rows: DataFrame, by: list[str], score: str, positive: str) -> DataFrame:
     """P(score of a positive > score of a negative) + half the ties, from counts per distinct score; null if a class is
     empty."""
     per = rows.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.sum(F.col(positive).cast("long")).alias("p"), F.sum((~F.col(positive)).cast("long")).alias("q"))
-    below = F.sum("q").over(Window.partitionBy(*by).orderBy(score)) - F.col("q")
-    won = per.withColumn("w", F.col("p") * (below + F.col("q") / 2))
+    won = running(per, by, score, ["q"]).withColumn("w", F.col("p") * (F.col("_run_q") - F.col("q") + F.col("q") / 2))
     return won.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("q").alias("n_neg"), F.sum("w").alias("w")).select(*by, "n_pos", "n_neg", F.try_divide(F.col("w"), F.col("n_pos") * F.col("n_neg")).alias("auc"))
 
 
@@ -113,7 +114,15 @@ def split_eval(rows: DataFrame, tuning: Column, precision: float, least: int = 5
 def bias(rows: DataFrame, deltas: list[str]) -> DataFrame:
     """Per delta column: n, median, mean, min, max."""
     long = rows.select(F.explode(F.array(*(F.struct(F.lit(d).alias("delta"), F.col(d).alias("v")) for d in deltas))).alias("x")).select("x.*")
-    return long.groupBy("delta").agg(F.count("v").alias("n"), F.median("v").alias("median"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+    told = long.groupBy("delta").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
+    return told.join(exact_median(long, ["delta"], "v").drop("n"), "delta", "left").select("delta", "n", "median", "mean", "low", "high")
+
+
+def summary(rows: DataFrame, by: str, value: str, hit: str) -> DataFrame:
+    """Per value of `by`, which is never null, and for all rows (null): n, hits, median of the value."""
+    each = rows.withColumn("_part", F.explode(F.array(F.col(by), F.lit("")))).select("_part", F.col(value).alias("_v"), F.col(hit).alias("_h"))
+    counts = each.groupBy("_part").agg(F.count("*").alias("n"), F.count_if("_h").alias("hits"))
+    return counts.join(exact_median(each, ["_part"], "_v").select("_part", F.col("median").alias("mid")), "_part", "left").select(F.nullif("_part", F.lit("")).alias(by), "n", "hits", "mid")
 
 
 def baseline_gate(now: DataFrame, baseline: DataFrame, key: str) -> DataFrame:
@@ -126,41 +135,6 @@ def weakest_factor(names: list[str]) -> Column:
     return F.array_min(F.array(*(F.struct(F.col(c).alias("v"), F.lit(i).alias("i"), F.lit(c).alias("name")) for i, c in enumerate(names))))["name"]
 
 
-def nested_leave_one_out(rows: DataFrame, group: str, features: list[str], precision: float, least: int = 5, steps: int = 400) -> DataFrame:
-    """Per group left out: the rows of the others are scored by models that have not seen their group, the threshold is
-    picked on these scores, and a model of all the others scores the group itself. rows (group, features, hit) are
-    labelled references; each is repeated once per group, and one task holds one copy."""
-    import pandas as pd
-
-    from gristmill.functions.raster import fit_logistic
-
-    def scores(train: pd.DataFrame, test: pd.DataFrame):
-        import numpy as np
-
-        w, b, mean, scale = fit_logistic(train[features].to_numpy(float), train["hit"].to_numpy(float), steps=steps)
-        return 1 / (1 + np.exp(-((test[features].to_numpy(float) - mean) / scale @ w + b)))
-
-    def outer(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([group, *features])
-        own, others = pdf[pdf[group] == pdf["left_out"]], pdf[pdf[group] != pdf["left_out"]]
-        parts = [part.assign(score=scores(others[others[group] != g], part)) for g, part in others.groupby(group) if len(others[others[group] != g])]
-        inner = pd.concat(parts) if parts else others.assign(score=0.5)
-        t = None
-        for cut in sorted(inner["score"].round(4).unique()):
-            green = inner[inner["score"] >= cut]
-            if len(green) >= least and green["hit"].mean() >= precision:
-                t = float(cut)
-                break
-        own = own.assign(score=scores(others, own)) if len(others) else own.assign(score=0.5)
-        green = own[own["score"] >= t] if t is not None else own[:0]
-        return pd.DataFrame([{group: pdf["left_out"].iloc[0], "t": t, "n": len(own), "hits": int(own["hit"].sum()), "green": len(green), "green_hits": int(green["hit"].sum())}])
-
-    groups = rows.select(F.col(group).alias("left_out")).distinct()
-    kind = dict(rows.dtypes)[group]
-    repeated = rows.select(group, *features, "hit").crossJoin(F.broadcast(groups))  # groups times labelled references
-    return repeated.groupBy("left_out").applyInPandas(outer, f"{group} {kind}, t double, n long, hits long, green long, green_hits long")
-
-
 def learned_extent(rows: DataFrame, least: int = 3) -> DataFrame:
     """rows (w_mm, h_mm) made by hand on reliable scales: upper medians of the long and the short side of frames of the
     usual shape, 2 decimals; no row with fewer than `least`. Counts per distinct value find the hundredth of a millimetre

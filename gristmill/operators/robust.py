@@ -77,3 +77,43 @@ def weighted_update(prior: float, prior_n: int, value: float, n: int, cap: int =
     """A count-weighted mean whose prior counts for `cap` at most."""
     k = min(prior_n, cap)
     return (prior * k + value * n) / (k + n), k + n
+
+
+def met(rows: DataFrame, few: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """rows with the columns of few, by keys that may be null."""
+    named = few.withColumnsRenamed({c: f"_key_{i}" for i, c in enumerate(by)})
+    same = F.lit(True)
+    for i, c in enumerate(by):
+        same &= F.col(c).eqNullSafe(F.col(f"_key_{i}"))
+    return rows.join(named, same, how).drop(*(f"_key_{i}" for i in range(len(by))))
+
+
+def ranged(rows: DataFrame, by: list[str], value: str, parts: int = 256) -> DataFrame:
+    """rows with _b, the range of their value: about `parts` to a group, cut where a mergeable sketch of its values says.
+    Equal values share a range."""
+    shares = F.array(*(F.lit(k / parts) for k in range(1, parts)))
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, shares, 10_000).alias("_cuts"))
+    return met(rows, cuts, by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+
+
+def running(rows: DataFrame, by: list[str], value: str, totals: list[str], descending: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
+    """rows with _run_<t> for each total t: its sum over the rows of the group up to this one, in order of value and ties.
+    Ranges of values are summed first, so that a window holds a range of a group and not the group."""
+    placed = ranged(rows, by, value)
+    way = lambda c: F.col(c).desc() if descending else F.col(c)
+    before = Window.partitionBy(*by).orderBy(way("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    each = placed.groupBy(*by, "_b").agg(*(F.sum(t).alias(f"_of_{t}") for t in totals))
+    each = each.select(*by, "_b", *(F.coalesce(F.sum(f"_of_{t}").over(before), F.lit(0)).alias(f"_before_{t}") for t in totals))
+    within = Window.partitionBy(*by, "_b").orderBy(way(value), *ties).rowsBetween(Window.unboundedPreceding, 0)
+    out = met(placed, each, [*by, "_b"]).withColumns({f"_run_{t}": F.col(f"_before_{t}") + F.sum(t).over(within) for t in totals})
+    return out.drop("_b", *(f"_before_{t}" for t in totals))
+
+
+def exact_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, n, median of the values that are not null. Values are counted first, and counts add up in ranges, so no task
+    holds all values of a group, as it does with an exact percentile."""
+    per = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    run = met(running(per, by, value, ["c"]), per.groupBy(*by).agg(F.sum("c").alias("n")), by)
+    at = lambda k: F.min(F.when(F.col("_run_c") > k, F.col(value)))
+    ends = run.groupBy(*by, "n").agg(at(F.floor((F.col("n") - 1) / 2)).alias("lo"), at(F.floor(F.col("n") / 2)).alias("hi"))
+    return ends.select(*by, "n", ((F.col("lo") + F.col("hi")) / 2).alias("median"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gristmill.operators.robust import running
+
 # Tolerances of size and place against the roll, and the dead zone of a bias in pixels.
 SIZE_OK, GOOD, PLACE_OK, DEAD_ZONE = 0.20, 0.15, 0.12, 2
 
@@ -115,8 +117,8 @@ def least_threshold(rows: DataFrame, by: list[str], score: str, hit: str, target
     per = rows.groupBy(*by, F.col(score).alias("_x")).agg(F.count("*").alias("_n"), F.sum(F.col(hit).cast("long")).alias("_h"))
     zero = F.lit(0).cast("long")
     marks = per.select(*by, F.bround("_x", 4).alias("_x")).distinct().select(*by, "_x", zero.alias("_n"), zero.alias("_h"), F.lit(1).alias("_mark"))
-    down = Window.partitionBy(*by).orderBy(F.col("_x").desc(), "_mark").rowsBetween(Window.unboundedPreceding, 0)
-    both = per.withColumn("_mark", F.lit(0)).unionByName(marks).withColumns({"n_above": F.sum("_n").over(down), "hits": F.sum("_h").over(down)})
+    both = running(per.withColumn("_mark", F.lit(0)).unionByName(marks), by, "_x", ["_n", "_h"], descending=True, ties=("_mark",))
+    both = both.withColumnsRenamed({"_run__n": "n_above", "_run__h": "hits"})
     good = both.where((F.col("_mark") == 1) & (F.col("n_above") >= least) & (F.col("hits") >= target * F.col("n_above")))
     best = F.min(F.struct(F.col("_x").alias("t"), "n_above", "hits"))
     return good.groupBy(*by).agg(best.alias("b")).select(*by, "b.t", "b.n_above", "b.hits")

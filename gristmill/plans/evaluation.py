@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gristmill.operators import evaluate as ev
+from gristmill.operators import models
 from gristmill.session import table
 
 PRECISION = 0.86
@@ -105,13 +106,13 @@ def histogram_bins(spark: SparkSession, d: str) -> DataFrame:
 def session_summary(spark: SparkSession, d: str) -> DataFrame:
     """Counters by automatic band, with the total."""
     rows = scored(spark, d).withColumn("band", ev.band(F.col("conf")))
-    return rows.groupingSets([["band"], []], "band").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.median("conf").alias("mid"))
+    return ev.summary(rows, "band", "conf", "hit")
 
 
 def nested_lofo(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "lang", F.log1p("n_chars").alias("a"), (F.size(F.split("text", "\n")) / F.greatest(F.lit(1), F.col("n_chars"))).alias("b"))
     rows = docs.join(scored(spark, d).select("doc_id", "hit"), "doc_id")
-    return ev.nested_leave_one_out(rows, "lang", ["a", "b"], PRECISION)
+    return models.nested_leave_one_out(rows, "lang", ["a", "b"], PRECISION)
 
 
 def _extents(orders: DataFrame) -> DataFrame:

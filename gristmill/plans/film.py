@@ -33,7 +33,7 @@ def measured_aspects(spark: SparkSession, d: str) -> DataFrame:
 def review_upsert(spark: SparkSession, d: str) -> DataFrame:
     k, p = F.col("o_orderkey"), F.col("o_totalprice")
     red = F.when(k % 5 == 0, "red")
-    images = table(spark, d, "orders").where(k % 2 == 0).select(
+    images = table(spark, d, "orders").where((k % 2 == 0) | (k % 3 != 0)).select(
         k.alias("key"), F.when(k % 4 == 0, p).alias("manual"), F.when(k % 7 != 0, p + 1).alias("detected"), (k % 11 != 0).alias("sized"), F.when(k % 3 == 0, "accept").alias("decision"),
         F.coalesce(red, F.lit("green")).alias("group"), red.alias("group_override"), (k % 13).cast("double").alias("deg"),
     )
@@ -120,7 +120,7 @@ select l_suppkey, l_orderkey, l_linenumber, img_w, img_h, moved, case when moved
   case when moved then floor(mw * coalesce(img_w, width)) else width end as width, case when moved then floor(mh * coalesce(img_h, width)) else height end as height,
   case when moved then round_even(greatest(0.3::double, confidence * 0.9::double), 3) else confidence end as confidence from t""",
     "measured_aspects": "select o_custkey, o_orderkey, o_orderkey % 3 <> 0 as valid, case when o_orderkey % 3 <> 0 then o_totalprice end as contrast, coalesce(c_acctbal, 1.5) as aspect from orders left join customer on o_custkey = c_custkey and c_custkey % 2 = 0",
-    "review_upsert": """with i as (select o_orderkey as k, o_totalprice as p, case when o_orderkey % 2 <> 0 then null when o_orderkey % 4 = 0 and o_orderkey % 11 <> 0 then 'manual'
+    "review_upsert": """with i as (select o_orderkey as k, o_totalprice as p, case when o_orderkey % 2 <> 0 and o_orderkey % 3 = 0 then null when o_orderkey % 4 = 0 and o_orderkey % 11 <> 0 then 'manual'
   when o_orderkey % 3 = 0 and o_orderkey % 7 <> 0 and o_orderkey % 11 <> 0 then 'accept' when o_orderkey % 5 = 0 then 'red' end as kind from orders)
 select k as key, case when k % 3 = 0 then 'n' end as note, case when kind = 'manual' then p when kind = 'accept' then p + 1 when k % 3 = 0 then p - 1 end as manual_crop,
   case when kind = 'red' or (kind = 'manual' and k % 5 = 0) then true when k % 9 = 0 then true end as is_problem, case when kind = 'accept' then true when k % 6 = 0 then false end as confirmed,

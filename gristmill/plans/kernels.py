@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gristmill.functions import raster
+from gristmill.operators import models
 from gristmill.plans.evaluation import scored
 from gristmill.session import table
 
@@ -15,13 +14,7 @@ def logistic_by_group(spark: SparkSession, d: str) -> DataFrame:
     """A logistic model of the hit per language, on two signals of the labelled documents."""
     docs = table(spark, d, "documents").select("doc_id", "lang", F.log1p("n_chars").alias("a"), (F.size(F.split("text", "\n")) / F.greatest(F.lit(1), F.col("n_chars"))).alias("b"))
     rows = docs.join(scored(spark, d).select("doc_id", "hit"), "doc_id")
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("doc_id")
-        w, b, _, _ = raster.fit_logistic(pdf[["a", "b"]].to_numpy(float), pdf.hit.to_numpy(float), steps=400)
-        return pd.DataFrame([{"lang": pdf.lang.iloc[0], "n": len(pdf), "w_a": round(float(w[0]), 6), "w_b": round(float(w[1]), 6), "bias": round(float(b), 6)}])
-
-    return rows.groupBy("lang").applyInPandas(fit, "lang string, n long, w_a double, w_b double, bias double")
+    return models.logistic_by_group(rows, "lang", ["a", "b"])
 
 
 QUERIES = {f.__name__: f for f in (logistic_by_group,)}

@@ -52,7 +52,7 @@ def apply_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queue_merge(spark: SparkSession, d: str) -> DataFrame:
-    old = table(spark, d, "customer").where("c_custkey % 2 = 0").select("c_custkey", F.lit("old").alias("band"), F.col("c_acctbal").alias("w"))
+    old = table(spark, d, "customer").where("c_custkey % 2 = 0 or c_custkey % 3 <> 0").select("c_custkey", F.lit("old").alias("band"), F.col("c_acctbal").alias("w"))
     new = table(spark, d, "customer").where("c_custkey % 3 = 0").select("c_custkey", ev.band(F.col("c_acctbal") / 10000).alias("band"), (F.col("c_acctbal") * 2).alias("w"))
     return rv.merge(old, new, "c_custkey", F.col("band") != "red", ["band", "w"])
 
@@ -175,7 +175,7 @@ select k as o_orderkey, changed, was as was_applied, case when a then case when
     "apply_counts": """with r as (select *, case when l_linenumber = 1 then 'green' when l_discount * 10 >= 0.5 then 'green' when l_discount * 10 >= 0.3 then 'yellow' else 'red' end as g from lineitem)
 select g as grp, l_returnflag <> 'R' and l_linenumber <> 6 and l_quantity > 2 and not (g = 'red' and not l_tax > 0.07::double and l_returnflag <> 'A') and l_linestatus = 'O' as applies, count(*) as n
 from r group by all""",
-    "queue_merge": """with o as (select c_custkey as k, 'old' as band, c_acctbal as w from customer where c_custkey % 2 = 0),
+    "queue_merge": """with o as (select c_custkey as k, 'old' as band, c_acctbal as w from customer where c_custkey % 2 = 0 or c_custkey % 3 <> 0),
 n as (select c_custkey as k, case when c_acctbal / 10000 >= 0.5 then 'green' when c_acctbal / 10000 >= 0.3 then 'yellow' else 'red' end as band, c_acctbal * 2 as w from customer where c_custkey % 3 = 0)
 select k as c_custkey, band, w from n where band <> 'red' union all select k, band, w from o where k not in (select k from n)""",
     "session_idle_30m": """with g as (select user_id, ts, case when lag(ts) over w is null or ts >= lag(ts) over w + interval 30 minutes then 1 else 0 end as b from events window w as (partition by user_id order by ts)),

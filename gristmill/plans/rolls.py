@@ -134,7 +134,7 @@ def factor_rows(spark: SparkSession, d: str) -> DataFrame:
 def films_with_references(spark: SparkSession, d: str) -> DataFrame:
     key = F.concat_ws("/", F.col("o_custkey"), F.col("o_orderkey")).alias("key")
     o = table(spark, d, "orders")
-    return ro.films_with_references(o.where("o_orderkey % 5 = 0").select(key), o.where("o_orderkey % 7 = 0").select(key))
+    return ro.films_with_references(o.where("o_orderkey % 5 < 3").select(key), o.where("o_orderkey % 5 >= 3 or o_orderkey % 7 = 0").select(key))
 
 
 def entry_texts(spark: SparkSession, d: str) -> DataFrame:
@@ -255,7 +255,7 @@ select l_orderkey, warnings, regexp_extract(p, ' ([0-9]+)/', 1)::bigint as step,
 where l_quantity + 0.5 between 33 and 40 and l_linenumber * 4 + 14 between 22 and 27""",
     "factor_rows": """with l as (select o_orderkey as k, o_orderkey % 500 as f, o_totalprice::double / 1000 as conf from orders qualify row_number() over (partition by f order by k desc) = 1)
 select 'r' || o_orderkey || '/f' || f as key, 'r' || o_orderkey as film, o_orderkey % 2 = 0 as hit, conf, (k % 10) / 10 as size, (k % 7) / 8 as edge from orders join l on f = o_orderkey % 500 where o_orderkey % 3 <> 0 and k % 13 <> 0""",
-    "films_with_references": "select distinct o_custkey::varchar as film from orders where o_orderkey % 5 = 0 or o_orderkey % 7 = 0",
+    "films_with_references": "select distinct o_custkey::varchar as film from orders",
     "entry_texts": r"""with r as (select o_orderkey as k, o_orderpriority as p, (o_orderkey % 3) / 10 as l, case when o_orderkey % 4 = 1 then radians(2.5::double) else 0 end as g from orders),
 s as (select *, 1500 * cos(g) + 1000 * sin(g) as sw, 1500 * sin(g) + 1000 * cos(g) as sh from r),
 c as (select *, (l + 0.25::double) * sw - sw / 2 as dx, 0 * sh as dy, least(0.5::double * sw, 1500) as bw, least(0.75::double * sh, 1000) as bh from s),
