@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators.state import least_threshold
+from gristmill.session import scratch
 
 MOST_GROUPS = 64
 
@@ -21,10 +22,15 @@ def groups_of(rows: DataFrame, group: str) -> list:
 
 
 def numbered(rows: DataFrame, group: str, names: list, features: list[str], hit: str) -> DataFrame:
-    """g (the group's number), x (the features), y of the rows of these groups that have all of them."""
+    """g (the group's number), x (the features), y of the rows of these groups that have all of them; written once to the
+    shared folder, as each step reads them."""
+    spark = rows.sparkSession
     number = F.array_position(F.array(*(F.lit(n) for n in names)), F.col(group)) - 1
     fine = F.forall(F.array(*(F.col(f).cast("double") for f in features)), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return rows.where(F.col(group).isNotNull() & F.col(hit).isNotNull() & fine).select(number.cast("int").alias("g"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"), F.col(hit).cast("double").alias("y"))
+    out = rows.where(F.col(group).isNotNull() & F.col(hit).isNotNull() & fine).select(number.cast("int").alias("g"), F.array(*(F.col(f).cast("double") for f in features)).alias("x"), F.col(hit).cast("double").alias("y"))
+    path = scratch(spark, "models")
+    out.write.parquet(path)
+    return spark.read.schema(out.schema).parquet(path)
 
 
 class Models:
