@@ -131,8 +131,9 @@ def geometry_score(box: tuple[int, int, int, int], shape: tuple[int, int], targe
     return round(min(1.0, score), 3), off, "Landscape" if wide <= tall else "Portrait"
 
 
-def candidates(gray: np.ndarray, target: float = 1.5) -> list[dict]:
-    """Scored proposals, near ones folded into the best, each with its confidence; best first."""
+def candidates(gray: np.ndarray, target: float = 1.5, penalty: bool = True) -> list[dict]:
+    """Scored proposals, near ones folded into the best, each with its confidence; best first. Without the penalty a shape
+    that deviates from the target costs no confidence beyond its score."""
     boxes = [(name, box) for name, f in DETECTORS.items() for box in f(gray) if box[2] >= LEAST_SIDE and box[3] >= LEAST_SIDE]
     scored = sorted(((geometry_score(b, gray.shape, target), name, b) for name, b in boxes), key=lambda s: (-s[0][0], s[1], s[2]))
     within = MERGE_SHARE * max(gray.shape)
@@ -146,12 +147,12 @@ def candidates(gray: np.ndarray, target: float = 1.5) -> list[dict]:
     for k in kept:
         seen = raster.edge_evidence(gray, *k["box"])
         evidence = sum(weight * seen[part] for part, weight in EVIDENCE.items())
-        k["confidence"] = round((0.35 * k["geometry"] + 0.65 * evidence) * max(0.7, 1 - 3 * k["deviation"]), 3)
+        k["confidence"] = round((0.35 * k["geometry"] + 0.65 * evidence) * (max(0.7, 1 - 3 * k["deviation"]) if penalty else 1.0), 3)
     return sorted(kept, key=lambda k: (-round(k["confidence"], 2), -k["box"][2] * k["box"][3] - 0.001 * (k["orientation"] == "Landscape"), k["box"]))
 
 
-def best_box(gray: np.ndarray, target: float = 1.5) -> dict | None:
+def best_box(gray: np.ndarray, target: float = 1.5, penalty: bool = True) -> dict | None:
     """The best candidate in the raster's own pixels, found on a reduced one; None if nothing is found."""
     small, scale = raster.detection_size(gray)
-    found = candidates(small, target)
+    found = candidates(small, target, penalty)
     return found[0] | {"box": tuple(int(round(v / scale)) for v in found[0]["box"])} if found else None

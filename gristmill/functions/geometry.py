@@ -69,6 +69,13 @@ def to_straight(crop: Column, width: Column, height: Column, degrees: Column) ->
     return _between_frames(crop, width, height, s["width"], s["height"], -degrees)
 
 
+def point_to_straight(point: Column, width: Column, height: Column, degrees: Column) -> Column:
+    """A normalised point of the image in the frame of the straightened one, 5 decimals."""
+    s = straight_size(width, height, degrees)
+    d = turned(F.element_at(point, 1) * width - width / 2, F.element_at(point, 2) * height - height / 2, -degrees)
+    return F.array(F.bround((s["width"] / 2 + d["x"]) / s["width"], 5), F.bround((s["height"] / 2 + d["y"]) / s["height"], 5))
+
+
 def from_straight(crop: Column, width: Column, height: Column, degrees: Column) -> Column:
     s = straight_size(width, height, degrees)
     return _between_frames(crop, s["width"], s["height"], width, height, degrees)

@@ -62,15 +62,11 @@ def smallest_threshold(rows: DataFrame, precision: float, least: int = 5) -> Dat
     return fit.orderBy("t").limit(1).select("t", "n", "n_hits")
 
 
-def best_recall(rows: DataFrame, precision: float, buckets: int = 1000) -> DataFrame:
-    """The score at which recall is largest among those precise enough, the highest on ties. Running sums over distinct
-    scores: within ranges of scores in parallel, plus the sums of the ranges above."""
-    per = rows.groupBy("conf").agg(F.count("*").alias("n"), F.sum(F.col("hit").cast("long")).alias("h")).withColumn("b", F.floor(F.col("conf") * buckets))
-    above = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, -1)  # over at most buckets + 1 rows
-    sums = per.groupBy("b").agg(F.sum("n").alias("bn"), F.sum("h").alias("bh"))
-    sums = sums.select("b", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("bh").over(above), F.lit(0)).alias("h0"))
-    own = Window.partitionBy("b").orderBy(F.col("conf").desc())
-    run = per.join(F.broadcast(sums), "b").select("conf", (F.col("n0") + F.sum("n").over(own)).alias("n"), (F.col("h0") + F.sum("h").over(own)).alias("n_hits"))
+def best_recall(rows: DataFrame, precision: float) -> DataFrame:
+    """The score at which recall is largest among those precise enough, the highest on ties; from counts per distinct
+    score."""
+    per = rows.groupBy(F.lit(0).alias("_all"), "conf").agg(F.count("*").alias("_n"), F.sum(F.col("hit").cast("long")).alias("_h"))
+    run = running(per, ["_all"], "conf", ["_n", "_h"], descending=True).select("conf", F.col("_run__n").alias("n"), F.col("_run__h").alias("n_hits"))
     return run.where(F.col("n_hits") >= precision * F.col("n")).orderBy(F.col("n_hits").desc(), F.col("conf").desc()).limit(1)
 
 

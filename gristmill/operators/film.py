@@ -58,20 +58,21 @@ def reviewed(images: DataFrame, reviews: DataFrame) -> DataFrame:
     """images (key, manual, detected, sized, decision, group, group_override, deg) upserted into reviews (key,
     manual_crop, is_problem, confirmed, tilt_deg). A manual crop becomes the reference, of a red image a problem too; an
     accepted detection becomes a confirmed one; an image made red is a problem. A new reference brings its angle, and
-    without one the old goes. Reviews of other images stay."""
+    without one the old goes; so does manual_crop_straight, where images have it as straight. Reviews of other images stay."""
     red = F.col("group") == "red"
     kind = (
         F.when(F.col("manual").isNotNull() & F.col("sized"), "manual")
         .when((F.col("decision") == "accept") & F.col("detected").isNotNull() & F.col("sized"), "accept")
         .when(red & (F.col("group_override") == "red"), "red")
     )
-    new = images.select("key", kind.alias("_kind"), F.coalesce(red, F.lit(False)).alias("_red"), "manual", "detected", "deg").where("_kind is not null")
+    brought = {"tilt_deg": "deg"} | ({"manual_crop_straight": "straight"} if "straight" in images.columns else {})
+    new = images.select("key", kind.alias("_kind"), F.coalesce(red, F.lit(False)).alias("_red"), "manual", "detected", *brought.values()).where("_kind is not null")
     both = reviews.join(new, "key", "full")
     crop = F.when(F.col("_kind") == "manual", F.col("manual")).when(F.col("_kind") == "accept", F.col("detected")).otherwise(F.col("manual_crop"))
     problem = F.when((F.col("_kind") == "red") | ((F.col("_kind") == "manual") & F.col("_red")), True).otherwise(F.col("is_problem"))
-    tilt = F.when(F.col("_kind").isin("manual", "accept"), F.when(F.col("deg") != 0, F.col("deg"))).otherwise(F.col("tilt_deg"))
-    rest = [c for c in reviews.columns if c not in ("key", "manual_crop", "is_problem", "confirmed", "tilt_deg")]
-    return both.select("key", *rest, crop.alias("manual_crop"), problem.alias("is_problem"), F.when(F.col("_kind") == "accept", True).otherwise(F.col("confirmed")).alias("confirmed"), tilt.alias("tilt_deg"))
+    tilt = [F.when(F.col("_kind").isin("manual", "accept"), F.when(F.col("deg") != 0, F.col(v))).otherwise(F.col(c)).alias(c) for c, v in brought.items()]
+    rest = [c for c in reviews.columns if c not in ("key", "manual_crop", "is_problem", "confirmed", *brought)]
+    return both.select("key", *rest, crop.alias("manual_crop"), problem.alias("is_problem"), F.when(F.col("_kind") == "accept", True).otherwise(F.col("confirmed")).alias("confirmed"), *tilt)
 
 
 def listed(results: DataFrame, reviews: DataFrame, key: str) -> DataFrame:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gristmill.operators.state import least_threshold
@@ -133,31 +136,60 @@ class Models:
         return rows.select("g", "x", "y").mapInArrow(run, "g int, y double, left int, score double")
 
 
-def nested_leave_one_out(rows: DataFrame, group: str, features: list[str], precision: float, least: int = 5) -> DataFrame:
-    """Per group left out: the rows of the others are scored by models that have not seen their group, the threshold is
-    picked on these scores, and a model of all the others scores the group itself. rows (group, features, hit) are
-    labelled references; those with nulls are left out.
+def fitted(features: list[str], l2: float = 0.5) -> Callable[[DataFrame, str, list], DataFrame]:
+    """A scorer that learns: (rows, group, names) -> g, y, left, score, where a row of group g is scored for each group
+    left out by a model that has seen neither. There is a model without each group and one without each two, at most
+    MOST_GROUPS * (MOST_GROUPS + 1) / 2, all fitted together: a Newton step is one scan that sends a few numbers for each
+    model and task."""
+
+    def seen(rows: DataFrame, group: str, names: list) -> DataFrame:
+        k = len(names)
+        data = numbered(rows, group, names, features, "hit")
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        at = {p: m for m, p in enumerate(pairs)}
+        members = np.ones((len(pairs), k), bool)
+        for m, (i, j) in enumerate(pairs):
+            members[m, [i, j]] = False
+        of = [[(left, at[min(left, g), max(left, g)]) for left in range(k)] for g in range(k)]
+        return Models(data, members, len(features), l2).scored(data, of)
+
+    return seen
+
+
+def fixed(formula: Column) -> Callable[[DataFrame, str, list], DataFrame]:
+    """A scorer that learns nothing: its formula, the same whatever is left out. Rows without a score are left out."""
 
-    There is a model without each group and one without each two, at most MOST_GROUPS * (MOST_GROUPS + 1) / 2, all fitted
-    together: a Newton step is one scan that sends a few numbers for each model and task. Each row is scored once for each
+    def seen(rows: DataFrame, group: str, names: list) -> DataFrame:
+        number = F.array_position(F.array(*(F.lit(n) for n in names)), F.col(group)) - 1
+        score = formula.cast("double")
+        fine = rows.where(F.col(group).isNotNull() & F.col("hit").isNotNull() & score.isNotNull() & ~F.isnan(score))
+        lefts = F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("left")
+        told = fine.select(number.cast("int").alias("g"), F.col("hit").cast("double").alias("y"), score.alias("score"))
+        return told.select("g", "y", lefts, "score")
+
+    return seen
+
+
+def compared(rows: DataFrame, group: str, scorers: dict[str, Callable[[DataFrame, str, list], DataFrame]], precision: float, least: int = 5) -> DataFrame:
+    """Per scorer and group left out: the threshold picked on the scores of the other groups' rows, and how it does on the
+    group itself. rows (group, hit and what the scorers read) are labelled references. Each row is scored once for each
     group, and scores are counted before they are shuffled."""
     names = groups_of(rows, group)
-    k = len(names)
-    data = numbered(rows, group, names, features, "hit")
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    at = {p: m for m, p in enumerate(pairs)}
-    members = np.ones((len(pairs), k), bool)
-    for m, (i, j) in enumerate(pairs):
-        members[m, [i, j]] = False
-    models = Models(data, members, len(features))
-    of = [[(left, at[min(left, g), max(left, g)]) for left in range(k)] for g in range(k)]
-    seen = models.scored(data, of).withColumn("hit", F.col("y") == 1)
-    inner = least_threshold(seen.where("left <> g"), ["left"], "score", "hit", precision, least).select(F.col("left").alias("of"), "t")
-    own = seen.where("left = g").join(inner, F.col("of") == F.col("g"), "left")
+    if not names:
+        empty = f"scorer string, {group} {dict(rows.dtypes)[group]}, t double, n long, hits long, green long, green_hits long"
+        return rows.sparkSession.createDataFrame([], empty)
+    parts = [f(rows, group, names).select(F.lit(name).alias("scorer"), "g", "y", "left", "score") for name, f in scorers.items()]
+    seen = reduce(DataFrame.unionByName, parts).withColumn("hit", F.col("y") == 1)
+    inner = least_threshold(seen.where("left <> g"), ["scorer", "left"], "score", "hit", precision, least).select("scorer", F.col("left").alias("g"), "t")
+    own = seen.where("left = g").join(inner, ["scorer", "g"], "left")
     green = F.coalesce(F.col("score") >= F.col("t"), F.lit(False))
-    out = own.groupBy("g").agg(F.first("t").alias("t"), F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.count_if(green).alias("green"), F.count_if(green & F.col("hit")).alias("green_hits"))
-    name = F.element_at(F.array(*(F.lit(n) for n in names)), F.col("g") + 1).alias(group) if names else F.lit(None).cast(dict(rows.dtypes)[group]).alias(group)
-    return out.select(name, "t", "n", "hits", "green", "green_hits")
+    out = own.groupBy("scorer", "g").agg(F.first("t").alias("t"), F.count("*").alias("n"), F.count_if("hit").alias("hits"), F.count_if(green).alias("green"), F.count_if(green & F.col("hit")).alias("green_hits"))
+    return out.select("scorer", F.element_at(F.array(*(F.lit(n) for n in names)), F.col("g") + 1).alias(group), "t", "n", "hits", "green", "green_hits")
+
+
+def nested_leave_one_out(rows: DataFrame, group: str, features: list[str], precision: float, least: int = 5) -> DataFrame:
+    """`compared` for one logistic model of these features; rows with nulls among them are left out."""
+    return compared(rows, group, {"": fitted(features)}, precision, least).drop("scorer")
 
 
 def logistic_by_group(rows: DataFrame, group: str, features: list[str]) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
-from gristmill.functions import content, raster
+from gristmill.functions import content, detect, raster
 from gristmill.functions import tilt as tl
 from gristmill.operators.selection import strided
 
@@ -166,6 +166,43 @@ def refined(images: DataFrame, zoom: int = 1) -> DataFrame:
     return per_image(images, ("image",), kernel, "x int, y int, w int, h int, way string", zoom)
 
 
+def detected(images: DataFrame, zoom: int = 1) -> DataFrame:
+    """images with their overrides (target: the film's shape, 1.5 where null; border: its level, null if not known;
+    no_penalty, one_stage: false where null) -> image, the box of both stages or of the first alone, its confidence, the
+    methods that found it and how the second stage ended (null without it). No candidate: nulls, and an error."""
+
+    def kernel(gray: np.ndarray, row: dict) -> dict:
+        found = detect.best_box(gray, row.get("target") or 1.5, not row.get("no_penalty"))
+        if found is None:
+            raise ValueError("no candidate")
+        box, way = found["box"], None
+        if not row.get("one_stage"):
+            *box, way = content.refined_content(gray, *box, row.get("border"), row.get("target"))
+        return dict(zip(_BOX, map(int, box), strict=True)) | {"confidence": found["confidence"], "methods": found["methods"], "way": way}
+
+    return per_image(images, ("image",), kernel, "x int, y int, w int, h int, confidence double, methods array<string>, way string", zoom)
+
+
+def dumped(images: DataFrame, zoom: int = 1) -> DataFrame:
+    """images with the film's shape (target, 1.5 where null) -> image, rank, crop (of 1), confidence, method: all candidates,
+    best first, and last the best one after the second stage, whose method is refined."""
+
+    def kernel(gray: np.ndarray, row: dict) -> dict:
+        small, _ = raster.detection_size(gray)
+        target = row.get("target") or 1.5
+        kept = detect.candidates(small, target)
+        boxes = [(k["box"], k["confidence"], k["methods"][0]) for k in kept]
+        if kept:
+            *box, _ = content.refined_content(small, *kept[0]["box"], None, target)
+            boxes.append((box, kept[0]["confidence"], "refined"))
+        high, wide = small.shape
+        crop = lambda x, y, w, h: [float(x / wide), float(y / high), float((x + w) / wide), float((y + h) / high)]
+        return {"found": [{"rank": i, "crop": crop(*b), "confidence": conf, "method": name} for i, (b, conf, name) in enumerate(boxes)]}
+
+    out = per_image(images, ("image",), kernel, "found array<struct<rank:int,crop:array<double>,confidence:double,method:string>>", zoom)
+    return out.select("image", F.explode("found").alias("f")).select("image", "f.*")
+
+
 def texture(images: DataFrame, zoom: int = 1) -> DataFrame:
     """images with boxes -> image, content, agree."""
     kernel = lambda gray, row: dict(zip(("content", "agree"), content.content_signals(gray, *(row[c] for c in _BOX)), strict=True))

@@ -95,6 +95,21 @@ def raster_detect(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("image", F.explode("found").alias("f")).select("image", "f.*")
 
 
+def _overridden(spark: SparkSession, d: str) -> DataFrame:
+    images = _images(spark, d, _HELD).drop("x", "y", "w", "h")
+    return images.withColumns({"target": F.expr("if(image % 3 = 0, null, 1.1D)"), "border": F.expr("if(image % 5 = 0, 30D, null)"), "no_penalty": F.col("image") % 2 == 0, "one_stage": F.col("image") % 4 == 1})
+
+
+def raster_detected(spark: SparkSession, d: str) -> DataFrame:
+    """Each image's box under overrides of its own."""
+    return ra.detected(_overridden(spark, d), zoom=4)
+
+
+def raster_dumped(spark: SparkSession, d: str) -> DataFrame:
+    """All candidates of each image as shares of it, and the best one refined."""
+    return ra.dumped(_overridden(spark, d), zoom=4)
+
+
 def raster_pitch(spark: SparkSession, d: str) -> DataFrame:
     """Four images are a roll: the period of the holes along its edges."""
     holed = _images(spark, d, _HOLED).select(F.expr("image div 4").alias("roll"), "image", "height", "width", "pixels")
@@ -117,7 +132,7 @@ def raster_format(spark: SparkSession, d: str) -> DataFrame:
     return ra.roll_formats(rolls, images)
 
 
-QUERIES = {f.__name__: f for f in (raster_tilt, raster_refined, raster_texture, raster_equalised, raster_lines, raster_frames, raster_reduced, raster_measure, raster_detect, raster_pitch, raster_format)}
+QUERIES = {f.__name__: f for f in (raster_tilt, raster_refined, raster_texture, raster_equalised, raster_lines, raster_frames, raster_reduced, raster_measure, raster_detect, raster_detected, raster_dumped, raster_pitch, raster_format)}
 
 _PX = f"""
 raw as (select vec_id // {SIDE} as image, vec_id % {SIDE} as y, unnest(range(0, len(embedding))) as x, unnest(embedding) as e from embeddings),
