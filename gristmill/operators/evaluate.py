@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gristmill.operators.robust import exact_median, running
+from gristmill.operators.robust import bin_of, exact_median, median_of_bins, running
+from gristmill.session import scratch
 
 TOLERANCE = 60.0  # fixed value: pixels at a long edge of 2000
 
@@ -108,10 +109,17 @@ def split_eval(rows: DataFrame, tuning: Column, precision: float, least: int = 5
 
 
 def bias(rows: DataFrame, deltas: list[str]) -> DataFrame:
-    """Per delta column: n, median, mean, min, max."""
-    long = rows.select(F.explode(F.array(*(F.struct(F.lit(d).alias("delta"), F.col(d).alias("v")) for d in deltas))).alias("x")).select("x.*")
-    told = long.groupBy("delta").agg(F.count("v").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("low"), F.max("v").alias("high"))
-    return told.join(exact_median(long, ["delta"], "v").drop("n"), "delta", "left").select("delta", "n", "median", "mean", "low", "high")
+    """Per delta column: n, median, mean, min, max. The deltas are written once, as making them may cost more than the two
+    scans of them: one that counts and sums bins, one for the values near the middle."""
+    folder = scratch(rows.sparkSession, "deltas")
+    rows.select(*deltas).write.parquet(folder)
+    kept = rows.sparkSession.read.schema(rows.select(*deltas).schema).parquet(folder)
+    long = kept.select(F.explode(F.array(*(F.struct(F.lit(d).alias("delta"), F.col(d).alias("v")) for d in deltas))).alias("x")).select("x.*")
+    part = [F.count("v").alias("c"), F.sum("v").alias("_sum"), F.min("v").alias("_low"), F.max("v").alias("_high")]
+    bins = long.groupBy("delta", bin_of(F.col("v")).alias("_bin")).agg(*part)  # nulls are a bin of their own, of none
+    told = bins.groupBy("delta").agg(F.sum("c").alias("n"), F.round(F.try_divide(F.sum("_sum"), F.sum("c")), 6).alias("mean"), F.min("_low").alias("low"), F.max("_high").alias("high"))
+    mid = median_of_bins(long, bins.where("c > 0").select("delta", "_bin", "c"), ["delta"], "v").drop("n")
+    return told.join(mid, "delta", "left").select("delta", "n", "median", "mean", "low", "high")
 
 
 def summary(rows: DataFrame, by: str, value: str, hit: str) -> DataFrame:

@@ -4,10 +4,12 @@ group into a list."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+ONE_TASK = 1_000_000  # fixed value: rows of a group that one task may order, spilling where it has to
+
 
 def median_or_zero(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """The median, 0 for a group without values."""
@@ -88,32 +90,54 @@ def met(rows: DataFrame, few: DataFrame, by: list[str], how: str = "inner") -> D
     return rows.join(named, same, how).drop(*(f"_key_{i}" for i in range(len(by))))
 
 
-def ranged(rows: DataFrame, by: list[str], value: str, parts: int = 256) -> DataFrame:
-    """rows with _b, the range of their value: about `parts` to a group, cut where a mergeable sketch of its values says.
-    Equal values share a range."""
+def ranged(rows: DataFrame, by: list[str], value: str, parts: int = 256, most: int = ONE_TASK) -> DataFrame:
+    """rows with _b, the range of their value: null in groups of at most `most` rows, which are not cut; in others about
+    `parts` to a group, cut where a mergeable sketch of its values says. Equal values share a range. Sketches are made,
+    and their cuts sent to all tasks, for groups of more than `most` rows only."""
+    large = rows.groupBy(*by).agg(F.count("*").alias("_size")).where(F.col("_size") > most)
     shares = F.array(*(F.lit(k / parts) for k in range(1, parts)))
-    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, shares, 10_000).alias("_cuts"))
-    return met(rows, cuts, by).withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    cuts = met(rows, F.broadcast(large), by).groupBy(*by).agg(F.percentile_approx(value, shares, 10_000).alias("_cuts"), F.lit(True).alias("_large"))
+    place = F.when(F.col("_large"), F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0)))
+    return met(rows, F.broadcast(cuts), by, "left").withColumn("_b", place).drop("_cuts", "_large")
 
 
-def running(rows: DataFrame, by: list[str], value: str, totals: list[str], descending: bool = False, ties: tuple[str, ...] = ()) -> DataFrame:
+def running(rows: DataFrame, by: list[str], value: str, totals: list[str], descending: bool = False, ties: tuple[str, ...] = (), most: int = ONE_TASK) -> DataFrame:
     """rows with _run_<t> for each total t: its sum over the rows of the group up to this one, in order of value and ties.
-    Ranges of values are summed first, so that a window holds a range of a group and not the group."""
-    placed = ranged(rows, by, value)
+    A group of more than `most` rows is summed by ranges of values first, so that a window holds a range of it."""
+    placed = ranged(rows, by, value, most=most)
     way = lambda c: F.col(c).desc() if descending else F.col(c)
     before = Window.partitionBy(*by).orderBy(way("_b")).rowsBetween(Window.unboundedPreceding, -1)
-    each = placed.groupBy(*by, "_b").agg(*(F.sum(t).alias(f"_of_{t}") for t in totals))
-    each = each.select(*by, "_b", *(F.coalesce(F.sum(f"_of_{t}").over(before), F.lit(0)).alias(f"_before_{t}") for t in totals))
+    each = placed.where("_b is not null").groupBy(*by, "_b").agg(*(F.sum(t).alias(f"_of_{t}") for t in totals))
+    each = each.select(*by, "_b", *(F.sum(f"_of_{t}").over(before).alias(f"_before_{t}") for t in totals))
     within = Window.partitionBy(*by, "_b").orderBy(way(value), *ties).rowsBetween(Window.unboundedPreceding, 0)
-    out = met(placed, each, [*by, "_b"]).withColumns({f"_run_{t}": F.col(f"_before_{t}") + F.sum(t).over(within) for t in totals})
+    # at most 256 rows for each group of more than `most`
+    out = met(placed, F.broadcast(each), [*by, "_b"], "left").withColumns({f"_run_{t}": F.coalesce(f"_before_{t}", F.lit(0)) + F.sum(t).over(within) for t in totals})
     return out.drop("_b", *(f"_before_{t}" for t in totals))
 
 
-def exact_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, n, median of the values that are not null. Values are counted first, and counts add up in ranges, so no task
-    holds all values of a group, as it does with an exact percentile."""
-    per = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
-    run = met(running(per, by, value, ["c"]), per.groupBy(*by).agg(F.sum("c").alias("n")), by)
-    at = lambda k: F.min(F.when(F.col("_run_c") > k, F.col(value)))
-    ends = run.groupBy(*by, "n").agg(at(F.floor((F.col("n") - 1) / 2)).alias("lo"), at(F.floor(F.col("n") / 2)).alias("hi"))
+def bin_of(value: Column) -> Column:
+    """A whole number that never falls as the value rises: its sign and the 64th part of an octave it lies in. NaN is last."""
+    v = value.cast("double")
+    size = lambda x: (F.floor(F.least(F.log2(x), F.lit(1100.0)) * 64) + 100_000).cast("int")
+    return F.when(F.isnan(v), 1_000_000).when(v > 0, size(v)).when(v < 0, -size(-v)).when(v == 0, 0)
+
+
+def median_of_bins(rows: DataFrame, bins: DataFrame, by: list[str], value: str) -> DataFrame:
+    """exact_median, from bins (by, _bin, c: how many values `bin_of` puts there)."""
+    up = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, 0)
+    sums = bins.select(*by, "_bin", F.sum("c").over(up).alias("_upto"), "c", F.sum("c").over(Window.partitionBy(*by)).alias("n"))
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    middle = sums.where((F.col("_upto") > low) & (F.col("_upto") - F.col("c") <= high)).select(*by, "_bin", "n", (F.col("_upto") - F.col("c")).alias("_under"))
+    near = met(rows.where(F.col(value).isNotNull()).select(*by, value, bin_of(F.col(value)).alias("_bin")), F.broadcast(middle), [*by, "_bin"])
+    run = running(near.groupBy(*by, "_bin", "n", "_under", value).agg(F.count("*").alias("c")), [*by, "_bin"], value, ["c"])
+    at = lambda k: F.min(F.when(F.col("_under") + F.col("_run_c") > k, F.col(value)))
+    ends = run.groupBy(*by, "n").agg(at(low).alias("lo"), at(high).alias("hi"))
     return ends.select(*by, "n", ((F.col("lo") + F.col("hi")) / 2).alias("median"))
+
+
+def exact_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, n, median of the values that are not null, for groups few enough that two rows of each can go to every task.
+    Values are counted in bins, and only those in the bins that hold the middle are counted one by one and ordered, in
+    ranges if they are many, so no task holds all values of a group, as it does with an exact percentile."""
+    bins = rows.where(F.col(value).isNotNull()).groupBy(*by, bin_of(F.col(value)).alias("_bin")).agg(F.count("*").alias("c"))
+    return median_of_bins(rows, bins, by, value)

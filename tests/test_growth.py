@@ -1,7 +1,13 @@
 """Steps whose work or memory must not outgrow their input, and the rounding that SQL fixes, against plain versions."""
 
+import math
+import random
+import statistics
+
 from pyspark.sql import functions as F
 
+from gristmill.operators import evaluate as ev
+from gristmill.operators import robust as ro
 from gristmill.operators import state as st
 
 
@@ -11,3 +17,32 @@ def test_thresholds_are_rounded_as_in_sql(spark, duck):
     got = {r.g: r.t for r in st.least_threshold(rows, ["g"], "s", "hit", 0.9).collect()}
     want = duck.sql("with r as (select i as g, i / 4000::double as s, round_even(i / 4000::double, 4) as t from range(0, 4001) r(i)) select g, t from r where t <= s").df()
     assert got == dict(zip(want.g, want.t, strict=True)) and got[1267] == 0.3167
+
+def test_a_median_orders_only_the_values_near_it(spark, monkeypatch):
+    """Bins of values are counted; what is ordered are the values in the bins that hold the middle."""
+    rng, ordered = random.Random(5), []
+    plain = ro.running
+
+    def seen(rows, *args, **kwargs):
+        ordered.append(rows.count())
+        return plain(rows, *args, **kwargs)
+
+    monkeypatch.setattr(ro, "running", seen)
+    rows = [("a", rng.gauss(0, 9000)) for _ in range(5001)] + [("b", rng.uniform(1e4, 1e5)) for _ in range(5000)] + [("c", None), ("d", 4.0), ("d", 7.0), ("d", None)]
+    got = {r.g: (r.n, r["median"]) for r in ro.exact_median(spark.createDataFrame(rows, "g string, v double").repartition(3), ["g"], "v").collect()}
+    values = {g: [v for k, v in rows if k == g and v is not None] for g in "abd"}
+    assert got == {g: (len(vs), statistics.median(vs)) for g, vs in values.items()}
+    assert len(ordered) == 1 and ordered[0] < 500
+
+
+def test_bins_rise_with_values(spark):
+    rng = random.Random(6)
+    values = sorted([s * 10.0 ** rng.uniform(-320, 308) for s in (1, -1) for _ in range(500)] + [0.0, math.inf, -math.inf, 5e-324, 1.7e308, -1.7e308]) + [math.nan]
+    got = [r[0] for r in spark.createDataFrame([*enumerate(values)], "i int, v double").orderBy("i").select(ro.bin_of(F.col("v"))).collect()]
+    assert None not in got and got == sorted(got) and len(set(got)) > 900
+
+
+def test_bias_of_missing_deltas(spark):
+    rows = [(1.5, None), (-4.0, None), (None, None), (10.25, None)]
+    got = {r.delta: tuple(r)[1:] for r in ev.bias(spark.createDataFrame(rows, "x double, y double"), ["x", "y"]).collect()}
+    assert got == {"x": (3, 1.5, 2.583333, -4.0, 10.25), "y": (0, None, None, None, None)}
