@@ -115,10 +115,11 @@ def least_threshold(rows: DataFrame, by: list[str], score: str, hit: str, target
     """Per group the smallest of its scores, rounded to 4 decimals, at or above which at least `least` rows lie and the
     share of hits reaches the target. Rows are counted per score first; candidates and counts then meet in one order.
     A score's ten thousands are rounded half to even as the double they are, as SQL does; bround would round its digits."""
-    per = rows.groupBy(*by, F.col(score).alias("_x")).agg(F.count("*").alias("_n"), F.sum(F.col(hit).cast("long")).alias("_h"))
-    zero = F.lit(0).cast("long")
-    marks = per.select(*by, (F.rint(F.col("_x").cast("double") * 10000) / 10000).alias("_x")).distinct().select(*by, "_x", zero.alias("_n"), zero.alias("_h"), F.lit(1).alias("_mark"))
-    both = running(per.withColumn("_mark", F.lit(0)).unionByName(marks), by, "_x", ["_n", "_h"], descending=True, ties=("_mark",))
+    x, zero = F.col(score).cast("double"), F.lit(0).cast("long")
+    counted = F.struct(x.alias("_x"), F.lit(0).alias("_mark"), F.lit(1).cast("long").alias("_n"), F.col(hit).cast("long").alias("_h"))
+    mark = F.struct((F.rint(x * 10000) / 10000).alias("_x"), F.lit(1).alias("_mark"), zero.alias("_n"), zero.alias("_h"))
+    both = rows.select(*by, F.explode(F.array(counted, mark)).alias("_r")).select(*by, "_r.*").groupBy(*by, "_x", "_mark").agg(F.sum("_n").alias("_n"), F.sum("_h").alias("_h"))
+    both = running(both, by, "_x", ["_n", "_h"], descending=True, ties=("_mark",))
     both = both.withColumnsRenamed({"_run__n": "n_above", "_run__h": "hits"})
     good = both.where((F.col("_mark") == 1) & (F.col("n_above") >= least) & (F.col("hits") >= target * F.col("n_above")))
     best = F.min(F.struct(F.col("_x").alias("t"), "n_above", "hits"))

@@ -6,6 +6,8 @@ import statistics
 
 from pyspark.sql import functions as F
 
+from gristmill.functions import sidecar as sc
+from gristmill.functions import xmp
 from gristmill.operators import evaluate as ev
 from gristmill.operators import robust as ro
 from gristmill.operators import state as st
@@ -46,3 +48,17 @@ def test_bias_of_missing_deltas(spark):
     rows = [(1.5, None), (-4.0, None), (None, None), (10.25, None)]
     got = {r.delta: tuple(r)[1:] for r in ev.bias(spark.createDataFrame(rows, "x double, y double"), ["x", "y"]).collect()}
     assert got == {"x": (3, 1.5, 2.583333, -4.0, 10.25), "y": (0, None, None, None, None)}
+
+
+def test_small_groups_are_not_cut_into_ranges(spark):
+    """Sketches and cuts are for groups that one task should not order; sums are the same either way."""
+    rng = random.Random(7)
+    rows = [(g, float(rng.randint(0, 90)), 1) for g in ("a", "b", None) for _ in range(30 if g == "b" else 400)]
+    df = spark.createDataFrame(rows, "g string, v double, k long").repartition(3)
+    assert ro.ranged(df, ["g"], "v").where("_b is not null").count() == 0
+    cut = ro.ranged(df, ["g"], "v", most=100).groupBy("g").agg(F.count_distinct("_b").alias("n")).collect()
+    assert {r.g: r.n > 20 for r in cut} == {"a": True, "b": False, None: True}
+    for most in (100, 1000):
+        for down in (False, True):
+            run = ro.running(df, ["g"], "v", ["k"], descending=down, most=most).groupBy("g", "v").agg(F.max("_run_k").alias("r")).collect()
+            assert all(r.r == sum(1 for g, v, _ in rows if g == r.g and (v >= r.v if down else v <= r.v)) for r in run)
