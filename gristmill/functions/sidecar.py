@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import struct
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -61,20 +62,27 @@ def ini_set(text: Column, section: str, values: dict[str, Column]) -> Column:
     return F.concat(F.array_join(out, "\n"), F.lit("\n"))
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where the value is worked out once however often it is used."""
+    return F.transform(F.array(value), use)[0]
+
+
 def little_floats(hexed: Column, n: int) -> Column:
     """The first n little-endian floats of a hexadecimal text; null if it is shorter or no such text."""
     valid = hexed.rlike("^([0-9a-fA-F]{2})*$") & (F.length(hexed) >= 8 * n)
 
-    def number(i: int) -> Column:
-        byte = lambda k: F.substring(hexed, 8 * i + 1 + 2 * k, 2)
-        bits = F.conv(F.concat(byte(3), byte(2), byte(1), byte(0)), 16, 10).cast("long")
+    byte = lambda i, k: F.substring(hexed, 8 * i + 1 + 2 * k, 2)
+    # outside the lambda, as the text may come from a Python function
+    words = F.array(*(F.conv(F.concat(*(byte(i, k) for k in (3, 2, 1, 0))), 16, 10).cast("long") for i in range(n)))
+
+    def number(bits: Column) -> Column:
         sign = F.when(bits >= 2**31, -1.0).otherwise(1.0)
-        power = F.shiftright(bits, 23).bitwiseAND(F.lit(255))
         rest = bits.bitwiseAND(F.lit(2**23 - 1))
-        finite = F.when(power == 0, rest * 2.0**-149).otherwise((rest + 2**23) * F.pow(F.lit(2.0), power - 150))
-        return sign * F.when(power == 255, F.when(rest == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))).otherwise(finite)
+        finite = lambda power: F.when(power == 0, rest * 2.0**-149).otherwise((rest + 2**23) * F.pow(F.lit(2.0), power - 150))
+        told = lambda power: F.when(power == 255, F.when(rest == 0, F.lit(float("inf"))).otherwise(F.lit(float("nan")))).otherwise(finite(power))
+        return sign * bound(F.shiftright(bits, 23).bitwiseAND(F.lit(255)), told)
 
-    return F.when(valid, F.array(*map(number, range(n))))
+    return F.when(valid, F.transform(words, number))
 
 
 def inflated(params: Column) -> Column:
@@ -108,29 +116,45 @@ def history_crop(entries: Column) -> Column:
     read = F.filter(values, lambda e: e["v"].isNotNull())
     ends = (0.0, 0.0, 1.0, 1.0)
     any_ = lambda v, to: F.exists(F.zip_with(v, F.array(*map(F.lit, to)), lambda a, b: F.abs(a - b) > TRIVIAL), lambda x: x)
-    crops = F.filter(read, lambda e: (e["op"] == "crop") & any_(e["v"], ends))
-    turns = F.filter(read, lambda e: e["op"] == "ashift")
-    rotation = F.when(F.size(turns) > 0, F.aggregate(turns, F.lit(0.0), lambda s, e: s + e["v"][0]))
-    more = F.exists(turns, lambda e: any_(F.slice(e["v"], 2, 3), (0.0, 0.0, 0.0)))
-    return F.struct(F.try_element_at(crops, F.lit(-1))["v"].alias("crop"), rotation.alias("rotation"), F.coalesce(more, F.lit(False)).alias("complex"), F.size(crops).alias("n"))
+
+    def sorted_out(read: Column) -> Column:
+        crops = F.filter(read, lambda e: (e["op"] == "crop") & any_(e["v"], ends))
+        return F.struct(crops.alias("crops"), F.filter(read, lambda e: e["op"] == "ashift").alias("turns"))
+
+    def told(s: Column) -> Column:
+        crops, turns = s["crops"], s["turns"]
+        rotation = F.when(F.size(turns) > 0, F.aggregate(turns, F.lit(0.0), lambda s, e: s + e["v"][0]))
+        more = F.exists(turns, lambda e: any_(F.slice(e["v"], 2, 3), (0.0, 0.0, 0.0)))
+        return F.struct(F.try_element_at(crops, F.lit(-1))["v"].alias("crop"), rotation.alias("rotation"), F.coalesce(more, F.lit(False)).alias("complex"), F.size(crops).alias("n"))
+
+    return bound(bound(read, sorted_out), told)
 
 
 def tiff_orientation(content: Column) -> Column:
     """The orientation 1 to 8 in the first directory of a file with a TIFF head (its magic number may differ), else
-    null. Only the head and the directory are decoded."""
-
-    def number(at: Column, size: int) -> Column:
-        raw = F.substring(content, at + 1, size)
-        ordered = F.when(little, F.reverse(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.hex(F.substring(raw, i + 1, 1))))).otherwise(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.hex(F.substring(raw, i + 1, 1))))
-        return F.when(F.length(raw) == size, F.conv(F.array_join(ordered, ""), 16, 10).try_cast("int"))
-
-    head = F.hex(F.substring(content, 1, 2))
-    little = head == "4949"
-    start = number(F.lit(4), 4)
-    count = number(start, 2)
-    fits = head.isin("4949", "4D4D") & (count >= 1) & (count <= 1000)
-    entry = lambda i: start + 2 + 12 * i
-    entries = F.transform(F.sequence(F.lit(0), F.when(fits, count - 1).otherwise(0)), lambda i: F.struct(number(entry(i), 2).alias("tag"), number(entry(i) + 2, 2).alias("type"), number(entry(i) + 8, 2).alias("value"), (F.length(content) >= entry(i) + 12).alias("whole")))
-    met = F.filter(entries, lambda e: e["whole"] & (e["tag"] == ORIENTATION) & (e["type"] == SHORT))
-    value = F.try_element_at(met, F.lit(1))["value"]
-    return F.when(fits & value.between(1, 8), value)
+    null. Only the head and the directory are decoded, each once."""
+
+    def number(raw: Column, little: Column, size: int) -> Column:
+        turned = F.concat(*(F.substring(raw, 2 * k + 1, 2) for k in reversed(range(size))))
+        return F.when(F.length(raw) == 2 * size, F.conv(F.when(little, turned).otherwise(raw), 16, 10).try_cast("int"))
+
+    hexed = lambda c, at, size: F.hex(F.substring(c, at + 1, F.lit(size)))
+    wanted = {end: struct.pack(end + "HH", ORIENTATION, SHORT).hex() for end in "<>"}
+
+    def directory(c: Column, head: Column, start: Column) -> Column:
+        little = head.startswith("4949")
+
+        def value(count: Column) -> Column:
+            entries = F.transform(F.sequence(F.lit(0), count - 1), lambda i: hexed(c, start + 2 + 12 * i, 12))
+            met = F.filter(entries, lambda h: (F.length(h) == 24) & h.startswith(F.when(little, wanted["<"]).otherwise(wanted[">"])))
+            first = F.try_element_at(met, F.lit(1))
+            return F.when((count >= 1) & (count <= 1000), bound(number(F.substring(first, 17, 4), little, 2), lambda v: F.when(v.between(1, 8), v)))
+
+        return bound(number(hexed(c, start, 2), little, 2), value)
+
+    def opened(c: Column, head: Column) -> Column:
+        # no file goes on behind the largest int, where places would overflow
+        start = number(F.substring(head, 9, 8), head.startswith("4949"), 4)
+        return F.when(head.startswith("4949") | head.startswith("4D4D"), bound(start, lambda at: F.when(at < 2**31 - 20_000, directory(c, head, at))))
+
+    return bound(content, lambda c: bound(F.hex(F.substring(c, 1, 8)), lambda head: opened(c, head)))

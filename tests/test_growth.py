@@ -62,3 +62,17 @@ def test_small_groups_are_not_cut_into_ranges(spark):
         for down in (False, True):
             run = ro.running(df, ["g"], "v", ["k"], descending=down, most=most).groupBy("g", "v").agg(F.max("_run_k").alias("r")).collect()
             assert all(r.r == sum(1 for g, v, _ in rows if g == r.g and (v >= r.v if down else v <= r.v)) for r in run)
+
+
+def test_parameters_are_decoded_once(spark):
+    """However often a crop's values and turns are asked for, each word of an entry is decoded in one place."""
+    rows = spark.createDataFrame([([("crop", True, "00000000000000000000803f0000803f")],)], "e array<struct<operation:string,enabled:boolean,params:string>>")
+    h = F.col("h")
+    asked = rows.select(sc.history_crop(F.col("e")).alias("h")).select(h["crop"].alias("a"), h["rotation"].alias("b"), h["complex"].alias("c"), h["n"].alias("d"))
+    assert asked._jdf.queryExecution().optimizedPlan().toString().count("conv(") <= 8
+    assert tuple(asked.first()) == (None, None, False, 0)
+
+
+def test_directory_behind_the_largest_place(spark):
+    heads = [(b"II\x2a\x00\xff\xff\xff\x7f",), (b"MM\x00\x2a\x7f\xff\xff\xff",)]
+    assert [r[0] for r in spark.createDataFrame(heads, "c binary").select(sc.tiff_orientation(F.col("c"))).collect()] == [None, None]
