@@ -1,5 +1,6 @@
 """Steps whose work or memory must not outgrow their input, and the rounding that SQL fixes, against plain versions."""
 
+import gc
 import math
 import random
 import statistics
@@ -76,3 +77,26 @@ def test_parameters_are_decoded_once(spark):
 def test_directory_behind_the_largest_place(spark):
     heads = [(b"II\x2a\x00\xff\xff\xff\x7f",), (b"MM\x00\x2a\x7f\xff\xff\xff",)]
     assert [r[0] for r in spark.createDataFrame(heads, "c binary").select(sc.tiff_orientation(F.col("c"))).collect()] == [None, None]
+
+
+def test_a_parsed_text_is_let_go_at_once():
+    """Nothing of it waits for the collector of cycles, which does not see how large parsers are."""
+    gc.collect()
+    gc.disable()
+    try:
+        for _ in range(5):
+            assert len(xmp.parsed(xmp.EMPTY.encode())) == 3
+        assert not [o for o in gc.get_objects() if isinstance(o, xmp.Element)]
+    finally:
+        gc.enable()
+
+
+def test_texts_leave_in_portions(spark):
+    """More rows than a portion, in one batch: all come back, in order, each with its text or its error."""
+    n = 2 * xmp.ROWS + 7
+    text = F.when(F.col("id") % 3 == 0, "<broken").when(F.col("id") % 3 == 1, xmp.EMPTY)
+    rows = spark.range(0, n, 1, 1).select(F.col("id").cast("string").alias("path"), text.alias("text"), F.lit(None).cast("array<double>").alias("crop"), F.lit(None).cast("double").alias("angle"), F.lit(False).alias("was_applied"), F.lit(None).cast("double").alias("was_angle"), F.lit("red").alias("label"), F.lit(7).alias("revision"))
+    got = xmp.edited(rows, "raw").collect()
+    want = xmp.with_values(None, xmp.raw_values(None, False, "red", 7))
+    assert [r.path for r in got] == [str(i) for i in range(n)]
+    assert all(r.text is None and r.error for r in got[::3]) and {r.text for i, r in enumerate(got) if i % 3} == {want}
